@@ -1,12 +1,70 @@
-"""A corpus pipeline out of the operators in ``meshlark.llm``."""
+"""A corpus pipeline out of the operators in ``meshlark.llm``.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
+written as Parquet and read again as the next one's ``docs``.  All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-import meshlark.llm  # noqa: F401
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshlark.llm.common import materialize, table
+from meshlark.llm.decontaminate import decontaminate
+from meshlark.llm.jaccard import jaccard_components
+from meshlark.llm.langid import fit, predict
+from meshlark.llm.line_dedup import line_dedup
+from meshlark.llm.packing import pack
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or far from every language, go."""
+    return predict(docs, fit(docs)).where(~F.col("rejected")).select(*COLUMNS)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in three documents or more stay in one of them only.  A document stays, even without lines."""
+    kept = line_dedup(docs, carry=("lang", "source"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("bigint").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links join, the one with the smallest id stays."""
+    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("repeated_lines", repeated_lines),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("packed", packed),
+]
 
-STAGES: list = []
+#: Language models and token ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ counted exactly, and the document that keeps a line is chosen from all of them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -140,21 +140,22 @@ def _drop_lines(min_chars: int, with_text: bool):
                     n_dropped.append(len(lines) - len(stay))
                     digest.append(hashlib.sha256(out).hexdigest())
                     kept.append(out.decode("utf-8", "surrogatepass") if with_text else None)
-                columns = [part.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "n_lines", "n_dropped", "kept_sha256", "kept_text"])
+                columns = [part.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string()), *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "n_lines", "n_dropped", "kept_sha256", "kept_text", *part.schema.names[3:]])
 
     return run
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, with_text: bool = True
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, with_text: bool = True,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Drop lines found in ``min_docs`` documents or more, except in the one with the largest id.
 
     A line's key is the line without blanks at its ends and with A-Z
     lower-cased; keys of fewer than ``min_chars`` code points always stay.
     Returns one row per input row: ``id_col``, ``n_lines``, ``n_dropped``,
-    ``kept_sha256`` and, if ``with_text``, ``kept_text``.
+    ``kept_sha256``, if ``with_text``, ``kept_text``, and the columns ``carry``.
 
     A null or empty text is one empty line.  A line repeated in a document
     counts once and stays or goes as a whole.  A null id is smaller than any
@@ -182,7 +183,13 @@ def line_dedup(
         .groupBy(F.col("doc").alias("d_doc"))
         .agg(F.collect_set("key").alias("keys"))
     )
-    judged = base.join(drops, F.col("doc").eqNullSafe(F.col("d_doc")), "left").select("doc", "text", "keys")
-    out = judged.mapInArrow(_drop_lines(min_chars, with_text), f"doc {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string, kept_text string")
-    out = out.withColumnRenamed("doc", id_col)
-    return out if with_text else out.drop("kept_text")
+    schema = f"doc {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string, kept_text string"
+    whole, rest = base, []
+    if carry:
+        row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+        whole, rest = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row), ["row"]
+        schema += f", row {whole.schema['row'].dataType.simpleString()}"
+    judged = whole.join(drops, F.col("doc").eqNullSafe(F.col("d_doc")), "left").select("doc", "text", "keys", *rest)
+    out = judged.mapInArrow(_drop_lines(min_chars, with_text), schema)
+    kept = ["kept_text"] if with_text else []
+    return out.select(F.col("doc").alias(id_col), "n_lines", "n_dropped", "kept_sha256", *kept, *([f"row.{c}" for c in carry]))
