@@ -9,6 +9,8 @@ equal lengths share a bucket, from which batches are drawn.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -21,10 +23,28 @@ from .common import text_of
 
 MAX_LENGTH = 4096
 END_ID = 2
-#: Segments and word pieces whose ids a worker remembers; when full, it forgets them all.
+#: Segments and word pieces whose ids a worker remembers, by generation: of two, the older is forgotten when the younger is full.
 CACHE = 400_000
 
 
+class Memo(dict):
+    """Remembers what ``make`` gives for a key, at most 2 * CACHE keys; those in use outlive the others."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class SegmentEncoder:
     """Token ids of texts, computed once per blank-separated segment and remembered.
 
@@ -35,7 +55,6 @@ class SegmentEncoder:
 
     #: The tokenizer's pre-token pattern (a fixed value of its file), for lower-cased ASCII.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-    BLANKS = str.maketrans("\t\n\r", "   ")
 
     def __init__(self, tokenizer_path: str | None):
         from tokenizers import Tokenizer
@@ -48,41 +67,31 @@ class SegmentEncoder:
         added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.cut = tokenizer_path.endswith("word_bpe_49k.json")
-        self.segments: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.segments, self.pieces = Memo(self.segment), Memo(self.whole)
+
+    @classmethod
+    def of_worker(cls, tokenizer_path: str | None) -> SegmentEncoder:
+        """The encoder that this Python process keeps from task to task."""
+        kept = sys.modules.setdefault("meshlark_worker", types.ModuleType("meshlark_worker")).__dict__.setdefault("encoders", {})
+        if tokenizer_path not in kept:
+            kept[tokenizer_path] = cls(tokenizer_path)
+        return kept[tokenizer_path]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            found = self.pieces[text] = self.whole(text)
-        return found
-
     def segment(self, text: str) -> bytes:
         # Control characters keep their place: only then is the segment surely free of inner white space.
         if text.isascii() and text.isprintable() and not (self.special and self.special.search(text)):
-            found = b"".join(map(self.piece, self.PIECES.findall(text.lower())))
-        else:
-            found = self.whole(text)
-        if len(self.segments) >= CACHE:
-            self.segments.clear()
-            self.segments[""] = b""
-        self.segments[text] = found
-        return found
+            return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(text.lower())))
+        return self.whole(text)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.cut:
             return self.whole(text)
-        known, out = self.segments.get, []
-        for word in text.translate(self.BLANKS).split(" "):
-            ids = known(word)
-            out.append(self.segment(word) if ids is None else ids)
-        return b"".join(out)
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.segments.__getitem__, words))
 
 
 def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -95,7 +104,7 @@ SCHEMA = "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens
 
 def _pieces(tokenizer_path: str | None, end_id: int, longest: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = SegmentEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = SegmentEncoder.of_worker(tokenizer_path), np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
         held = 0
 
