@@ -86,4 +86,5 @@ def sort_by(keys: Column, *values: Column) -> list[Column]:
     fields = [keys, *values]
     rows = F.arrays_zip(keys.alias("k"), F.transform(keys, lambda _, i: i).alias("at"))
     order = F.array_sort(rows)
-    return [F.transform(order, lambda r, f=f: F.get(f, r["at"])) for f in fields]
+    pick = lambda f: F.transform(order, lambda r: F.get(f, r["at"]))
+    return [pick(f) for f in fields]
