@@ -422,13 +422,53 @@ def dispersion_energy(spark, sf_dir):
     return plan.dispersion_energy(model(spark, sf_dir)).select(q(F.col("energy"), 1e4).alias("energy"))
 
 
-@query(None)
+def kernel_slope_sql(k: str, qq: str) -> str:
+    p, r = DAMPING, f"({num(DAMPING.a1)} * sqrt(3 * {qq}) + {num(DAMPING.a2)})"
+    ks = f"(CASE WHEN {k} < 1e-15 THEN 1 ELSE {k} END)"
+    x = f"({ks} * {r})"
+    phi, alpha, beta = f"({num(PI / 3)} + {x} * {num(math.sqrt(3) / 2)})", f"({num(PI / 4)} + {x} * {num(COS8)})", f"({num(3 * PI / 4)} + {x} * {num(SIN8)})"
+    low, high, half = f"exp(-{x} * {num(SIN8)})", f"exp(-{x} * {num(COS8)})", f"exp(-{x} / 2)"
+    n6, d6 = f"(exp(-{x}) - 2 * {half} * cos({phi}))", f"({r} * (-exp(-{x}) + {half} * (cos({phi}) + {num(math.sqrt(3))} * sin({phi}))))"
+    n8 = f"({low} * cos({alpha}) + {high} * cos({beta}))"
+    d8 = f"({r} * (-{num(SIN8)} * {low} * cos({alpha}) - {num(COS8)} * {low} * sin({alpha}) - {num(COS8)} * {high} * cos({beta}) - {num(SIN8)} * {high} * sin({beta})))"
+    return f"""(CASE WHEN {k} * {r} < 1e-15 THEN 0 ELSE {num(p.s6 * 2 * PI**2 / 3)} / pow({r}, 4) * ({d6} / {ks} - {n6} / ({ks} * {ks}))
+      - {qq} * {num(3 * p.s8 * PI**2)} / pow({r}, 6) * ({d8} / {ks} - {n8} / ({ks} * {ks})) END)"""
+
+
+_ON = "a.kx = kern.kx AND a.ky = kern.ky AND a.kz = kern.kz"
+_AT = "((w.kx * c.ix + w.ky * c.iy + w.kz * c.iz) % 8) / 8"
+SLOPES = f"""{ENERGY}, cells AS (SELECT ix::INTEGER AS ix, iy::INTEGER AS iy, iz::INTEGER AS iz FROM range(8) a(ix), range(8) b(iy), range(8) c(iz)),
+    field AS (SELECT za AS species, rank, a.kx, a.ky, a.kz, sum(kern * cr) / any_value(fb) AS pr, sum(kern * ci) / any_value(fb) AS pi FROM kern JOIN dec a ON a.species = zb AND {_ON} GROUP BY ALL),
+    phi AS (SELECT w.species, w.rank, c.ix, c.iy, c.iz, -any_value(eig) / {num(VOLUME)} * sum((CASE WHEN w.kz = 0 OR w.kz = 4 THEN 1 ELSE 2 END) * (pr * cos({num(2 * PI)} * {_AT}) - pi * sin({num(2 * PI)} * {_AT}))) AS phi
+      FROM field w JOIN eigs USING (rank), cells c GROUP BY ALL),
+    felt AS (SELECT atom_id, species, rank, c6, sum(phi * wx * wy * wz) AS v, sum(phi * dx * wy * wz) AS ux, sum(phi * wx * dy * wz) AS uy, sum(phi * wx * wy * dz) AS uz
+      FROM c6 JOIN wx USING (atom_id) JOIN wy USING (atom_id) JOIN wz USING (atom_id) JOIN phi USING (species, rank, ix, iy, iz) GROUP BY ALL),
+    slopes AS (SELECT atom_id, rank, sum(w * (g - gm) * v) AS slope FROM (SELECT *, -8 * (cn - cnref) AS g, sum(w * -8 * (cn - cnref)) OVER (PARTITION BY atom_id) AS gm FROM weights) JOIN v_q USING (species, ref) GROUP BY ALL),
+    peratom AS (SELECT atom_id, sum((v + eig * c6 * s) * slope) AS bycn, sum(ux * c6) AS ux, sum(uy * c6) AS uy, sum(uz * c6) AS uz FROM felt JOIN slopes USING (atom_id, rank) JOIN eigs USING (rank) JOIN selfcont USING (species, rank) GROUP BY atom_id),
+    slope0 AS (SELECT *, ({num(R_CUT)} - far) * ({num(R_CUT)} - far) + 1e-6 AS q, {num(4 / 3)} * rc AS rest FROM switched),
+    pulls AS (SELECT src, dst, dx, dy, dz, bycn / d * c * (1 - c) * ((CASE WHEN d > t0 THEN (2 * (far - t0) * q + 2 * (far - t0) * (far - t0) * ({num(R_CUT)} - far)) / (q * q) ELSE 0 END) * (rest / d - 1)
+      - (16 + (far - t0) * (far - t0) / q) * rest / (d * d)) AS pull FROM slope0 JOIN peratom ON atom_id = src)"""
+_MESH_GRADIENT = [" + ".join(f"{num(_INV[a][b] * GRID[b])} * u{c}" for b, c in enumerate("xyz")) for a in range(3)]
+
+
+@query(f"""{SLOPES}, ends AS (SELECT dst AS atom_id, pull * dx AS fx, pull * dy AS fy, pull * dz AS fz FROM pulls UNION ALL SELECT src, -pull * dx, -pull * dy, -pull * dz FROM pulls),
+    forces AS (SELECT atom_id, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM ends GROUP BY atom_id)
+    SELECT atom_id, {", ".join(sq(f"{_MESH_GRADIENT[i]} + coalesce(f{a}, 0)", 1e6) + f" AS g{a}" for i, a in enumerate("xyz"))} FROM peratom LEFT JOIN forces USING (atom_id)""")
 def energy_position_gradient(spark, sf_dir):
     by_position = plan.energy_gradients(model(spark, sf_dir))[0]
     return by_position.select("atom_id", *(q(F.col(f"g{a}"), 1e6).alias(f"g{a}") for a in "xyz"))
 
 
-@query(None)
+_PAIR_SLOPE = kernel_slope_sql("w.g", "(x.sqrt_qz * y.sqrt_qz)")
+_STRAIN_ROWS = " UNION ALL ".join(
+    f"""SELECT {i} AS row, {j} AS col, {sq(f"(SELECT sum(e * g{'xyz'[i]} * g{'xyz'[j]} / g) FROM bent) / {num(2 * VOLUME)} + (SELECT sum(pull * d{'xyz'[i]} * d{'xyz'[j]}) FROM pulls)" + (f" + (SELECT total FROM total) / {num(2 * VOLUME)}" if i == j else ""), 1e3)} AS g"""
+    for i in range(3) for j in range(3)
+)
+
+
+@query(f"""{SLOPES}, bends AS (SELECT x.species AS za, y.species AS zb, w.*, {_PAIR_SLOPE} AS kern FROM names x, names y, waves w),
+    bent AS (SELECT kern.gx, kern.gy, kern.gz, kern.g, (CASE WHEN kern.kz = 0 OR kern.kz = 4 THEN 1 ELSE 2 END) * eig * kern * (a.cr * b.cr + a.ci * b.ci) AS e FROM bends kern JOIN dec a ON a.species = za AND {_ON}
+      JOIN dec b ON b.species = zb AND b.rank = a.rank AND b.kx = kern.kx AND b.ky = kern.ky AND b.kz = kern.kz JOIN eigs ON eigs.rank = a.rank) {_STRAIN_ROWS}""")
 def energy_strain_gradient(spark, sf_dir):
     return plan.energy_gradients(model(spark, sf_dir))[1].select("row", "col", q(F.col("g"), 1e3).alias("g"))
 
@@ -542,8 +582,8 @@ def expr_reduce(spark, sf_dir):
     )
 
 
-@query(f"""{LINES}, s AS (SELECT o, n, {V6} AS v FROM l), e AS (SELECT o, n, i, v[i] AS x FROM s, range(1, 7) t(i))
-    SELECT o, n, string_agg(x::VARCHAR, ',' ORDER BY x, i) AS sorted, string_agg((i - 1)::VARCHAR, ',' ORDER BY x, i) AS places FROM e GROUP BY o, n""")
+@query(f"""{LINES}, s AS (SELECT o, n, list_sort([{{'x': ({V6})[i], 'i': i - 1}} FOR i IN range(1, 7)]) AS e FROM l)
+    SELECT o, n, array_to_string([r.x FOR r IN e], ',') AS sorted, array_to_string([r.i FOR r IN e], ',') AS places FROM s""")
 def expr_sort(spark, sf_dir):
     lines = _lines(spark, sf_dir).select("o", "n", _six())
     keys, places = arrays.sort_by(F.col("v"), arrays.iota(6))
