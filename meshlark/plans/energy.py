@@ -14,6 +14,7 @@ from ..operators.coordination import coordination_numbers, edge_geometry, switch
 from ..operators.kernel import reciprocal_kernel, reciprocal_kernel_slope
 from ..operators.scatter import CELLS, gather_from_mesh, scatter_to_mesh
 from ..operators.spectral import dft, frequency, half_weight, inverse_dft
+from ..sources.storage import settled
 from .model import Matrix, Model, inverse
 
 
@@ -101,7 +102,7 @@ def dispersion_energy(model: Model, strain: Matrix | None = None) -> DataFrame:
     """One row: ``energy``, ``total`` and ``vself``.  The strain acts on positions and lattice as v (1 + strain)^T."""
     if strain is not None:
         model = model.strained(strain)
-    c6 = atom_coefficients(model)
+    c6 = settled(atom_coefficients(model), "c6")
     both = spectral_total(model, spectrum(model, density(model, c6))).join(self_energy(c6, model.eigs, model.selfcont))
     return both.select((F.col("total") / (-2 * model.volume) + F.col("vself") / 2).alias("energy"), "total", "vself")
 
@@ -120,8 +121,9 @@ def potential(model: Model, spectral: DataFrame) -> DataFrame:
 def energy_gradients(model: Model) -> tuple[DataFrame, DataFrame]:
     """Gradients of the energy without strain: ``(atom_id, gx, gy, gz)`` and ``(row, col, g)`` by the strain."""
     spline, inv = bspline(model.order), inverse(model.lattice)
-    c6 = atom_coefficients(model)
-    spectral = spectrum(model, density(model, c6))
+    # One row per atom and rank, and one per frequency: small beside the edges, and read by several steps.
+    c6 = settled(atom_coefficients(model), "c6")
+    spectral = settled(spectrum(model, density(model, c6)), "spectrum")
     grids = {"phi": (potential(model, spectral), ("species", "rank"))}
     points = weighted_points(model, c6, slopes=True)
     phi = lambda s: s.grid["phi"]

@@ -21,6 +21,7 @@ from .operators.spectral import dft, inverse_dft, spectral_map
 from .plans import energy as plan
 from .plans.model import Model, determinant, inverse
 from .sources import tables
+from .sources.storage import small_table
 from .sources.tables import DAMPING, EIGS, GRID, LATTICE, ORDER, R_CUT, REFERENCES, SELFCONT, SQRT_QZ, V_Q, model
 
 STRAIN = ((0.01, 0.02, 0.0), (0.0, -0.01, 0.015), (0.0, 0.0, 0.005))
@@ -250,8 +251,8 @@ GROUPS = [(0, 1), (1, 0), (2, 1)]
     SELECT name, {MOD8('cx + x')} AS ix, {MOD8('cy + y')} AS iy, {MOD8('cz + z')} AS iz, {sq('sum(rcov)', 1e6)} AS v FROM mesh JOIN groups USING (species) JOIN names USING (grp), range(-1, 2) a(x), range(-1, 2) b(y), range(-1, 2) c(z) GROUP BY 1, 2, 3, 4""")
 def scatter_indexed(spark, sf_dir):
     m = model(spark, sf_dir)
-    first = spark.createDataFrame(GROUPS, "species int, grp int")
-    second = spark.createDataFrame([(0, 10), (1, 20)], "grp int, name int")
+    first = small_table(spark, GROUPS, "species int, grp int")
+    second = small_table(spark, [(0, 10), (1, 20)], "grp int, name int")
     points = route(plan.mesh_coordinates(m).join(m.atoms.select("atom_id", "rcov"), "atom_id"), (first, "species"), (second, "grp"))
     return scatter_to_mesh(points, (-1, 0, 1), lambda s: {"v": F.col("rcov")}, GRID, batch=("name",)).select("name", "ix", "iy", "iz", q(F.col("v"), 1e6).alias("v"))
 
@@ -396,13 +397,13 @@ def _factor_sql(order: int) -> str:
     SELECT a.ord AS spline, a.k, {sq('sqrt(CASE WHEN a.k = 4 THEN (b.p + c.p) / 2 ELSE a.p END)', 1e9)} AS b FROM p a JOIN p b ON b.ord = a.ord AND b.k = 3 JOIN p c ON c.ord = a.ord AND c.k = 5""")
 def deconvolution_factor(spark, sf_dir):
     rows = [(o, k, b) for o in (2, 3, 4, 6) for k, b in enumerate(bspline(o).fourier_factor(8))]
-    return spark.createDataFrame(rows, "spline int, k int, b double").select("spline", "k", q(F.col("b"), 1e9).alias("b"))
+    return small_table(spark, rows, "spline int, k int, b double").select("spline", "k", q(F.col("b"), 1e9).alias("b"))
 
 
 @query(f"""WITH names(species, sqrt_qz) AS (VALUES {values(SQRT_QZ)}), k AS (SELECT k::INTEGER AS k FROM range(41) t(k))
     SELECT a.species AS a, b.species AS b, k, {sq(kernel_sql('(k / 8.0::DOUBLE)', '(a.sqrt_qz * b.sqrt_qz)'), 1e9)} AS kern FROM names a, names b, k""")
 def reciprocal_kernels(spark, sf_dir):
-    a, b = (spark.createDataFrame(SQRT_QZ, f"{s} int, q{s} double") for s in "ab")
+    a, b = (small_table(spark, SQRT_QZ, f"{s} int, q{s} double") for s in "ab")
     k = spark.range(41).select(F.col("id").cast("int").alias("k"))
     return a.join(b).join(F.broadcast(k)).select("a", "b", "k", q(reciprocal_kernel(F.col("k") / F.lit(8.0), F.col("qa") * F.col("qb"), DAMPING), 1e9).alias("kern"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.kernel import Damping
 from ..plans.model import Model
+from .storage import small_table
 
 N_SPECIES, N_REFERENCES, N_RANKS = 3, 3, 2
 LATTICE = ((20.0, 0.8, 0.4), (2.2, 18.0, 0.6), (1.4, -1.6, 22.0))
@@ -46,10 +47,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model(spark: SparkSession, sf_dir: str) -> Model:
     return Model(
         atoms(spark, sf_dir), edges(spark, sf_dir),
-        spark.createDataFrame(REFERENCES, "species int, ref int, cnref double"),
-        spark.createDataFrame(V_Q, "species int, ref int, rank int, v double"),
-        spark.createDataFrame(list(enumerate(EIGS)), "rank int, eig double"),
-        spark.createDataFrame(SELFCONT, "species int, rank int, s double"),
-        spark.createDataFrame(SQRT_QZ, "species int, sqrt_qz double"),
+        small_table(spark, REFERENCES, "species int, ref int, cnref double"),
+        small_table(spark, V_Q, "species int, ref int, rank int, v double"),
+        small_table(spark, list(enumerate(EIGS)), "rank int, eig double"),
+        small_table(spark, SELFCONT, "species int, rank int, s double"),
+        small_table(spark, SQRT_QZ, "species int, sqrt_qz double"),
         LATTICE, DAMPING, R_CUT, GRID, ORDER,
     )

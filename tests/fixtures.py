@@ -4,6 +4,7 @@ import numpy as np
 
 from meshlark.operators.kernel import Damping
 from meshlark.plans.model import Model
+from meshlark.sources.storage import small_table
 
 CUBIC = ((10.0, 0.0, 0.0), (0.0, 10.0, 0.0), (0.0, 0.0, 10.0))
 TRICLINIC = ((10.0, 0.4, 0.2), (1.1, 9.0, 0.3), (0.7, -0.8, 11.0))
@@ -95,7 +96,7 @@ def system(spark, lattice=CUBIC, grid=(8, 8, 8), order=4, absent=(), positions=N
     """8 atoms, 24 edges, 2 species with 3 references and 2 ranks."""
     where = positions or [[f32(x) for x in a[3:]] for a in ATOMS]
     atoms = [(a[0], a[1], f32(a[2]), *map(float, x)) for a, x in zip(ATOMS, where)]
-    frame = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1)
+    frame = lambda rows, schema: small_table(spark, rows, schema)
     return Model(
         atoms=frame(atoms, "atom_id bigint, species int, rcov double, x double, y double, z double"),
         edges=frame(EDGES, "src bigint, dst bigint, sx int, sy int, sz int"),
