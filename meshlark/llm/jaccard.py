@@ -10,7 +10,7 @@ Two sets of sizes n and m link when their overlap is at least
 either.  Of the pairs so found, only those between different components need a
 count: first every shingle's documents meet one leader, and what has been
 linked is merged; a few rounds later all pairs that are still apart, and may
-link by the number of prefix shingles they share, are counted exactly.
+link by the number of prefix shingles they share, are counted.
 """
 
 from __future__ import annotations
@@ -24,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, text_of
+from .common import materialize, shared_dir, spread_join, text_of
 from .components import components
+from .fragments import PACKED, merged, pack, shared
 from .shingles import WordHashes, shingle_set, signed, words_of
 
 SIZE = 5
-#: All prefixes reach at least this far in the order: a quarter of the hashes.
-FLOOR = np.uint64(1 << 62)
+#: All prefixes reach at least this far in the order: three tenths of the hashes.
+FLOOR = np.uint64((1 << 64) * 3 // 10)
 #: Fragments of the order in which overlaps of a pair are counted apart.
 FRAGMENTS = 4
-#: A shingle in more prefixes than this is common: it pairs only documents that have too few others.
-COMMON = 50
-LEADER_ROUNDS = 4
+#: Rounds in which documents meet leaders, and how many of them each at most; this saves pairs and loses none.
+LEADER_ROUNDS, LEADERS = 4, 8
 #: Prefix shingles that a fragment's task holds at a time, on average.
 FRAGMENT_ROWS = 1_000_000
 
@@ -71,58 +71,19 @@ def _profiles(size: int):
     return run
 
 
-def _prefixes(size: int, fragments: int, shared: bool):
-    """Prefix shingles of a batch of documents: those that two of them share as rows of ``(token, doc)``
-    (``shared``), or for each fragment of the order all others with their document, and the shared ones without."""
+def _packed_prefixes(size: int, fragments: int):
+    """Prefix shingles of a batch of documents, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             sets = [prefix_of(s) for s in _sets(batch, size, known)]
             docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype("i8"), [len(s) for s in sets])
-            tokens = np.concatenate(sets) if sets else np.zeros(0, "u8")
-            order = np.argsort(tokens, kind="stable")
-            tokens, docs = tokens[order], docs[order]
-            first = np.append(True, tokens[1:] != tokens[:-1]) if len(tokens) else np.zeros(0, bool)
-            alone = first & np.append(first[1:], True)[: len(first)]
-            if shared:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(tokens[~alone])), pa.array(docs[~alone])], ["token", "doc"])
-                continue
-            # A shared shingle is known to be so; the fragment only has to tell the documents of other batches.
-            tokens, docs, alone = tokens[first], docs[first], alone[first]
-            cuts = np.searchsorted(tokens, [np.uint64(min(i * (1 << 64) // fragments, (1 << 64) - 1)) for i in range(1, fragments)])
-            bounds = np.concatenate([[0], cuts, [len(tokens)]]).astype("i4")
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (signed(tokens), np.where(alone, docs, 0), alone)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *lists], ["fragment", "tokens", "docs", "alone"])
+            yield pack(np.concatenate(sets) if sets else np.zeros(0, "u8"), docs, fragments)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads a partition's fragments one after another and returns ``(token, doc)`` where a token has come from
-    two batches.  A fragment has one row a batch, so a token comes once a batch at most, however common."""
-    fragment, held = None, []
-
-    def flush() -> pa.RecordBatch:
-        tokens, docs, alone = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(tokens, kind="stable")
-        tokens, docs, alone = tokens[order], docs[order], alone[order]
-        same = tokens[1:] == tokens[:-1]
-        more = (np.append(same, False) | np.append(False, same)[: len(tokens)]) & alone
-        return pa.RecordBatch.from_arrays([pa.array(tokens[more]), pa.array(docs[more])], ["token", "doc"])
-
-    for batch in batches:
-        for i, f in enumerate(batch.column(0).to_pylist()):
-            if f != fragment and held:
-                yield flush()
-                held = []
-            fragment = f
-            row = [batch.column(c)[i].values for c in (1, 2, 3)]
-            held.append((row[0].to_numpy(), row[1].to_numpy(), row[2].to_numpy(zero_copy_only=False)))
-    if held:
-        yield flush()
-
-
 def _segments(size: int):
     """A document's whole set, cut into the fragments of the order."""
 
@@ -148,13 +109,11 @@ def shared_prefixes(base: DataFrame, size: int) -> DataFrame:
     """``(token, doc)`` for every shingle that is in two prefixes."""
     session = base.sparkSession
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    # A text's prefix has a shingle for about 24 characters.
+    # A text has a prefix shingle for about 20 characters.
     total = base.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    fragments = max(2 * parts, int(total) // 24 // FRAGMENT_ROWS + 1)
-    packed = base.mapInArrow(_prefixes(size, fragments, False), "fragment int, tokens array<bigint>, docs array<bigint>, alone array<boolean>")
-    # repartitionByRange would sample, that is, read the corpus again; fragments are dealt evenly by hash.
-    dealt = packed.where(F.size("tokens") > 0).repartition(parts, "fragment").sortWithinPartitions("fragment")
-    return base.mapInArrow(_prefixes(size, fragments, True), "token bigint, doc bigint").union(dealt.mapInArrow(_repeated, "token bigint, doc bigint"))
+    # Prefixes lie in the first third of the order, and so do most of their fragments.
+    fragments = 4 * max(2 * parts, int(total) // 20 // FRAGMENT_ROWS + 1)
+    return shared(merged(base.mapInArrow(_packed_prefixes(size, fragments), PACKED), parts))
 
 
 class Segments:
@@ -198,41 +157,46 @@ def _component_links(links: DataFrame, labels: DataFrame) -> DataFrame:
     return links.join(c.withColumnsRenamed({"doc": "a", "component": "c_a"}), "a").join(c.withColumnsRenamed({"doc": "b", "component": "c_b"}), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
 
 
-def _leader_pairs(entries: DataFrame, seed: int) -> DataFrame:
-    """Every shingle's documents against one of its largest component, where there are more components than one."""
-    rank = F.struct("members", F.xxhash64(F.col("doc"), F.lit(seed)).alias("h"), "doc", "component", "n")
+def _leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """Every shingle's documents against one of its largest component, where there are more components than one.
+
+    At first one order of the documents decides for all shingles, so that a
+    group meets few leaders; later each shingle draws its own, so that documents
+    still apart meet others every time.  A document takes the LEADERS that it
+    has met most; what is left out here is left to the last round.
+    """
+    draw = F.xxhash64("doc", "token", F.lit(turn)) if turn else F.xxhash64("doc")
+    rank = F.struct("members", draw.alias("h"), "doc", "component", "n")
     lead = entries.groupBy("token").agg(F.max(rank).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "l.*")
     lead = lead.select("token", F.col("doc").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
     met = entries.join(lead, "token").where("component <> c_a AND 3 * n <= 4 * n_a AND 3 * n_a <= 4 * n")
-    # Few shared prefix shingles make a link unlikely; the last round makes up for what is left out here.
-    return met.groupBy("a", F.col("doc").alias("b"), "n_a", F.col("n").alias("n_b")).agg(F.count(F.lit(1)).alias("met")).where("32 * met >= n_b")
+    met = met.groupBy(F.col("doc").alias("b"), F.col("n").alias("n_b"), "a", "n_a").agg(F.count(F.lit(1)).alias("met"))
+    per = met.groupBy("b", "n_b").agg(F.sum("met").alias("all"), F.slice(F.sort_array(F.collect_list(F.struct("met", "a", "n_a")), False), F.lit(1), F.lit(LEADERS)).alias("most"))
+    return per.where("8 * all >= n_b").select("b", "n_b", F.explode("most").alias("m")).select("m.a", "b", "m.n_a", "n_b")
 
 
-def _pairs_apart(entries: DataFrame, common: int) -> DataFrame:
+def _pairs_apart(entries: DataFrame) -> DataFrame:
     """All pairs of different components that may link.
 
-    Let y be the smaller document of a pair.  They share at least
-    ``low - n/7`` shingles up to FLOOR, so if y has fewer common ones than
-    that, they share one that isn't common.  Other documents y also meet the
-    partners that common shingles give.
+    Of a pair that links, the smaller document shares all but n/7 of its
+    shingles up to FLOOR, and the larger all but n/4 of its own.  So either may
+    leave out its most frequent ones, one fewer than it must share: in an order
+    by frequency that is the same for all, the rarest that they share is left.
     """
     kinds = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
-    open_ = entries.join(kinds, "token").select("token", "doc", "component", "n", "prefix", "low", (F.col("df") > common).alias("common"))
-    hot = open_.groupBy("doc").agg(F.count_if("common").alias("hot"))
-    open_ = materialize(open_.join(hot, "doc").withColumn("needs_common", F.col("hot") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 7"))), "open-prefixes")
-    names = ("doc", "component", "n", "prefix", "hot", "needs_common")
-    a = open_.select("token", "common", *(F.col(c).alias(f"{c}_a") for c in names))
-    b = open_.select("token", *(F.col(c).alias(f"{c}_b") for c in names))
-    larger = "(n_b > n_a OR n_b = n_a AND doc_b > doc_a) AND 3 * n_b <= 4 * n_a AND component_a <> component_b"
-    rare = a.where("NOT common").join(b, "token").where(larger)
-    often = a.where("common AND needs_common_a").join(b, "token").where(larger)
-    met = rare.union(often).groupBy(*(f"{c}_{s}" for s in "ab" for c in ("doc", "n", "prefix", "hot")), "needs_common_a").agg(F.count(F.lit(1)).alias("met"))
-    need = least_overlap(F.col("n_a"), F.col("n_b")) - F.greatest(F.col("n_a") - F.col("prefix_a"), F.col("n_b") - F.col("prefix_b"))
-    unseen = F.when(F.col("needs_common_a"), 0).otherwise(F.least("hot_a", "hot_b"))
-    return met.where(F.col("met") >= need - unseen).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, common: int = COMMON, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+    open_ = entries.join(kinds, "token").groupBy("doc", "component", "n", "low").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rarest"))
+    open_ = materialize(open_, "open-prefixes")
+
+    def kept(side: str, slack: int) -> DataFrame:
+        leave = F.greatest(F.lit(1), F.col("low") - F.expr(f"n div {slack}")).cast("int") - 1
+        tokens = open_.where(F.size("rarest") > leave).select("doc", "component", "n", F.explode(F.slice("rarest", F.lit(1), F.size("rarest") - leave)).alias("t"))
+        return tokens.select(F.col("t.token").alias("token"), *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "component", "n")))
+
+    met = kept("a", 7).join(kept("b", 4), "token").where("(n_b > n_a OR n_b = n_a AND doc_b > doc_a) AND 3 * n_b <= 4 * n_a AND component_a <> component_b")
+    return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """Link documents whose sets of ``size``-word shingles have a Jaccard similarity of 0.75 or more.
 
     Returns one row per input row: ``id_col``, ``n_shingles`` and
@@ -252,25 +216,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = profiles.where("n > 0 AND doc IS NOT NULL")
     # Equal sets are one class, represented by its smallest id.
     classes = some.groupBy("digest").agg(F.min("doc").alias("rep"))
-    members = some.join(classes, "digest").select("doc", "rep", "n", "prefix", "low")
+    members = spread_join(some, classes, "digest", "doc").select("doc", "rep", "n", "prefix", "low")
     same = materialize(members.select("doc", "rep").distinct(), "classes")
     repeated = same.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     reps = members.where("doc = rep").groupBy("doc").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"), F.max("low").alias("low"))
     labels = materialize(reps.withColumn("component", F.col("doc")), "labels")
 
-    prefixes = shared_prefixes(base.where("doc IS NOT NULL"), size).join(labels.select("doc"), "doc", "left_semi")
-    prefixes = materialize(prefixes.groupBy("doc").agg(F.collect_set("token").alias("tokens")), "prefixes")
+    # Of a document that links at least three quarters are shared, so of its shingles up to FLOOR all but n/4.
+    prefixes = shared_prefixes(base.where("doc IS NOT NULL"), size).groupBy("doc").agg(F.collect_set("token").alias("tokens"))
+    prefixes = prefixes.join(labels, "doc").where(F.size("tokens") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 4")))
+    prefixes = materialize(prefixes.select("doc", "tokens"), "prefixes")
     segments = Segments(base.join(prefixes.select("doc"), "doc", "left_semi"), size)
     try:
         for turn in range(leader_rounds + 1):
             sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
             entries = prefixes.join(labels.join(sizes, "component"), "doc").select(F.explode("tokens").alias("token"), "doc", "component", "n", "prefix", "low", "members")
-            pairs = _leader_pairs(entries, turn) if turn < leader_rounds else _pairs_apart(entries, common)
+            pairs = _leader_pairs(entries, turn) if turn < leader_rounds else _pairs_apart(entries)
             links = materialize(segments.linked(pairs), "pair-links")
             if links.limit(1).count():
                 labels = _merged(labels, _component_links(links, labels))
-            elif turn < leader_rounds - 1:
-                continue
     finally:
         segments.drop()
     # Documents of a class follow their representative; an id with several sets joins their components.

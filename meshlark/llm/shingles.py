@@ -37,7 +37,7 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, "u8")
     h = words[:n].copy()
     for i in range(1, size):
-        h = mixed(h) * _STEP + words[i : n + i]
+        h = h * _STEP + words[i : n + i]
     return mixed(h)
 
 

@@ -58,10 +58,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_brute_force(documents, clashing, monkeypatch, seed):
+@pytest.mark.parametrize("seed", [1, 3])
+def test_matches_brute_force(documents, clashing, seed):
     rows = corpus(seed)
-    got = jaccard_components(clashing(documents(rows, parts=6)), common=12, leader_rounds=seed).collect()
+    got = jaccard_components(clashing(documents(rows, parts=6)), leader_rounds=seed - 1).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
