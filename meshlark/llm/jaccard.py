@@ -124,7 +124,8 @@ class Segments:
         parts = int(self.session.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"segments_{uuid.uuid4().hex}"
         made = texts.mapInArrow(_segments(size), "doc bigint, fragment int, segment array<bigint>")
-        made.repartition(parts, "doc").write.bucketBy(parts, "doc").sortBy("doc").option("compression", "zstd").option("path", f"{shared_dir(self.session)}/{self.name}").saveAsTable(self.name)
+        # Rows repeated with one id count once.
+        made.repartition(parts, "doc").dropDuplicates(["doc", "fragment"]).write.bucketBy(parts, "doc").sortBy("doc").option("compression", "zstd").option("path", f"{shared_dir(self.session)}/{self.name}").saveAsTable(self.name)
         self.table = self.session.table(self.name)
 
     def drop(self) -> None:
@@ -196,6 +197,30 @@ def _pairs_apart(entries: DataFrame) -> DataFrame:
     return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b").distinct()
 
 
+def _several_texts(base: DataFrame, size: int, leader_rounds: int) -> DataFrame:
+    """For tables in which an id has several texts: every text is a node, and an id joins its nodes."""
+    rows = materialize(base.select("doc", F.when(F.col("doc").isNotNull(), F.xxhash64("doc", "text")).alias("node"), "text"), "nodes")
+    found = materialize(jaccard_components(rows, "node", "text", size, leader_rounds).distinct(), "node-components").withColumnRenamed("node", "f_node")
+    # Rows without an id stay for themselves; they need their number of shingles only.
+    alone = rows.where("node IS NULL").mapInArrow(_null_profiles(size), "doc bigint, n_shingles bigint, component_id bigint")
+    known = rows.where("node IS NOT NULL").select("doc", "node").join(found, F.col("node") == F.col("f_node")).select("doc", "n_shingles", F.col("component_id").alias("c"))
+    first = known.groupBy("doc").agg(F.min("c").alias("a"))
+    joined = components(known.select("doc", F.col("c").alias("b")).distinct().join(first, "doc").select("a", "b"))
+    merged = known.join(joined, F.col("c") == F.col("node"), "left").select("doc", "n_shingles", F.coalesce("component", "c").alias("c"))
+    names = merged.groupBy("c").agg(F.min("doc").alias("component_id"))
+    return spread_join(merged, names, "c", "doc").select("doc", "n_shingles", "component_id").union(alone)
+
+
+def _null_profiles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            n = [len(shingle_set(known.of(words_of(t.as_py())), size)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc", "n_shingles", "component_id"])
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """Link documents whose sets of ``size``-word shingles have a Jaccard similarity of 0.75 or more.
 
@@ -218,7 +243,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = some.groupBy("digest").agg(F.min("doc").alias("rep"))
     members = spread_join(some, classes, "digest", "doc").select("doc", "rep", "n", "prefix", "low")
     same = materialize(members.select("doc", "rep").distinct(), "classes")
-    repeated = same.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if same.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
+        out = _several_texts(base, size, leader_rounds)
+        return out.select(F.col("doc").cast(kind).alias(id_col), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
     reps = members.where("doc = rep").groupBy("doc").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"), F.max("low").alias("low"))
     labels = materialize(reps.withColumn("component", F.col("doc")), "labels")
 
@@ -237,10 +264,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 labels = _merged(labels, _component_links(links, labels))
     finally:
         segments.drop()
-    # Documents of a class follow their representative; an id with several sets joins their components.
-    if repeated.limit(1).count():
-        ties = same.join(repeated, "doc").join(labels.select(F.col("doc").alias("r_doc"), "component"), F.col("rep") == F.col("r_doc"))
-        labels = _merged(labels, ties.groupBy("doc").agg(F.min("component").alias("a")).join(ties.select("doc", F.col("component").alias("b")), "doc").select("a", "b"))
+    # Documents of a class follow their representative.
     named = same.groupBy("doc").agg(F.min("rep").alias("rep")).join(labels.select(F.col("doc").alias("r_doc"), "component"), F.col("rep") == F.col("r_doc"))
     found = named.select(F.col("doc").alias("c_doc"), "component")
     out = profiles.join(found, F.col("doc") == F.col("c_doc"), "left")

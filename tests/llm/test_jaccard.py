@@ -72,6 +72,12 @@ def test_odd_rows(documents):
     assert got == sorted(want)
 
 
+def test_repeated_rows_count_once(documents):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, shared + " " + " ".join(f"a{i}" for i in range(40)))] * 3 + [(2, shared + " " + " ".join(f"b{i}" for i in range(40)))] * 2
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(documents(rows)).collect()} == {(1, 1), (2, 2)}
+
+
 def test_empty_table(documents):
     assert jaccard_components(documents([(1, "a")]).limit(0)).count() == 0
 
