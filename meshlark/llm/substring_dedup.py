@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, text_of
+from .fragments import PACKED, as_lists, merged, pack, shared
 from .shingles import WordHashes, mixed, signed, windows
 
 WINDOW, SHINGLE = 20, 8
@@ -28,7 +29,6 @@ WINDOW, SHINGLE = 20, 8
 FRAGMENTS = 512
 #: Runs that an index lets gather before it merges them into one.
 MAX_RUNS = 4
-RUN = "fragment int, tokens array<bigint>, docs array<bigint>, alone array<boolean>, shared_tokens array<bigint>, shared_docs array<bigint>"
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -45,16 +45,6 @@ def window_anchors(words: np.ndarray, size: int = WINDOW, shingle: int = SHINGLE
     return np.minimum(least[: len(least) - rest], least[rest:])[:n] if rest else least[:n]
 
 
-def _cut(tokens: np.ndarray, fragments: int) -> np.ndarray:
-    """Bounds of the fragments in sorted tokens."""
-    cuts = np.searchsorted(tokens, [np.uint64(i * (1 << 64) // fragments) for i in range(1, fragments)])
-    return np.concatenate([[0], cuts, [len(tokens)]]).astype("i4")
-
-
-def _lists(bounds: np.ndarray, *columns: np.ndarray) -> list[pa.ListArray]:
-    return [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in columns]
-
-
 def _batch_runs(size: int, fragments: int):
     """The anchors of a batch of documents, sorted and cut into fragments.  An anchor that the batch has twice
     is in ``shared_*`` with each document, and once more without a document for other batches to meet."""
@@ -71,52 +61,11 @@ def _batch_runs(size: int, fragments: int):
                 anchors.append(np.concatenate([found, found[np.isin(found, values[times > 1])]]))
             docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype("i8"), [len(x) for x in anchors])
             tokens = np.concatenate(anchors) if anchors else np.zeros(0, "u8")
-            order = np.argsort(tokens, kind="stable")
-            tokens, docs = tokens[order], docs[order]
-            first = np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)]
-            alone = first & np.append(first[1:], True)[: len(first)]
-            shared = ~alone
-            own = _lists(_cut(tokens[first], fragments), signed(tokens[first]), np.where(alone, docs, 0)[first], alone[first])
-            more = _lists(_cut(tokens[shared], fragments), signed(tokens[shared]), docs[shared])
-            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *own, *more], ["fragment", "tokens", "docs", "alone", "shared_tokens", "shared_docs"])
-            yield rows.filter(pa.array(np.diff(own[0].offsets.to_numpy()) + np.diff(more[0].offsets.to_numpy()) > 0))
+            yield pack(tokens, docs, fragments)
 
     return run
 
 
-def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the sorted rows of each fragment.  A token comes once a row at most, however common it is; documents
-    that are known to share a token pass through unmerged."""
-    names = ["fragment", "tokens", "docs", "alone", "shared_tokens", "shared_docs"]
-    fragment, held = None, []
-
-    def row(f: int, *columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), *(_lists(np.array([0, len(x)], "i4"), x)[0] for x in columns)], names)
-
-    def flush() -> pa.RecordBatch:
-        tokens, docs, alone = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(tokens.view("u8"), kind="stable")
-        tokens, docs, alone = tokens[order], docs[order], alone[order]
-        first = np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)]
-        single = first & np.append(first[1:], True)[: len(first)]
-        more = ~single & alone
-        keep_alone = (alone & single)[first]
-        return row(fragment, tokens[first], np.where(keep_alone, docs[first], 0), keep_alone, tokens[more], docs[more])
-
-    for batch in batches:
-        for i, f in enumerate(batch.column(0).to_pylist()):
-            if f != fragment and held:
-                yield flush()
-                held = []
-            fragment = f
-            tokens, docs, alone, s_tokens, s_docs = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 6))
-            held.append((tokens, docs, alone.astype(bool)))
-            if len(s_tokens):
-                yield row(f, tokens[:0], docs[:0], alone[:0].astype(bool), s_tokens, s_docs)
-    if held:
-        yield flush()
-
-
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints in shared storage.
 
@@ -132,8 +81,7 @@ class FingerprintIndex:
         self.runs: list[str] = []
 
     def _merged(self, rows: DataFrame) -> DataFrame:
-        parts = min(self.fragments, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return rows.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_merge_runs, RUN)
+        return merged(rows, min(self.fragments, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
@@ -142,12 +90,12 @@ class FingerprintIndex:
 
     def append(self, base: DataFrame) -> None:
         """``base`` has the columns ``doc`` (long) and ``text``."""
-        self.runs.append(self._write(self._merged(base.mapInArrow(_batch_runs(self.size, self.fragments), RUN))))
+        self.runs.append(self._write(self._merged(base.mapInArrow(_batch_runs(self.size, self.fragments), PACKED))))
         if len(self.runs) > MAX_RUNS:
             self.compact()
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*self.runs)
+        return self.spark.read.schema(PACKED).parquet(*self.runs)
 
     def compact(self) -> None:
         if len(self.runs) > 1:
@@ -157,7 +105,7 @@ class FingerprintIndex:
         if not self.runs:
             return self.spark.createDataFrame([], "token bigint, doc bigint")
         rows = self._merged(self.read()) if len(self.runs) > 1 else self.read()
-        return rows.where(F.size("shared_tokens") > 0).select(F.explode(F.arrays_zip("shared_tokens", "shared_docs")).alias("s")).select(F.col("s.shared_tokens").alias("token"), F.col("s.shared_docs").alias("doc"))
+        return shared(rows)
 
 
 WINDOWS = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>"
@@ -169,7 +117,7 @@ def _by_doc(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
     docs, starts = docs[order], starts[order]
     first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])[: len(docs)])
     bounds = np.append(first, len(docs)).astype("i4")
-    return pa.RecordBatch.from_arrays([pa.array(docs[first]), _lists(bounds, starts.astype("i4"))[0]], ["doc", "starts"])
+    return pa.RecordBatch.from_arrays([pa.array(docs[first]), as_lists(bounds, starts.astype("i4"))[0]], ["doc", "starts"])
 
 
 def _later(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +156,7 @@ def _candidate_windows(size: int, fragments: int, local: bool):
             fragment = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
             order = np.argsort(fragment, kind="stable")
             bounds = np.searchsorted(fragment[order], np.arange(fragments + 1, dtype="u8")).astype("i4")
-            columns = _lists(bounds, signed(hashes[order]), signed(checks[order]), docs[order], starts[order].astype("i4"))
+            columns = as_lists(bounds, signed(hashes[order]), signed(checks[order]), docs[order], starts[order].astype("i4"))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *columns], ["fragment", "hashes", "checks", "docs", "starts"]).filter(pa.array(np.diff(bounds) > 0))
 
     return run
@@ -297,13 +245,13 @@ def substring_dedup(
     repeated = index.repeated().groupBy(F.col("doc").alias("r_doc")).agg(F.collect_set("token").alias("tokens"))
     repeated = materialize(repeated, "repeated-anchors")
 
-    # The texts are dealt out by id once; all joins read the same exchange.
+    # The texts are dealt out by id once; all joins read the same exchange, as none of them drops null ids before.
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    candidates = base.join(repeated, F.col("doc") == F.col("r_doc")).select("doc", "text", "tokens")
+    candidates = base.join(repeated, F.col("doc").eqNullSafe(F.col("r_doc"))).select("doc", "text", "tokens")
     packed = candidates.mapInArrow(_candidate_windows(size, index.fragments, False), WINDOWS).repartition(min(parts, index.fragments), "fragment").sortWithinPartitions("fragment")
     found = packed.mapInArrow(_repeated_windows, "doc bigint, starts array<int>").union(candidates.mapInArrow(_candidate_windows(size, index.fragments, True), "doc bigint, starts array<int>"))
     found = found.groupBy(F.col("doc").alias("f_doc")).agg(F.collect_list("starts").alias("starts"))
-    judged = base.join(found, F.col("doc") == F.col("f_doc"), "left").select("doc", "text", "starts")
+    judged = base.join(found, F.col("doc").eqNullSafe(F.col("f_doc")), "left").select("doc", "text", "starts")
     out = judged.mapInArrow(_remove(size, with_text), "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     out = out.select(F.col("doc").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
     return out if with_text else out.drop("kept_text")
