@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, spread_join, text_of
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -176,9 +176,8 @@ def line_dedup(
     # The texts are dealt out by id once; both joins read the same exchange.
     lines = base.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc"))).select("doc", "text", "hashes").mapInArrow(_suspected_lines(min_chars), f"doc {kind}, key binary")
     repeated = lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs).select("key", "keeper")
-    # The hot side of this join is split by adaptive execution; the other has one row per key.
     drops = (
-        lines.join(repeated, "key")
+        spread_join(lines, repeated, "key", "doc")
         .where(F.col("keeper").isNotNull() & (F.col("doc").isNull() | (F.col("doc") < F.col("keeper"))))
         .groupBy(F.col("doc").alias("d_doc"))
         .agg(F.collect_set("key").alias("keys"))
