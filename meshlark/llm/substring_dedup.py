@@ -30,6 +30,8 @@ FRAGMENTS = 512
 #: Runs that an index lets gather before it merges them into one.
 MAX_RUNS = 4
 SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: Later windows that one row carries at most.
+LATER = 8192
 
 
 def window_anchors(words: np.ndarray, size: int = WINDOW, shingle: int = SHINGLE) -> np.ndarray:
@@ -108,6 +110,7 @@ class FingerprintIndex:
         return shared(rows)
 
 
+WINDOW_NAMES = ["fragment", "hashes", "checks", "docs", "starts"]
 WINDOWS = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>"
 
 
@@ -130,9 +133,10 @@ def _later(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, starts: np.
     return order[first], order[after]
 
 
-def _candidate_windows(size: int, fragments: int, local: bool):
-    """Windows whose anchor occurs more than once: per fragment each sequence's first one in the batch, or
-    (``local``) the later ones, which need no other batch to be told."""
+def _candidate_windows(size: int, fragments: int):
+    """Windows whose anchor occurs more than once: per fragment each sequence's first one in the batch, and the
+    later ones in rows without hashes, as they need no other batch to be told.  Both come from one cut into
+    batches; the later ones are dealt by document, so that a common sequence isn't gathered in its fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -148,22 +152,26 @@ def _candidate_windows(size: int, fragments: int, local: bool):
                 continue
             hashes, checks, docs, starts = (np.concatenate(x) for x in zip(*parts))
             first, after = _later(hashes, checks, docs, starts)
-            if local:
-                yield _by_doc(docs[after], starts[after])
-                continue
+            after = np.sort(after)
+            at = np.arange(0, len(after), LATER)
+            if len(at):
+                dealt = ((mixed(docs[after[at]].view("u8")) >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+                none = as_lists(np.zeros(len(at) + 1, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8"))
+                known_later = as_lists(np.append(at, len(after)).astype("i4"), docs[after], starts[after].astype("i4"))
+                yield pa.RecordBatch.from_arrays([pa.array(dealt.astype("i4")), *none, *known_later], WINDOW_NAMES)
             first = np.sort(first)  # by document and start, which compresses well
             hashes, checks, docs, starts = hashes[first], checks[first], docs[first], starts[first]
             fragment = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
             order = np.argsort(fragment, kind="stable")
             bounds = np.searchsorted(fragment[order], np.arange(fragments + 1, dtype="u8")).astype("i4")
             columns = as_lists(bounds, signed(hashes[order]), signed(checks[order]), docs[order], starts[order].astype("i4"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *columns], ["fragment", "hashes", "checks", "docs", "starts"]).filter(pa.array(np.diff(bounds) > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *columns], WINDOW_NAMES).filter(pa.array(np.diff(bounds) > 0))
 
     return run
 
 
 def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads fragments one after another; a sequence comes once a batch at most."""
+    """Reads fragments one after another; a sequence comes once a batch at most.  Rows without hashes pass through."""
     fragment, held = None, []
 
     def flush() -> pa.RecordBatch:
@@ -177,7 +185,11 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield flush()
                 held = []
             fragment = f
-            held.append([batch.column(c)[i].values.to_numpy() for c in range(1, 5)])
+            columns = [batch.column(c)[i].values.to_numpy() for c in range(1, 5)]
+            if len(columns[0]):
+                held.append(columns)
+            else:
+                yield _by_doc(*columns[2:])
     if held:
         yield flush()
 
@@ -248,8 +260,10 @@ def substring_dedup(
     # The texts are dealt out by id once; all joins read the same exchange, as none of them drops null ids before.
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
     candidates = base.join(repeated, F.col("doc").eqNullSafe(F.col("r_doc"))).select("doc", "text", "tokens")
-    packed = candidates.mapInArrow(_candidate_windows(size, index.fragments, False), WINDOWS).repartition(min(parts, index.fragments), "fragment").sortWithinPartitions("fragment")
-    found = packed.mapInArrow(_repeated_windows, "doc bigint, starts array<int>").union(candidates.mapInArrow(_candidate_windows(size, index.fragments, True), "doc bigint, starts array<int>"))
+    # One pass gives first and later windows through one exchange.  Sorted, a task that is run again cuts the same batches.
+    windows_of = candidates.sortWithinPartitions("doc", "text").mapInArrow(_candidate_windows(size, index.fragments), WINDOWS)
+    packed = windows_of.repartition(min(parts, index.fragments), "fragment").sortWithinPartitions("fragment")
+    found = packed.mapInArrow(_repeated_windows, "doc bigint, starts array<int>")
     found = found.groupBy(F.col("doc").alias("f_doc")).agg(F.collect_list("starts").alias("starts"))
     judged = base.join(found, F.col("doc").eqNullSafe(F.col("f_doc")), "left").select("doc", "text", "starts")
     out = judged.mapInArrow(_remove(size, with_text), "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")

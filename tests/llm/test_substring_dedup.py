@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from meshlark.llm import substring_dedup as module
 from meshlark.llm.substring_dedup import FingerprintIndex, substring_dedup
 
 
@@ -65,3 +66,25 @@ def test_null_and_repeated_ids(documents):
     rows = [(1, text), (1, text), (None, text), (2, text)]
     assert sorted((str(r.doc_id), r.n_removed) for r in substring_dedup(documents(rows)).collect()) == [("1", 0), ("1", 0), ("2", 30), ("None", 0)]
     assert substring_dedup(documents(rows).limit(0)).count() == 0
+
+
+def test_no_two_passes_have_to_agree_on_batches(documents, monkeypatch):
+    """Every pass over the candidates cuts its rows in another way, as after the loss of an executor."""
+    make, passes = module._candidate_windows, []
+
+    def cut(*args):
+        run, rows = make(*args), 1 if passes else 1_000_000
+        passes.append(rows)
+        return lambda batches: run(part for b in batches for part in (b.slice(at, rows) for at in range(0, b.num_rows, rows)))
+
+    monkeypatch.setattr(module, "_candidate_windows", cut)
+    rows = corpus(4)
+    got = substring_dedup(documents(rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got} == brute(rows)
+
+
+def test_more_later_windows_than_a_row_carries(documents):
+    text = " ".join(f"v{i}" for i in range(700))
+    rows = [(i, text) for i in range(40)]
+    got = substring_dedup(documents(rows, parts=2)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got} == brute(rows)
