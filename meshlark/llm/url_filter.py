@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-#: A host's parent domains that are looked up, the host itself included.
-MAX_LABELS = 127
-
 
 def host_of(url: Column) -> Column:
     """Lower-cased host of a URL, without user, port and final dot; empty if there is none."""
@@ -40,8 +37,8 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """Evaluate every capture against the list entries active at its fetch time.
 
-    An entry for a domain covers its subdomains.  Returns one row per input
-    row: ``id_col``, ``host``, ``blocked``, ``matched_domain`` (the most specific
+    An entry for a domain covers its subdomains, however many labels they have.
+    Returns one row per input row: ``id_col``, ``host``, ``blocked``, ``matched_domain`` (the most specific
     one) and ``categories`` (sorted, comma-joined).
 
     A null or malformed URL has an empty host and is not blocked, nor is a
@@ -50,12 +47,13 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     captures give an empty result; other columns are ignored.
     """
     pages = captures.select(F.col(id_col).alias("page"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(time_col).alias("fetched"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     # Captures of one host at one time share their answer, which shrinks a host with a third of all rows.
     asked = pages.where("host <> '' AND fetched IS NOT NULL").select("host", "fetched").distinct()
+    # A row per parent domain, the host itself included; each is cut after the explode, so that no row holds all of a long host's.
+    parents = asked.select("host", "fetched", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("labels"))
+    parents = parents.select("host", "fetched", F.expr("substring_index(host, '.', -labels)").alias("domain"))
     # The as-of condition rides on the equality of domains; the hot side is split by adaptive execution.
-    hits = asked.select("host", "fetched", F.explode(suffixes).alias("domain")).join(validity_intervals(entries), "domain").where("valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)")
+    hits = parents.join(validity_intervals(entries), "domain").where("valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)")
     answers = hits.groupBy("host", "fetched").agg(
         F.max(F.struct(F.length("domain").alias("length"), "domain")).alias("best"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")
     ).select(F.col("host").alias("a_host"), F.col("fetched").alias("a_fetched"), F.col("best.domain").alias("matched_domain"), "categories")

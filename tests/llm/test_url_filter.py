@@ -60,3 +60,12 @@ def test_hosts_and_empty_tables(spark, entries):
     pages = spark.createDataFrame([(1, "http://bad.org/", day(6))], "page_id bigint, url string, fetched_at timestamp")
     assert url_filter(pages.limit(0), entries).count() == 0
     assert not url_filter(pages, entries.limit(0)).first().blocked
+
+
+def test_hosts_of_any_number_of_labels(spark, entries):
+    hosts = ["a." * n + "bad.org" for n in (125, 126, 127, 128, 1000)] + ["a..bad.org", ".bad.org", "bad.org..", "."]
+    df = spark.createDataFrame([(n, f"http://{h}/", day(6)) for n, h in enumerate(hosts)], "page_id bigint, url string, fetched_at timestamp")
+    got = {r.page_id: (r.host, r.matched_domain, r.categories) for r in url_filter(df, entries).collect()}
+    host = lambda h: h.removesuffix(".")
+    assert got == {n: (host(h), *brute(host(h), day(6))) for n, h in enumerate(hosts)}
+    assert sum(m == "bad.org" for _, m, _ in got.values()) == 7
