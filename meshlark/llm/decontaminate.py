@@ -21,6 +21,10 @@ WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to this many rows (24 bytes each) a shingle list is sent to all executors; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: And up to this many bytes a table of windows is.
+BROADCAST_BYTES = 24 * BROADCAST_ROWS
+#: Bytes of a row besides its texts: a digest, numbers and the row's own fields.
+ROW_BYTES = 160
 
 
 def words_of(text: Column) -> Column:
@@ -34,9 +38,19 @@ def shingles_of(words: Column) -> Column:
     return F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcasts a table whose number of rows, counted before, is small enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    """Broadcasts a table whose number of rows and bytes, counted before, are small enough; else it is joined by
+    shuffle, whatever its compressed files seem to allow."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df.hint("merge")
+
+
+def measured(windows: DataFrame) -> tuple[int, int]:
+    """Rows of the table of windows, and about the bytes of their words and items in memory."""
+    # An element of an array has 8 bytes for its place and is padded to 8.
+    texts = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x) + 16)
+    own = texts("words") + texts("items") + ROW_BYTES
+    found = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(own), F.lit(0)).alias("bytes")).first()
+    return found["n"], found["bytes"]
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -80,7 +94,9 @@ def decontaminate(
     if windows.where("n = 1").limit(1).count():
         alone = source.select("doc", F.size("words").alias("size"), F.posexplode(F.transform("words", lambda w: F.xxhash64(w, F.lit(None).cast("string")))).alias("pos", "shingle"))
         seen = seen.union(alone)
+    # Every table that may be broadcast is counted itself: windows can far outnumber their shingles.
     n_shingles = vocabulary.count()
+    n_windows, window_bytes = measured(windows)
     places = materialize(seen.join(bounded(vocabulary, n_shingles), "shingle", "left_semi"), "benchmark-places")
 
     # Rarity is counted over the whole corpus; a window that has a shingle nowhere occurs nowhere.
@@ -88,11 +104,12 @@ def decontaminate(
     first = Window.partitionBy("window").orderBy("df", "shingle", "offset")
     prefix = own.join(rarity, "shingle", "left").withColumn("rank", F.row_number().over(first)).where("rank = 1 AND df IS NOT NULL")
     prefix = materialize(prefix.select("window", "n", "offset", "shingle"), "benchmark-prefixes")
+    n_prefixes = prefix.count()
     candidates = (
-        places.join(bounded(prefix, n_shingles), "shingle")
+        places.join(bounded(prefix, n_prefixes, n_prefixes * ROW_BYTES), "shingle")
         .select("doc", "window", "n", (F.col("pos") - F.col("offset")).alias("start"), "size")
         .where("start >= 0 AND start + n <= size")
-        .join(bounded(windows.select("window", "words", "items"), n_shingles), "window")
+        .join(bounded(windows.select("window", "words", "items"), n_windows, window_bytes), "window")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("start", "n", "words", "items")).alias("candidates"))
         .withColumnRenamed("doc", "c_doc")

@@ -73,3 +73,18 @@ def test_empty_tables(case):
     docs, items, want = case
     assert decontaminate(docs.limit(0), items).count() == 0
     assert not any(r[5] for r in result(decontaminate(docs, items.limit(0))))
+
+
+@pytest.mark.parametrize("rows,size", [(20, 1 << 30), (1000, 20_000)])
+def test_more_windows_than_shingles_are_not_broadcast(spark, documents, monkeypatch, rows, size):
+    """Two words make 4 word pairs, and hundreds of windows."""
+    rng = random.Random(1)
+    items = [(k, " ".join(rng.choice("ab") for _ in range(60))) for k in range(8)]
+    docs = [(i, "x " + items[i % 8][1] + " y") for i in range(12)] + [(100, "a b a b"), (101, None)]
+    monkeypatch.setattr(module, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", size, raising=False)
+    sent, broadcast = [], module.F.broadcast
+    monkeypatch.setattr(module.F, "broadcast", lambda df: sent.append(df.columns) or broadcast(df))
+    got = decontaminate(documents(docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert ["shingle"] in sent and not [c for c in sent if "window" in c]
+    assert result(got) == brute(docs, items)
