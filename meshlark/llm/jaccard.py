@@ -8,14 +8,18 @@ summed per pair.
 Two sets of sizes n and m link when their overlap is at least
 ``least_overlap(n, m)``; then they share a shingle among the first n/4+1 of
 either.  Of the pairs so found, only those between different components need a
-count: first every shingle's documents meet one leader, and what has been
-linked is merged; a few rounds later all pairs that are still apart, and may
-link by the number of prefix shingles they share, are counted.
+count.  First every shingle's documents meet one leader, the one that holds the
+most widely shared shingles, and what has been linked is merged.  Then the
+documents that are still apart, and share enough shingles with other
+components, bring in their whole sets: ordered by frequency, with what a
+component has for itself alone left out, their prefixes are so rare that only
+pairs near the threshold meet.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -24,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, spread_join, text_of
+from .common import materialize, shared_dir, text_of
 from .components import components
 from .fragments import PACKED, merged, pack, shared
-from .shingles import WordHashes, shingle_set, signed, words_of
+from .shingles import WordHashes, mixed, shingle_set, signed, words_of
 
 SIZE = 5
 #: All prefixes reach at least this far in the order: three tenths of the hashes.
@@ -35,7 +39,12 @@ FLOOR = np.uint64((1 << 64) * 3 // 10)
 #: Fragments of the order in which overlaps of a pair are counted apart.
 FRAGMENTS = 4
 #: Rounds in which documents meet leaders, and how many of them each at most; this saves pairs and loses none.
-LEADER_ROUNDS, LEADERS = 4, 8
+LEADER_ROUNDS, LEADERS = 2, 8
+#: Sizes of sets that differ by this factor share a prefix length in the last round.
+BAND = 1.02
+#: Longs of a set's signature in the last round.
+SIGNATURE = 16
+CUTS = np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], "u8")
 #: Prefix shingles that a fragment's task holds at a time, on average.
 FRAGMENT_ROWS = 1_000_000
 
@@ -93,7 +102,7 @@ def _segments(size: int):
             for at in range(0, batch.num_rows, 500):
                 part, rows, fragments, segments = batch.slice(at, 500), [], [], []
                 for i, s in enumerate(_sets(part, size, known)):
-                    bounds = np.searchsorted(s, [np.uint64(f << 62) for f in range(1, FRAGMENTS)])
+                    bounds = np.searchsorted(s, CUTS)
                     for f, segment in enumerate(np.split(s, bounds)):
                         if len(segment):
                             rows.append(i)
@@ -158,16 +167,24 @@ def _component_links(links: DataFrame, labels: DataFrame) -> DataFrame:
     return links.join(c.withColumnsRenamed({"doc": "a", "component": "c_a"}), "a").join(c.withColumnsRenamed({"doc": "b", "component": "c_b"}), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
 
 
+def _with_centrality(prefixes: DataFrame) -> DataFrame:
+    """Adds how widely a document's prefix shingles are shared on average.  In a group of near copies the one with the fewest changes has the most."""
+    entries = prefixes.select(F.explode("tokens").alias("token"), "doc")
+    df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    found = entries.join(df, "token").groupBy(F.col("doc").alias("d_doc")).agg(F.sum("df").alias("sum"))
+    return prefixes.join(found, F.col("doc") == F.col("d_doc")).select("doc", "tokens", (F.col("sum") / F.col("prefix")).alias("central"))
+
+
 def _leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
     """Every shingle's documents against one of its largest component, where there are more components than one.
 
-    At first one order of the documents decides for all shingles, so that a
-    group meets few leaders; later each shingle draws its own, so that documents
-    still apart meet others every time.  A document takes the LEADERS that it
-    has met most; what is left out here is left to the last round.
+    At first that is the most central one, so that a group meets few leaders;
+    later chance has a say, so that documents still apart meet others.  A
+    document takes the LEADERS that it has met most; what is left out here is
+    left to the last round.
     """
-    draw = F.xxhash64("doc", "token", F.lit(turn)) if turn else F.xxhash64("doc")
-    rank = F.struct("members", draw.alias("h"), "doc", "component", "n")
+    draw = F.xxhash64("doc", F.lit(turn))
+    rank = F.struct("members", (F.col("central") * F.pmod(draw, F.lit(1 << 20)) if turn else F.col("central")).alias("central"), draw.alias("h"), "doc", "component", "n")
     lead = entries.groupBy("token").agg(F.max(rank).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "l.*")
     lead = lead.select("token", F.col("doc").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
     met = entries.join(lead, "token").where("component <> c_a AND 3 * n <= 4 * n_a AND 3 * n_a <= 4 * n")
@@ -176,25 +193,71 @@ def _leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
     return per.where("8 * all >= n_b").select("b", "n_b", F.explode("most").alias("m")).select("m.a", "b", "m.n_a", "n_b")
 
 
-def _pairs_apart(entries: DataFrame) -> DataFrame:
-    """All pairs of different components that may link.
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit per hashed shingle: what one signature has and another lacks, the sets differ by at least."""
+    for batch in batches:
+        sets = batch.column(1)
+        bits = np.zeros((batch.num_rows, SIGNATURE), "u8")
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(sets.offsets.to_numpy()))
+        place = mixed(sets.flatten().to_numpy().view("u8")) % np.uint64(64 * SIGNATURE)
+        np.bitwise_or.at(bits, (rows, (place >> np.uint64(6)).astype("i8")), np.uint64(1) << (place & np.uint64(63)))
+        offsets = np.arange(0, bits.size + 1, SIGNATURE, dtype="i4")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(bits.reshape(-1))))], ["doc", "bits"])
 
-    Of a pair that links, the smaller document shares all but n/7 of its
-    shingles up to FLOOR, and the larger all but n/4 of its own.  So either may
-    leave out its most frequent ones, one fewer than it must share: in an order
-    by frequency that is the same for all, the rarest that they share is left.
-    """
-    kinds = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
-    open_ = entries.join(kinds, "token").groupBy("doc", "component", "n", "low").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rarest"))
-    open_ = materialize(open_, "open-prefixes")
 
-    def kept(side: str, slack: int) -> DataFrame:
-        leave = F.greatest(F.lit(1), F.col("low") - F.expr(f"n div {slack}")).cast("int") - 1
-        tokens = open_.where(F.size("rarest") > leave).select("doc", "component", "n", F.explode(F.slice("rarest", F.lit(1), F.size("rarest") - leave)).alias("t"))
-        return tokens.select(F.col("t.token").alias("token"), *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "component", "n")))
+def _open_sets(entries: DataFrame, segments: Segments) -> DataFrame:
+    """``(doc, component, members, n, m, rarest)`` of the documents that may still link with another component.
 
-    met = kept("a", 7).join(kept("b", 4), "token").where("(n_b > n_a OR n_b = n_a AND doc_b > doc_a) AND 3 * n_b <= 4 * n_a AND component_a <> component_b")
-    return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b").distinct()
+    ``rarest`` are the ``m`` shingles of a whole set that other components have
+    as well, by frequency.  A document that links shares three quarters of its set.
+    """
+    low = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    some = entries.join(low, "token").groupBy("doc", "component", "members", "n", "low").agg(F.count(F.lit(1)).alias("met"))
+    some = some.where(F.col("met") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 4"))).select("doc", "component", "members", "n")
+    whole = materialize(segments.table.join(some, "doc").select("doc", "component", "members", "n", "segment"), "open-segments")
+    tokens = whole.select("doc", "component", "members", "n", F.explode("segment").alias("token"))
+    kinds = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
+    found = tokens.join(kinds, "token").groupBy("doc", "component", "members", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rarest"))
+    found = found.withColumn("m", F.size("rarest").cast("bigint")).where("4 * m >= 3 * n")
+    return materialize(found.withColumn("rarest", F.col("rarest.token")), "open-sets")
+
+
+def _pairs_apart(entries: DataFrame, segments: Segments) -> DataFrame:
+    """All pairs of different components that may link, by prefix, length, position and signature.
+
+    Two sets that must share o shingles share one among the rarest m-o+1 of
+    either; o follows from the sizes, so the larger set has a prefix for every
+    band of smaller sizes.  A shingle at places i and j leaves at most
+    min(i, j) shared ones before it, and as many as the shorter rest after it.
+    """
+    open_ = _open_sets(entries, segments)
+    band = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
+    own = ["doc", "component", "members", "n", "m"]
+
+    def prefixes(df: DataFrame, overlap: Column) -> DataFrame:
+        length = (F.col("m") - overlap + 1).cast("int")
+        return df.withColumn("length", length).where("length > 0").select(*own, "band", F.posexplode(F.slice("rarest", F.lit(1), F.col("length"))).alias("pos", "token"))
+
+    small = prefixes(open_.withColumn("band", band(F.col("n"))), F.ceil(F.col("n") * 6 / 7))
+    least = F.greatest(F.ceil(F.pow(F.lit(BAND), "band") * (1 - 1e-6)), F.ceil(F.col("n") * 3 / 4))
+    bands = open_.withColumn("band", F.explode(F.sequence(band(F.greatest(F.lit(1), F.ceil(F.col("n") * 3 / 4))), band(F.col("n")))))
+    large = prefixes(bands, least_overlap(least, F.col("n")))
+    # Within the largest component of a key nothing meets: its smaller sets meet the others' larger ones, and the others' smaller ones all.
+    keys = small.groupBy("token", "band").agg(F.max(F.struct("members", "component"))["component"].alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    side = lambda df, name: df.select("token", "band", "half", *(F.col(c).alias(f"{c}_{name}") for c in ("doc", "component", "n", "m", "pos")))
+    small = side(small.join(keys, ["token", "band"]).withColumn("half", F.explode(F.when(F.col("component") == F.col("top"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))), "a")
+    large = large.join(keys, ["token", "band"]).where("lo <> component OR hi <> component")
+    large = side(large.withColumn("half", F.when(F.col("component") == F.col("top"), 0).otherwise(1)), "b")
+    apart = "component_a <> component_b AND (n_b > n_a OR n_b = n_a AND doc_b > doc_a) AND 3 * n_b <= 4 * n_a"
+    reach = F.least("pos_a", "pos_b") + 1 + F.least(F.col("m_a") - 1 - F.col("pos_a"), F.col("m_b") - 1 - F.col("pos_b"))
+    met = small.join(large, ["token", "band", "half"]).where(apart).where(reach >= least_overlap(F.col("n_a"), F.col("n_b")))
+    met = met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b", "m_a", "m_b").distinct()
+    signs = materialize(open_.select("doc", "rarest").mapInArrow(_signatures, "doc bigint, bits array<bigint>"), "signatures")
+    for name in ("a", "b"):
+        met = met.join(signs.select(F.col("doc").alias(name), F.col("bits").alias(f"bits_{name}")), name)
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(SIGNATURE)), F.lit(0))
+    most = F.least(F.col("m_a") - lacks("a", "b"), F.col("m_b") - lacks("b", "a"))
+    return met.where(most >= least_overlap(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b")
 
 
 def _several_texts(base: DataFrame, size: int, leader_rounds: int) -> DataFrame:
@@ -208,7 +271,7 @@ def _several_texts(base: DataFrame, size: int, leader_rounds: int) -> DataFrame:
     joined = components(known.select("doc", F.col("c").alias("b")).distinct().join(first, "doc").select("a", "b"))
     merged = known.join(joined, F.col("c") == F.col("node"), "left").select("doc", "n_shingles", F.coalesce("component", "c").alias("c"))
     names = merged.groupBy("c").agg(F.min("doc").alias("component_id"))
-    return spread_join(merged, names, "c", "doc").select("doc", "n_shingles", "component_id").union(alone)
+    return merged.join(names, "c").select("doc", "n_shingles", "component_id").union(alone)
 
 
 def _null_profiles(size: int):
@@ -241,7 +304,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = profiles.where("n > 0 AND doc IS NOT NULL")
     # Equal sets are one class, represented by its smallest id.
     classes = some.groupBy("digest").agg(F.min("doc").alias("rep"))
-    members = spread_join(some, classes, "digest", "doc").select("doc", "rep", "n", "prefix", "low")
+    # A digest may hold a third of all rows; adaptive execution splits it.
+    members = some.join(classes, "digest").select("doc", "rep", "n", "prefix", "low")
     same = materialize(members.select("doc", "rep").distinct(), "classes")
     if same.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
         out = _several_texts(base, size, leader_rounds)
@@ -252,13 +316,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Of a document that links at least three quarters are shared, so of its shingles up to FLOOR all but n/4.
     prefixes = shared_prefixes(base.where("doc IS NOT NULL"), size).groupBy("doc").agg(F.collect_set("token").alias("tokens"))
     prefixes = prefixes.join(labels, "doc").where(F.size("tokens") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 4")))
-    prefixes = materialize(prefixes.select("doc", "tokens"), "prefixes")
+    prefixes = materialize(_with_centrality(materialize(prefixes.select("doc", "tokens", "prefix"), "shared-prefixes")), "prefixes")
     segments = Segments(base.join(prefixes.select("doc"), "doc", "left_semi"), size)
     try:
         for turn in range(leader_rounds + 1):
             sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-            entries = prefixes.join(labels.join(sizes, "component"), "doc").select(F.explode("tokens").alias("token"), "doc", "component", "n", "prefix", "low", "members")
-            pairs = _leader_pairs(entries, turn) if turn < leader_rounds else _pairs_apart(entries)
+            entries = prefixes.join(labels.join(sizes, "component"), "doc").select(F.explode("tokens").alias("token"), "doc", "component", "n", "low", "members", "central")
+            pairs = _leader_pairs(entries, turn) if turn < leader_rounds else _pairs_apart(entries, segments)
             links = materialize(segments.linked(pairs), "pair-links")
             if links.limit(1).count():
                 labels = _merged(labels, _component_links(links, labels))
