@@ -11,9 +11,9 @@ either.  Of the pairs so found, only those between different components need a
 count.  First every shingle's documents meet one leader, the one that holds the
 most widely shared shingles, and what has been linked is merged.  Then the
 documents that are still apart, and share enough shingles with other
-components, bring in their whole sets: ordered by frequency, with what a
-component has for itself alone left out, their prefixes are so rare that only
-pairs near the threshold meet.
+components, bring in their whole sets.  They meet leaders once more; at last,
+with whole sets ordered by frequency and what a component has for itself alone
+left out, prefixes are so rare that only pairs near the threshold meet.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ FLOOR = np.uint64((1 << 64) * 3 // 10)
 #: Fragments of the order in which overlaps of a pair are counted apart.
 FRAGMENTS = 4
 #: Rounds in which documents meet leaders, and how many of them each at most; this saves pairs and loses none.
-LEADER_ROUNDS, LEADERS = 2, 8
+LEADER_ROUNDS, LEADERS = 1, 8
 #: Sizes of sets that differ by this factor share a prefix length in the last round.
 BAND = 1.02
 #: Longs of a set's signature in the last round.
@@ -156,15 +156,26 @@ class Segments:
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after links between components; ``links(a, b)`` names components."""
-    found = components(links).withColumnRenamed("component", "merged")
+    """Labels after links between documents."""
+    links = materialize(links, "pair-links")
+    if not links.limit(1).count():
+        return labels
+    c = labels.select("doc", "component")
+    between = links.join(c.withColumnsRenamed({"doc": "a", "component": "c_a"}), "a").join(c.withColumnsRenamed({"doc": "b", "component": "c_b"}), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    found = components(between).withColumnRenamed("component", "merged")
     new = labels.join(found, F.col("component") == F.col("node"), "left").select("doc", "n", "prefix", "low", F.coalesce("merged", "component").alias("component"))
     return materialize(new, "labels")
 
 
-def _component_links(links: DataFrame, labels: DataFrame) -> DataFrame:
-    c = labels.select("doc", "component")
-    return links.join(c.withColumnsRenamed({"doc": "a", "component": "c_a"}), "a").join(c.withColumnsRenamed({"doc": "b", "component": "c_b"}), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+def _with_members(labels: DataFrame) -> DataFrame:
+    """``(doc, component, members)``."""
+    return labels.join(labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").select("doc", "component", "members")
+
+
+def _entries(sets: DataFrame, tokens: str, labels: DataFrame) -> DataFrame:
+    """A row per document and shingle of the column ``tokens``."""
+    rest = [c for c in ("n", "low", "central") if c in sets.columns]
+    return sets.join(_with_members(labels), "doc").select(F.explode(tokens).alias("token"), "doc", "component", "members", *rest)
 
 
 def _with_centrality(prefixes: DataFrame) -> DataFrame:
@@ -172,7 +183,7 @@ def _with_centrality(prefixes: DataFrame) -> DataFrame:
     entries = prefixes.select(F.explode("tokens").alias("token"), "doc")
     df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     found = entries.join(df, "token").groupBy(F.col("doc").alias("d_doc")).agg(F.sum("df").alias("sum"))
-    return prefixes.join(found, F.col("doc") == F.col("d_doc")).select("doc", "tokens", (F.col("sum") / F.col("prefix")).alias("central"))
+    return prefixes.join(found, F.col("doc") == F.col("d_doc")).select("doc", "tokens", "n", "low", (F.col("sum") / F.col("prefix")).alias("central"))
 
 
 def _leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
@@ -206,23 +217,23 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_sets(entries: DataFrame, segments: Segments) -> DataFrame:
-    """``(doc, component, members, n, m, rarest)`` of the documents that may still link with another component.
+    """``(doc, n, m, rarest, central)`` of the documents that may still link with another component.
 
     ``rarest`` are the ``m`` shingles of a whole set that other components have
     as well, by frequency.  A document that links shares three quarters of its set.
     """
     low = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    some = entries.join(low, "token").groupBy("doc", "component", "members", "n", "low").agg(F.count(F.lit(1)).alias("met"))
-    some = some.where(F.col("met") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 4"))).select("doc", "component", "members", "n")
-    whole = materialize(segments.table.join(some, "doc").select("doc", "component", "members", "n", "segment"), "open-segments")
-    tokens = whole.select("doc", "component", "members", "n", F.explode("segment").alias("token"))
+    some = entries.join(low, "token").groupBy("doc", "component", "n", "low").agg(F.count(F.lit(1)).alias("met"))
+    some = some.where(F.col("met") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 4"))).select("doc", "component", "n")
+    whole = materialize(segments.table.join(some, "doc").select("doc", "component", "n", "segment"), "open-segments")
+    tokens = whole.select("doc", "component", "n", F.explode("segment").alias("token"))
     kinds = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
-    found = tokens.join(kinds, "token").groupBy("doc", "component", "members", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rarest"))
+    found = tokens.join(kinds, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rarest"), (F.sum("df") / F.col("n")).alias("central"))
     found = found.withColumn("m", F.size("rarest").cast("bigint")).where("4 * m >= 3 * n")
     return materialize(found.withColumn("rarest", F.col("rarest.token")), "open-sets")
 
 
-def _pairs_apart(entries: DataFrame, segments: Segments) -> DataFrame:
+def _pairs_apart(open_: DataFrame) -> DataFrame:
     """All pairs of different components that may link, by prefix, length, position and signature.
 
     Two sets that must share o shingles share one among the rarest m-o+1 of
@@ -230,7 +241,6 @@ def _pairs_apart(entries: DataFrame, segments: Segments) -> DataFrame:
     band of smaller sizes.  A shingle at places i and j leaves at most
     min(i, j) shared ones before it, and as many as the shorter rest after it.
     """
-    open_ = _open_sets(entries, segments)
     band = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
     own = ["doc", "component", "members", "n", "m"]
 
@@ -316,16 +326,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Of a document that links at least three quarters are shared, so of its shingles up to FLOOR all but n/4.
     prefixes = shared_prefixes(base.where("doc IS NOT NULL"), size).groupBy("doc").agg(F.collect_set("token").alias("tokens"))
     prefixes = prefixes.join(labels, "doc").where(F.size("tokens") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 4")))
-    prefixes = materialize(_with_centrality(materialize(prefixes.select("doc", "tokens", "prefix"), "shared-prefixes")), "prefixes")
+    prefixes = materialize(_with_centrality(materialize(prefixes.select("doc", "tokens", "n", "prefix", "low"), "shared-prefixes")), "prefixes")
     segments = Segments(base.join(prefixes.select("doc"), "doc", "left_semi"), size)
     try:
-        for turn in range(leader_rounds + 1):
-            sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-            entries = prefixes.join(labels.join(sizes, "component"), "doc").select(F.explode("tokens").alias("token"), "doc", "component", "n", "low", "members", "central")
-            pairs = _leader_pairs(entries, turn) if turn < leader_rounds else _pairs_apart(entries, segments)
-            links = materialize(segments.linked(pairs), "pair-links")
-            if links.limit(1).count():
-                labels = _merged(labels, _component_links(links, labels))
+        for turn in range(leader_rounds):
+            labels = _merged(labels, segments.linked(_leader_pairs(_entries(prefixes, "tokens", labels), turn)))
+        sets = _open_sets(_entries(prefixes, "tokens", labels), segments)
+        if leader_rounds:
+            labels = _merged(labels, segments.linked(_leader_pairs(_entries(sets, "rarest", labels), 0)))
+        labels = _merged(labels, segments.linked(_pairs_apart(sets.join(_with_members(labels), "doc"))))
     finally:
         segments.drop()
     # Documents of a class follow their representative.

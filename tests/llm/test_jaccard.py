@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,50 @@ def test_matches_brute_force(documents, clashing, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_large_group_of_near_copies(documents, monkeypatch):
+    """2,000 near copies of one text, of which about a fifth of the pairs link; the last round may meet few of them."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(changed(base, rng.choice([0, 1, 1, 1, 2, 2, 3, 4, 5]), rng))) for i in rng.sample(range(100_000), 2000)]
+    number, sets = {}, []
+    for _, t in rows:
+        sets.append([number.setdefault(s, len(number)) for s in shingles(t)])
+    seen = [0] * len(number)
+    for s in sets:
+        for x in s:
+            seen[x] += 1
+    column = {x: i for i, x in enumerate(x for x, k in enumerate(seen) if k > 1)}
+    has = np.zeros((len(rows), len(column)), "f4")
+    for i, s in enumerate(sets):
+        has[i, [column[x] for x in s if x in column]] = 1
+    n = np.array([len(s) for s in sets])
+    both = has @ has.T
+    link = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(link, True)
+    assert 0.1 < link.mean() < 0.4
+    ids = np.array([i for i, _ in rows])
+    label = ids.copy()
+    while True:
+        new = np.where(link, label[None, :], 1 << 40).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    met = []
+    real = jaccard._pairs_apart
+    monkeypatch.setattr(jaccard, "_pairs_apart", lambda sets: met.append(pairs := jaccard.materialize(real(sets), "met")) or pairs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(documents(rows)).collect()}
+    assert got == {int(i): (int(k), int(c)) for i, k, c in zip(ids, n, label)}
+    assert met[0].count() < 10 * len(rows)
+
+
+def test_very_long_text(documents):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed(words, 2000, rng))), (3, " ".join(changed(words, 20_000, rng))), (4, " ".join(words[:100]))]
+    got = {r.doc_id: r.component_id for r in jaccard_components(documents(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_odd_rows(documents):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one two"), (6, "one  TWO"), (9, "one two three four five"), (8, "ONE two three four five"), (7, "É é"), (10, "é é"), (None, "one two"), (20, "a b c d e f g h i j"), (20, "one two"), (21, "a b c d e f g h i j")]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_components(documents(rows)).collect())
