@@ -45,11 +45,7 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-SALTS = 32
 
-
-def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join of rows with one row per key, where a key may hold a third of all rows: its rows are dealt to
-    SALTS tasks by the column ``by``, and the rows of ``few``, which are unique, are repeated as often."""
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("_salt", F.pmod(F.hash(by), F.lit(SALTS))).join(salted, [key, "_salt"]).drop("_salt")
+def other_id(doc: str = "doc", text: str = "text") -> Column:
+    """What tells rows without an id apart: a hash of the text; null for rows with an id."""
+    return F.when(F.col(doc).isNull(), F.xxhash64(text))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join, text_of
+from .common import materialize, other_id, text_of
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -78,7 +78,7 @@ def _line_hashes(min_chars: int):
                 part = batch.slice(at, 256)
                 hashes = [list({_hash(k) for k in _keys(t.as_py(), min_chars)}) for t in part.column(1)]
                 docs = np.repeat(np.arange(part.num_rows), [len(x) for x in hashes])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs)), pa.array([h for x in hashes for h in x], pa.int64())], ["doc", "hash"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs)), part.column(2).take(pa.array(docs)), pa.array([h for x in hashes for h in x], pa.int64())], ["doc", "alt", "hash"])
 
     return run
 
@@ -115,12 +115,12 @@ def _suspected_lines(min_chars: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, keys = [], []
-                for i, (text, hashes) in enumerate(zip(part.column(1), part.column(2))):
+                for i, (text, hashes) in enumerate(zip(part.column(1), part.column(3))):
                     wanted = set(hashes.as_py())
                     own = [k for k in _keys(text.as_py(), min_chars) if _hash(k) in wanted]
                     rows += [i] * len(own)
                     keys += own
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["doc", "key"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), part.column(2).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["doc", "alt", "key"])
 
     return run
 
@@ -158,37 +158,42 @@ def line_dedup(
     ``kept_sha256``, if ``with_text``, ``kept_text``, and the columns ``carry``.
 
     A null or empty text is one empty line.  A line repeated in a document
-    counts once and stays or goes as a whole.  A null id is smaller than any
-    other; a line that only null ids hold stays.  Rows repeated with one id
-    count as documents each, and keep a line together.  An empty table gives an
-    empty result; other columns are ignored.
+    counts once and stays or goes as a whole.  Rows repeated with one id are
+    one document, and keep a line together.  A row without an id counts for no
+    document and keeps no line that others keep.  Texts and lines may be of any
+    length that fits a row.  An empty table gives an empty result; other
+    columns are ignored.
     """
     base = text_of(docs, id_col, text_col)
     kind = base.schema["doc"].dataType.simpleString()
-    pairs = materialize(base.mapInArrow(_line_hashes(min_chars), f"doc {kind}, hash bigint"), "line-hashes")
+    # Rows without an id are told apart by their texts, so that they don't gather in one group.
+    base = base.withColumn("alt", other_id()).select("doc", "text", "alt")
+    pairs = materialize(base.mapInArrow(_line_hashes(min_chars), f"doc {kind}, alt bigint, hash bigint"), "line-hashes")
     total = pairs.count()
     shards = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     # Hashes are dealt evenly, and equal ones of a batch move as one row.
     sightings = pairs.select("hash").mapInArrow(_sightings, "hash bigint, n tinyint").repartition(shards, "hash")
     suspects = sightings.mapInArrow(_suspects(max(1024, total // shards), min_docs), "hash bigint").distinct()
-    wanted = pairs.join(suspects, "hash", "left_semi").groupBy(F.col("doc").alias("w_doc")).agg(F.collect_set("hash").alias("hashes"))
+    wanted = pairs.join(suspects, "hash", "left_semi").groupBy(F.col("doc").alias("w_doc"), F.col("alt").alias("w_alt")).agg(F.collect_set("hash").alias("hashes"))
 
     # The texts are dealt out by id once; both joins read the same exchange.
-    lines = base.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc"))).select("doc", "text", "hashes").mapInArrow(_suspected_lines(min_chars), f"doc {kind}, key binary")
-    repeated = lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs).select("key", "keeper")
+    own = lambda side: F.col("doc").eqNullSafe(F.col(f"{side}_doc")) & F.col("alt").eqNullSafe(F.col(f"{side}_alt"))
+    lines = base.join(wanted, own("w")).select("doc", "text", "alt", "hashes").mapInArrow(_suspected_lines(min_chars), f"doc {kind}, alt bigint, key binary")
+    repeated = lines.groupBy("key").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs).select("key", "keeper")
+    # A line may be in a third of all documents; adaptive execution splits its side of the join.
     drops = (
-        spread_join(lines, repeated, "key", "doc")
-        .where(F.col("keeper").isNotNull() & (F.col("doc").isNull() | (F.col("doc") < F.col("keeper"))))
-        .groupBy(F.col("doc").alias("d_doc"))
+        lines.join(repeated, "key")
+        .where(F.col("doc").isNull() | (F.col("doc") < F.col("keeper")))
+        .groupBy(F.col("doc").alias("d_doc"), F.col("alt").alias("d_alt"))
         .agg(F.collect_set("key").alias("keys"))
     )
     schema = f"doc {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string, kept_text string"
     whole, rest = base, []
     if carry:
         row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
-        whole, rest = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row), ["row"]
+        whole, rest = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row).withColumn("alt", other_id()), ["row"]
         schema += f", row {whole.schema['row'].dataType.simpleString()}"
-    judged = whole.join(drops, F.col("doc").eqNullSafe(F.col("d_doc")), "left").select("doc", "text", "keys", *rest)
+    judged = whole.join(drops, own("d"), "left").select("doc", "text", "keys", *rest)
     out = judged.mapInArrow(_drop_lines(min_chars, with_text), schema)
     kept = ["kept_text"] if with_text else []
     return out.select(F.col("doc").alias(id_col), "n_lines", "n_dropped", "kept_sha256", *kept, *([f"row.{c}" for c in carry]))

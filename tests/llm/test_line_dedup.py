@@ -48,7 +48,19 @@ def test_null_and_repeated_ids(documents):
     line = "this line is long enough to count"
     rows = [(None, line), (1, line), (1, line), (None, "another line that is long enough"), (None, "another line that is long enough"), (None, "another line that is long enough")]
     got = sorted((str(r.doc_id), r.n_dropped) for r in line_dedup(documents(rows)).collect())
-    assert got == [("1", 0), ("1", 0), ("None", 0), ("None", 0), ("None", 0), ("None", 1)]
+    assert got == [("1", 0), ("1", 0), ("None", 0), ("None", 0), ("None", 0), ("None", 0)]
+    more = [(1, line), (1, line), (2, line)]
+    assert {r.n_dropped for r in line_dedup(documents(more)).collect()} == {0}
+    more += [(3, line + "\n" + line), (None, line), (None, "its own")]
+    got = sorted((str(r.doc_id), r.n_dropped) for r in line_dedup(documents(more)).collect())
+    assert got == [("1", 1), ("1", 1), ("2", 1), ("3", 0), ("None", 0), ("None", 1)]
+
+
+def test_very_long_texts_and_lines(documents):
+    line, long = "a line that many documents hold", "y" * 1_000_000
+    rows = {i: "\n".join([line] * 20_000 + [f"own {i} {long}", long]) for i in range(4)}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup(documents(rows.items())).collect()}
+    assert got == brute_lines(rows) and got[0][1] == 20_001
 
 
 def test_empty_table(documents):
