@@ -52,13 +52,17 @@ def lookup_table(shards: Sequence[str], size: int = TABLE_SIZE) -> list[int]:
 def assign_shards(df: DataFrame, key_cols: Sequence[str], shards: Sequence[str], size: int = TABLE_SIZE) -> DataFrame:
     """Adds ``slot`` (long) and ``shard`` (string), replacing columns of these names, to every row.
 
-    Rows with equal keys share a shard; a null key column counts as a value of
-    its own.  No shuffle.  An empty table stays empty.
+    Rows with equal keys share a shard, however often a key comes; keys are
+    read as text of any length, and a null key column counts as a value of its
+    own.  No shuffle.  An empty table stays empty; other columns, whatever
+    their names, stay as they are.
     """
-    table = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, size))], "_slot bigint, _shard string")
+    table = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, size))], "slot bigint, shard string")
     # Length-prefixed parts: no two different keys read alike.
-    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(f"`{c}`").cast("string")), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-"))
     slot = F.conv(F.substring(F.md5(F.concat(*map(part, key_cols))), 1, 15), 16, 10).cast("bigint") % size
-    placed = df.withColumn("_slot", slot).join(F.broadcast(table), "_slot", "left")
+    # The row goes in one struct, so that no column of it can clash.
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
-    return placed.select(*keep, F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_"))
+    placed = df.select(row.alias("row"), slot.alias("slot")).join(F.broadcast(table), "slot", "left")
+    return placed.select(*(["row.*"] if keep else []), "slot", "shard")

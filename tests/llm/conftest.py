@@ -19,5 +19,5 @@ def clashing():
     """Adds columns whose names an operator may use itself."""
     from pyspark.sql import functions as F
 
-    names = "doc recipe keep_id group_size kept chunk cid hit copy start length ids offset bucket word pos h hash shard slot lines key n_hit n_words spans rejected score".split()
+    names = "_slot _shard row alt doc recipe keep_id group_size kept chunk cid hit copy start length ids offset bucket word pos h hash shard slot lines key n_hit n_words spans rejected score".split()
     return lambda df: df.withColumns({n: F.lit("x") for n in names})

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 
 import pytest
 
@@ -49,6 +50,17 @@ def test_placement(documents, clashing):
     table = lookup_table(SHARDS, 997)
     assert all(SHARDS[table[r.slot]] == r.shard for r in got)
     assert len({(r.doc_id, r.shard) for r in got}) == 3001
+    # The slot by its definition: the first 15 hex digits of the key's digest.
+    part = lambda i: f"{len(str(i))}:{i}" if i is not None else "-"
+    assert all(r.slot == int(hashlib.md5(part(r.doc_id).encode()).hexdigest()[:15], 16) % 997 for r in got)
+    assert {tuple(r) for r in placed.select("_slot", "_shard", "row").collect()} == {("x", "x", "x")}
     counts = collections.Counter(r.shard for r in got)
     assert min(counts.values()) > 220 and len(counts) == 10
     assert assign_shards(df.limit(0), ["doc_id", "source"], SHARDS, 997).count() == 0
+
+
+def test_long_and_repeated_keys(spark):
+    df = spark.createDataFrame([("k" * 500_000, 1), ("k" * 500_000, 2), ("", 3), (None, 4)], "key string, n int")
+    got = {r.n: r.shard for r in assign_shards(df, ["key"], SHARDS, 997).collect()}
+    assert got[1] == got[2] and len(got) == 4
+    assert assign_shards(df.select(df.n.alias("slot")), ["slot"], SHARDS, 997).columns == ["slot", "shard"]
