@@ -2,7 +2,9 @@
 
 A list is a log of dated entries: a domain was added to a category, or removed.
 Per domain and category they become validity intervals, and an as-of join
-evaluates every capture against what was active when it was fetched.
+evaluates every capture against what was active when it was fetched.  Intervals
+are cut into spans of time, so that a capture meets only what its own span has,
+and a busy domain is dealt out over its spans.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
+#: Seconds that a span of time has in the as-of join.
+SPAN = 30 * 86_400
+
 
 def host_of(url: Column) -> Column:
     """Lower-cased host of a URL, without user, port and final dot; empty if there is none."""
@@ -41,7 +46,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     Returns one row per input row: ``id_col``, ``host``, ``blocked``, ``matched_domain`` (the most specific
     one) and ``categories`` (sorted, comma-joined).
 
-    A null or malformed URL has an empty host and is not blocked, nor is a
+    URLs may be of any length.  A null or malformed URL has an empty host and is not blocked, nor is a
     capture without a fetch time.  Rows repeated with one id are evaluated each
     (their categories meet if the rows are equal); ids may be null.  Empty
     captures give an empty result; other columns are ignored.
@@ -52,8 +57,13 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     # A row per parent domain, the host itself included; each is cut after the explode, so that no row holds all of a long host's.
     parents = asked.select("host", "fetched", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("labels"))
     parents = parents.select("host", "fetched", F.expr("substring_index(host, '.', -labels)").alias("domain"))
-    # The as-of condition rides on the equality of domains; the hot side is split by adaptive execution.
-    hits = parents.join(validity_intervals(entries), "domain").where("valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)")
+    span = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / SPAN)
+    ends = asked.agg(F.min("fetched").alias("first"), F.max("fetched").alias("last"))
+    # One row of ends keeps intervals within the time that captures cover.
+    listed = validity_intervals(entries).join(F.broadcast(ends)).where("valid_from <= last AND (valid_to IS NULL OR valid_to > first)")
+    listed = listed.withColumn("span", F.explode(F.sequence(span(F.greatest("valid_from", "first")), span(F.least(F.coalesce("valid_to", "last"), F.col("last"))))))
+    # The hot side is split by adaptive execution.
+    hits = parents.withColumn("span", span(F.col("fetched"))).join(listed.drop("first", "last"), ["domain", "span"]).where("valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)")
     answers = hits.groupBy("host", "fetched").agg(
         F.max(F.struct(F.length("domain").alias("length"), "domain")).alias("best"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")
     ).select(F.col("host").alias("a_host"), F.col("fetched").alias("a_fetched"), F.col("best.domain").alias("matched_domain"), "categories")
