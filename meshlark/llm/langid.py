@@ -3,17 +3,18 @@
 A text is a normalised TF-IDF vector of hashed byte trigrams.  Document
 frequencies come from all labelled training texts; the centroids, several per
 language, from a bounded sample of them by spherical k-means.  A prediction is
-the language of the nearest centroid by cosine; a text too far from all of them
-is rejected.
+the language of the nearest centroid by cosine; a text is rejected if it is
+farther from it than nearly all training texts, and pieces of them, with as
+many trigrams.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +25,17 @@ from .common import text_of
 DIMS = 8192
 #: Centroids are fitted on about this many texts per language, chosen by a hash of the id; document frequencies on all.
 SAMPLE_PER_LANGUAGE = 1000
+#: Languages that can be learned: those with the most training texts.
+LANGUAGES = 200
 CENTROIDS = 3
-#: A text whose cosine to every centroid is below this is rejected.
-REJECT_BELOW = 0.05
+#: A cluster with a smaller share of a language's sample starts anew elsewhere.
+LEAST_CLUSTER = 0.05
+#: A text is rejected below this part of the cosine that all but REJECT_QUANTILE of the training pieces of its length class reach.
+REJECT_QUANTILE, REJECT_FACTOR = 0.01, 0.3
+#: Length classes: powers of two of the number of different trigrams.  Training texts are cut into pieces of so many bytes to fill the short ones.
+LENGTHS, PIECES = 14, (8, 16, 32, 64, 128, 256, 512, 1024, 4096)
 UNDETERMINED = "und"
 PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters counts as a space.
 _SPACED = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
@@ -46,16 +52,25 @@ def trigram_counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    """A letter is a character of Unicode's category L; numbers such as a half or a Roman eight are none."""
+    return any(map(str.isalpha, text or ""))
+
+
+def length_class(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum((counts > 0).sum(axis=-1), 1)).astype("i8"), LENGTHS - 1)
 
 
 @dataclass
 class Model:
-    """``labels[i]`` is the language of ``centroids[i]``; a few hundred kilobytes, whatever the corpus."""
+    """``labels[i]`` is the language of ``centroids[i]``, and ``least[i]`` the cosine that a text needs, by length class.
+
+    About 100 kB a language, of which there are LANGUAGES at most, whatever the corpus.
+    """
 
     idf: np.ndarray
     centroids: np.ndarray
     labels: list[str]
+    least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         tfidf = np.log1p(counts) * self.idf
@@ -63,18 +78,42 @@ class Model:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids of unit rows; the first is the mean's nearest row, the next the ones farthest from those before."""
-    chosen = [int(np.argmax(x @ x.mean(axis=0)))]
+    """Unit centroids of unit rows.
+
+    Starts from rows drawn with chances by their distance from those drawn
+    before, so that no row far from all others decides; a cluster that catches
+    hardly any rows starts anew from one of the largest cluster.
+    """
+    rng = np.random.default_rng(len(x))
+    chosen = [int(rng.integers(len(x)))]
     while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.argmin((x @ x[chosen].T).max(axis=1))))
+        far = np.maximum(1 - (x @ x[chosen].T).max(axis=1), 0).astype("f8")
+        far[chosen] = 0
+        far = far if far.sum() > 1e-9 else (~np.isin(np.arange(len(x)), chosen)).astype("f8")
+        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
     centroids = x[chosen]
-    for _ in range(rounds):
+    for turn in range(rounds):
         nearest = np.argmax(x @ centroids.T, axis=1)
-        means = np.stack([x[nearest == i].mean(axis=0) if (nearest == i).any() else c for i, c in enumerate(centroids)])
+        size = np.bincount(nearest, minlength=len(centroids))
+        means = np.stack([x[nearest == i].mean(axis=0) if size[i] else c for i, c in enumerate(centroids)])
         centroids = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+        if turn < rounds // 2:
+            for i in np.flatnonzero(size < LEAST_CLUSTER * len(x)):
+                centroids[i] = x[rng.choice(np.flatnonzero(nearest == size.argmax()))]
     return centroids
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """The text, and a piece of every length from its middle, cut at a blank."""
+    yield text
+    for n in PIECES:
+        if len(text) > 2 * n:
+            at = len(text) // 2
+            piece = text[at : at + n + 40].partition(" ")[2][:n]
+            if has_letter(piece):
+                yield piece
+
+
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(DIMS, "i8"), 0
     for batch in batches:
@@ -85,23 +124,48 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS)), pa.array(np.append(n, df))], ["dim", "df"])
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [np.flatnonzero(c).astype("i4") for c in map(trigram_counts, batch.column(0).to_pylist())]
-        counts = [trigram_counts(t)[d] for t, d in zip(batch.column(0).to_pylist(), rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32())), batch.column(1)], ["dims", "counts", "lang"])
-
-
 def is_held_out(id_: Column) -> Column:
     """Whether a document is kept from training: the CRC of its id as text is divisible by 5."""
     return F.coalesce(F.crc32(id_.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Model | None:
-    """Fit on rows with an id, a language and a text with letters that aren't held out; None without any."""
+def _fit_language(idf: np.ndarray, k: int):
+    """Centroids of one language's sample, and the cosines its texts and pieces of them have, by length class."""
+
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        texts = sorted(sample["text"])
+        model = Model(idf, np.zeros((0, DIMS), "f4"), [], np.zeros(0))
+        x = np.stack([trigram_counts(t) for t in texts])
+        x = model.vectors(x[x.any(axis=1)])
+        if not len(x):
+            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
+        centroids = spherical_kmeans(x, k)
+        reached: list[list[float]] = [[] for _ in range(LENGTHS)]
+        for t in texts:
+            counts = np.stack([trigram_counts(p) for p in _pieces(t)])
+            for n, c in zip(length_class(counts), (model.vectors(counts) @ centroids.T).max(axis=1)):
+                reached[n].append(float(c))
+        low = [REJECT_FACTOR * float(np.quantile(r, REJECT_QUANTILE)) if len(r) >= 20 else 0.0 for r in reached]
+        # More trigrams can only make a text surer: a class asks for no less than those before it.
+        low = np.maximum.accumulate(low)
+        return pd.DataFrame({"lang": [sample["lang"].iloc[0]] * len(centroids), "centroid": list(centroids.astype("f4")), "least": [low] * len(centroids)})
+
+    return run
+
+
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS,
+    languages: int = LANGUAGES,
+) -> Model | None:
+    """Fit on rows with an id, a language and a text with letters that aren't held out; None without any.
+
+    Every language is fitted on its own sample in a task of its own.  Of more
+    than ``languages`` labels those with the most rows are learned.
+    """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = rows.where(F.col("doc").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc")))
-    sizes = {r.lang: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r.lang: r["n"] for r in most.collect()}
     if not sizes:
         return None
     found = train.select("text").mapInArrow(_document_frequency, "dim bigint, df bigint").groupBy("dim").agg(F.sum("df").alias("df")).toPandas()
@@ -113,54 +177,48 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, per_language / n).otherwise(share)
     part = train.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
-    sample = part.mapInArrow(_sparse, "dims array<int>, counts array<float>, lang string").toPandas()
-    model = Model(idf, np.zeros((0, DIMS), "f4"), [])
-    for lang, own in sample.groupby("lang", sort=True):
-        x = np.zeros((len(own), DIMS), "f4")
-        for i, (d, c) in enumerate(zip(own["dims"], own["counts"])):
-            x[i, np.asarray(d, "i8")] = c
-        x = model.vectors(x[x.any(axis=1)])
-        if len(x):
-            # Arithmetic doesn't depend on the order in which the rows came.
-            x = x[np.lexsort(x[:, :64].T)]
-            centroids = spherical_kmeans(x, k)
-            model.centroids = np.vstack([model.centroids, centroids])
-            model.labels += [lang] * len(centroids)
-    return model if model.labels else None
+    fitted = part.groupBy("lang").applyInPandas(_fit_language(idf, k), "lang string, centroid array<float>, least array<double>").toPandas()
+    if not len(fitted):
+        return None
+    fitted = fitted.sort_values("lang", kind="stable")
+    return Model(idf, np.stack(fitted["centroid"]).astype("f4"), list(fitted["lang"]), np.stack(fitted["least"]))
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, reject_below: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = part.column(1).to_pylist()
-                pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+                pred, score, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 lettered = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
                 if lettered:
-                    near = model.vectors(np.stack([trigram_counts(texts[i]) for i in lettered])) @ model.centroids.T
+                    counts = np.stack([trigram_counts(texts[i]) for i in lettered])
+                    near = model.vectors(counts) @ model.centroids.T
                     best = near.argmax(axis=1)
-                    for i, b, s in zip(lettered, best, near.max(axis=1)):
-                        pred[i], score[i] = model.labels[b], min(1.0, max(0.0, float(s)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+                    least = model.least[best, length_class(counts)] if reject_below is None else np.full(len(best), reject_below)
+                    for i, b, s, low in zip(lettered, best, near.max(axis=1), least):
+                        pred[i], score[i], rejected[i] = model.labels[b], min(1.0, max(0.0, float(s))), s < low
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score), pa.array(rejected)], [*part.schema.names, "lang_pred", "score", "rejected"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", reject_below: float | None = None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``, replacing columns of these names.
 
     A text that is null or has no letter is ``und`` with score 0, and rejected;
-    so is every text if nothing could be learned.  A text below
-    ``reject_below`` is rejected and keeps its nearest language.  Every row
-    stands for itself, repeated or not; ids may be null; an empty table stays
-    empty.
+    so is every text if nothing could be learned.  Another is rejected if its
+    cosine is below what the model asks of its language and length, or below
+    ``reject_below`` if that is given, and keeps its nearest language.  Texts
+    are read whole, in pieces, whatever their length.  Every row stands for
+    itself, repeated or not; ids may be null; an empty table stays empty.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([*packed.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = packed.mapInArrow(_predict(model), schema)
-    return out.select("row.*", "lang_pred", "score", (F.col("lang_pred").eqNullSafe(UNDETERMINED) | (F.col("score") < reject_below)).alias("rejected"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    out = packed.mapInArrow(_predict(model, reject_below), schema)
+    return out.select("row.*", "lang_pred", "score", "rejected")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:

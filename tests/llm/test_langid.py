@@ -40,13 +40,48 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
 def test_odd_texts_and_rejection(spark):
     rows = corpus(200)
     model = fit(frame(spark, rows))
-    odd = [(1, None), (2, ""), (3, "123 !? 🙂"), (4, "the thing"), (5, "ЖЖЖЖЖЖ ЪЪЪЪЪЪ"), (4, "the thing"), (None, "the thing"), (6, "the and " * 200_000)]
+    odd = [(1, None), (2, ""), (3, "123 !? 🙂 ½ ² ① Ⅷ"), (4, "the thing"), (5, "ЖЖЖЖЖЖ ЪЪЪЪЪЪ"), (4, "the thing"), (None, "the thing"), (6, "the and " * 200_000)]
     got = {(r.doc_id, r.text): r for r in predict(frame(spark, [(i, t, None) for i, t in odd]), model).collect()}
     assert all(got[k].lang_pred == "und" and got[k].score == 0 and got[k].rejected for k in odd[:3])
     assert got[odd[3]].lang_pred == "en" and got[odd[7]].lang_pred == "en" and not got[odd[3]].rejected
     assert got[odd[4]].rejected and got[odd[4]].lang_pred in SYLLABLES
 
 
+def test_rejection_tells_other_scripts_and_noise_from_short_clean_texts(spark):
+    rows = corpus(600)
+    model = fit(frame(spark, rows))
+    rng = random.Random(2)
+    foreign = ["".join(rng.choice("бвгджзклмн") for _ in range(n)) + " " + "".join(rng.choice("абвгдежз") for _ in range(n)) for n in (30, 100, 400)]
+    noise = ["".join(rng.choice("qxzjkwv") + rng.choice("qxzjkv ") for _ in range(n)) for n in (40, 200, 1000)]
+    clean = [" ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(3)) for _ in range(n)) for lang in SYLLABLES for n in (1, 2, 5, 20, 300) for _ in range(20)]
+    texts = foreign + noise + clean
+    got = {r.text: r.rejected for r in predict(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), model).collect()}
+    assert all(got[t] for t in foreign + noise)
+    assert sum(got[t] for t in clean) <= 0.01 * len(clean)
+
+
+def test_many_labels(spark):
+    rows = [(i, t, f"label{i}" if i % 3 == 0 else lang) for i, t, lang, _ in corpus(300)]
+    model = fit(frame(spark, rows), languages=3)
+    assert set(model.labels) == set(SYLLABLES)
+
+
+def test_nearest_centroid_by_definition(spark):
+    """Predictions from the model's own numbers, one by one."""
+    rows = corpus(120)
+    model = fit(frame(spark, rows))
+    for r in predict(frame(spark, rows), model).collect():
+        if not r.text:
+            continue
+        raw = b" " + r.text.lower().encode() + b" "
+        counts = np.zeros(8192)
+        for i in range(len(raw) - 2):
+            counts[(int.from_bytes(raw[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 19] += raw[i : i + 3] != b"   "
+        v = np.log1p(counts) * model.idf
+        near = model.centroids @ (v / np.linalg.norm(v))
+        assert abs(near.max() - r.score) < 1e-4 and near[[x == r.lang_pred for x in model.labels]].max() > near.max() - 1e-5
+
+
 def test_nothing_to_learn_from(spark):
     df = frame(spark, [(i, "some text", None) for i in range(5)])
     assert {(r.lang_pred, r.rejected) for r in identify(df).collect()} == {("und", True)}
