@@ -32,7 +32,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a result once to shared storage and read it back: lineage ends there and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of shared storage."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once no result needs it any more."""
+    for df in written:
+        remove(df.sparkSession, df.written_to)
 
 
 def ascii_lower(c: Column) -> Column:

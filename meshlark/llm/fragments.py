@@ -21,10 +21,19 @@ NAMES = ["fragment", "tokens", "docs", "alone", "shared_tokens", "shared_docs"]
 PACKED = "fragment int, tokens array<bigint>, docs array<bigint>, alone array<boolean>, shared_tokens array<bigint>, shared_docs array<bigint>"
 
 
+def fragments_for(rows: int, each: int, least: int) -> int:
+    """A power of two of fragments, at least ``least``, that hold about ``each`` rows at most."""
+    return 1 << max(least - 1, -(-rows // each) - 1, 1).bit_length()
+
+
+def fragment_of(tokens: np.ndarray, fragments: int) -> np.ndarray:
+    """The fragment of unsigned hashes: their first bits, as there is a power of two of fragments."""
+    return (tokens >> np.uint64(65 - fragments.bit_length())).astype("i8") if fragments > 1 else np.zeros(len(tokens), "i8")
+
+
 def _cut(tokens: np.ndarray, fragments: int) -> np.ndarray:
     """Bounds of the fragments in sorted hashes."""
-    cuts = np.searchsorted(tokens, [np.uint64(i * (1 << 64) // fragments) for i in range(1, fragments)])
-    return np.concatenate([[0], cuts, [len(tokens)]]).astype("i4")
+    return np.searchsorted(fragment_of(tokens, fragments), np.arange(fragments + 1)).astype("i4")
 
 
 def as_lists(bounds: np.ndarray, *columns: np.ndarray) -> list[pa.ListArray]:
@@ -80,6 +89,22 @@ def merged(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_merge, PACKED)
 
 
+def recut(rows: DataFrame, fragments: int) -> DataFrame:
+    """Packed rows, cut into other fragments than they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens, docs, alone, s_tokens, s_docs = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 6))
+                order = np.argsort(s_tokens.view("u8"), kind="stable")
+                own = as_lists(_cut(tokens.view("u8"), fragments), tokens, docs, alone.astype(bool))
+                more = as_lists(_cut(s_tokens.view("u8")[order], fragments), s_tokens[order], s_docs[order])
+                out = pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *own, *more], NAMES)
+                yield out.filter(pa.array(np.diff(own[0].offsets.to_numpy()) + np.diff(more[0].offsets.to_numpy()) > 0))
+
+    return rows.mapInArrow(run, PACKED)
+
+
 def shared(rows: DataFrame) -> DataFrame:
     """``(token, doc)`` of hashes that two documents have, or one has twice."""
     pairs = rows.where(F.size("shared_tokens") > 0).select(F.explode(F.arrays_zip("shared_tokens", "shared_docs")).alias("s"))

@@ -2,11 +2,12 @@
 
 A window of 20 words is fingerprinted by its anchor: the least hash of the
 8-word shingles inside it.  Equal windows have equal anchors, and neighbouring
-windows mostly share theirs, so the index holds one fingerprint for about seven
-windows.  Every batch of documents appends a sorted immutable run; runs are
-merged, fragment by fragment of the hash order, to find anchors that occur
-twice, and compacted when there are many.  Only windows with such an anchor are
-then compared across documents, by fingerprints of their whole word sequence.
+windows mostly share theirs, so the index holds one hash for about seven
+windows.  It is a log of sorted immutable runs.  A new batch of documents is
+merge-joined with the runs, fragment by fragment of the hash order; windows
+whose anchors are met are compared with those of the documents that have them,
+and verified by a digest of the words of both.  Then the batch becomes a run
+itself, and runs are compacted when there are many.
 """
 
 from __future__ import annotations
@@ -20,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, text_of
-from .fragments import PACKED, as_lists, merged, pack, shared
+from .common import discard, materialize, remove, shared_dir, text_of
+from .fragments import PACKED, as_lists, fragment_of, fragments_for, merged, pack, recut
 from .shingles import WordHashes, mixed, signed, windows
 
 WINDOW, SHINGLE = 20, 8
-#: Fragments of the hash order.  A run has one sorted row for each, so they bound what a task holds at a time.
-FRAGMENTS = 512
+#: Anchors that a fragment of a run holds at most, about: they bound what a task holds at a time.
+FRAGMENT_ROWS = 1_000_000
+#: Characters of a text for which there is an anchor, about.
+CHARS_PER_ANCHOR = 40
 #: Runs that an index lets gather before it merges them into one.
 MAX_RUNS = 4
+#: Batches in which the query feeds a table to its index.
+BATCHES = 5
 SECOND = np.uint64(0xD6E8FEB86659FD93)
-#: Later windows that one row carries at most.
-LATER = 8192
 
 
 def window_anchors(words: np.ndarray, size: int = WINDOW, shingle: int = SHINGLE) -> np.ndarray:
@@ -68,116 +71,125 @@ def _batch_runs(size: int, fragments: int):
     return run
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints in shared storage.
-
-    ``append`` adds a batch of documents as a run, ``compact`` merges the runs,
-    ``repeated`` gives ``(token, doc)`` for all anchors that occur more than
-    once.  Nothing is changed in place: a merged run is written before the index
-    names it.
-    """
-
-    def __init__(self, spark: SparkSession, path: str | None = None, size: int = WINDOW, fragments: int = FRAGMENTS):
-        self.spark, self.size, self.fragments = spark, size, fragments
-        self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-
-    def _merged(self, rows: DataFrame) -> DataFrame:
-        return merged(rows, min(self.fragments, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").parquet(path)
-        return path
-
-    def append(self, base: DataFrame) -> None:
-        """``base`` has the columns ``doc`` (long) and ``text``."""
-        self.runs.append(self._write(self._merged(base.mapInArrow(_batch_runs(self.size, self.fragments), PACKED))))
-        if len(self.runs) > MAX_RUNS:
-            self.compact()
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(PACKED).parquet(*self.runs)
-
-    def compact(self) -> None:
-        if len(self.runs) > 1:
-            self.runs = [self._write(self._merged(self.read()))]
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge-joins the rows of each fragment, those of the new batch (``old`` false) first: ``(token, doc)`` of
+    anchors that the batch has and any other place has too."""
 
-    def repeated(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], "token bigint, doc bigint")
-        rows = self._merged(self.read()) if len(self.runs) > 1 else self.read()
-        return shared(rows)
+    def pairs(tokens: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(docs)], ["token", "doc"])
 
-
-WINDOW_NAMES = ["fragment", "hashes", "checks", "docs", "starts"]
-WINDOWS = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>"
-
-
-def _by_doc(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """``(doc, starts)``, a row per document."""
-    order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order]
-    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])[: len(docs)])
-    bounds = np.append(first, len(docs)).astype("i4")
-    return pa.RecordBatch.from_arrays([pa.array(docs[first]), as_lists(bounds, starts.astype("i4"))[0]], ["doc", "starts"])
-
-
-def _later(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows, positions of each sequence's first one, and of those that come after it."""
-    order = np.lexsort((starts, docs, checks, hashes))
+    fragment, tokens, docs, alone, hit = None, None, None, None, None
+    for batch in batches:
+        for i, (f, old) in enumerate(zip(batch.column(0).to_pylist(), batch.column(6).to_pylist())):
+            own, own_docs, own_alone, s_tokens, s_docs = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 6))
+            own_alone = own_alone.astype(bool)
+            if f != fragment:
+                if tokens is not None and hit.any():
+                    yield pairs(tokens[hit & alone], docs[hit & alone])
+                fragment, tokens = f, None
+            if not old:
+                # Of a batch's run, one row of a fragment has the anchors, sorted; the others pass repeated ones on.
+                if len(own):
+                    tokens, docs, alone, hit = own, own_docs, own_alone, np.zeros(len(own), bool)
+                if len(s_tokens):
+                    yield pairs(s_tokens, s_docs)
+            elif tokens is not None:
+                for there, there_docs in ((own, np.where(own_alone, own_docs, -1)), (s_tokens, s_docs)):
+                    at = np.minimum(np.searchsorted(tokens.view("u8"), there.view("u8")), len(tokens) - 1)
+                    same = tokens[at] == there
+                    hit[at[same]] = True
+                    # An anchor that several documents of a run have comes with each of them in a list.
+                    known = same if there is s_tokens else same & own_alone
+                    if known.any():
+                        yield pairs(there[known], there_docs[known])
+    if tokens is not None and hit.any():
+        yield pairs(tokens[hit & alone], docs[hit & alone])
+
+
+WINDOW_NAMES = ["fragment", "hashes", "checks", "docs", "starts", "fresh"]
+WINDOWS = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>, fresh array<boolean>, verified array<int>"
+LATER = "doc bigint, starts array<int>, first_docs array<bigint>, first_starts array<int>"
+
+
+def _later(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, starts: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows, positions of each sequence's first one, of those of new documents that come after it, and of the first ones to these."""
+    order = np.lexsort((starts, docs, fresh, checks, hashes))
     h, c, d, s = hashes[order], checks[order], docs[order], starts[order]
     first = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))[: len(h)]
     group = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, "i8")
-    after = (d != d[group]) | (s != s[group])
-    return order[first], order[after]
+    after = ((d != d[group]) | (s != s[group])) & fresh[order]
+    return order[first], order[after], order[group[after]]
+
+
+def _segments(docs: np.ndarray, starts: np.ndarray, first_docs: np.ndarray, first_starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows that follow each other in both documents, as ``(doc, start, first_doc, first_start, number)``."""
+    order = np.lexsort((starts, first_starts - starts, first_docs, docs))
+    d, s, fd, fs = docs[order], starts[order], first_docs[order], first_starts[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (fd[1:] != fd[:-1]) | (s[1:] != s[:-1] + 1) | (fs[1:] != fs[:-1] + 1))[: len(d)]
+    at = np.flatnonzero(new)
+    return d[at], s[at], fd[at], fs[at], np.diff(np.append(at, len(d)))
 
 
 def _candidate_windows(size: int, fragments: int):
-    """Windows whose anchor occurs more than once: per fragment each sequence's first one in the batch, and the
-    later ones in rows without hashes, as they need no other batch to be told.  Both come from one cut into
-    batches; the later ones are dealt by document, so that a common sequence isn't gathered in its fragment."""
+    """Windows whose anchor was met: per fragment each sequence's first one in the batch.  Those of new documents
+    that come after it are compared with it word by word at once, and go out by document (``verified``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            parts = []
-            for doc, text, tokens in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                words = known.of(text.as_py().encode("utf-8", "surrogatepass").split())
+            parts, texts = [], {}
+            for doc, text, tokens, fresh in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+                raw = text.as_py().encode("utf-8", "surrogatepass").split()
+                words = known.of(raw)
                 at = np.flatnonzero(np.isin(window_anchors(words, size), tokens.values.to_numpy().view("u8")))
                 if len(at):
+                    texts[doc] = raw
                     second = mixed(words ^ SECOND)
-                    parts.append((windows(words, size)[at], windows(second, size)[at], np.full(len(at), doc, "i8"), at))
+                    parts.append((windows(words, size)[at], windows(second, size)[at], np.full(len(at), doc, "i8"), at, np.full(len(at), fresh)))
             if not parts:
                 continue
-            hashes, checks, docs, starts = (np.concatenate(x) for x in zip(*parts))
-            first, after = _later(hashes, checks, docs, starts)
-            after = np.sort(after)
-            at = np.arange(0, len(after), LATER)
-            if len(at):
-                dealt = ((mixed(docs[after[at]].view("u8")) >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-                none = as_lists(np.zeros(len(at) + 1, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8"))
-                known_later = as_lists(np.append(at, len(after)).astype("i4"), docs[after], starts[after].astype("i4"))
-                yield pa.RecordBatch.from_arrays([pa.array(dealt.astype("i4")), *none, *known_later], WINDOW_NAMES)
-            first = np.sort(first)  # by document and start, which compresses well
-            hashes, checks, docs, starts = hashes[first], checks[first], docs[first], starts[first]
-            fragment = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+            hashes, checks, docs, starts, fresh = (np.concatenate(x) for x in zip(*parts))
+            first, after, to = _later(hashes, checks, docs, starts, fresh)
+            found: dict[int, list[np.ndarray]] = {}
+            wrong = np.zeros(0, "i8")
+            for d, s, fd, fs, n in zip(*(x.tolist() for x in _segments(docs[after], starts[after], docs[to], starts[to]))):
+                if texts[d][s : s + n + size - 1] == texts[fd][fs : fs + n + size - 1]:
+                    found.setdefault(d, []).append(np.arange(s, s + n, dtype="i4"))
+                else:  # two sequences with both hashes equal: the later one is sent on, and judged by digest
+                    wrong = np.concatenate([wrong, after[(docs[after] == d) & (starts[after] >= s) & (starts[after] < s + n)]])
+            if found:
+                none = as_lists(np.zeros(len(found) + 1, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8"))
+                lists = [np.concatenate(x) for x in found.values()]
+                bounds = np.cumsum([0, *map(len, lists)]).astype("i4")
+                whose = as_lists(np.arange(len(found) + 1, dtype="i4"), np.fromiter(found, "i8", len(found)))
+                empty = as_lists(np.zeros(len(found) + 1, "i4"), np.zeros(0, "i4"), np.zeros(0, bool))
+                dealt = fragment_of(mixed(np.fromiter(found, "i8", len(found)).view("u8")), fragments).astype("i4")
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), *none, *whose, *empty, *as_lists(bounds, np.concatenate(lists))], [*WINDOW_NAMES, "verified"])
+            first = np.sort(np.concatenate([first, wrong]))  # by document and start, which compresses well
+            hashes, checks, docs, starts, fresh = (x[first] for x in (hashes, checks, docs, starts, fresh))
+            fragment = fragment_of(hashes, fragments)
             order = np.argsort(fragment, kind="stable")
-            bounds = np.searchsorted(fragment[order], np.arange(fragments + 1, dtype="u8")).astype("i4")
-            columns = as_lists(bounds, signed(hashes[order]), signed(checks[order]), docs[order], starts[order].astype("i4"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *columns], WINDOW_NAMES).filter(pa.array(np.diff(bounds) > 0))
+            bounds = np.searchsorted(fragment[order], np.arange(fragments + 1)).astype("i4")
+            columns = as_lists(bounds, signed(hashes[order]), signed(checks[order]), docs[order], starts[order].astype("i4"), fresh[order])
+            verified = as_lists(np.zeros(fragments + 1, "i4"), np.zeros(0, "i4"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *columns, *verified], [*WINDOW_NAMES, "verified"]).filter(pa.array(np.diff(bounds) > 0))
 
     return run
 
 
 def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads fragments one after another; a sequence comes once a batch at most.  Rows without hashes pass through."""
+    """Reads fragments one after another; a sequence comes once a batch at most."""
     fragment, held = None, []
 
     def flush() -> pa.RecordBatch:
-        hashes, checks, docs, starts = (np.concatenate(x) for x in zip(*held))
-        _, after = _later(hashes, checks, docs, starts)
-        return _by_doc(docs[after], starts[after])
+        hashes, checks, docs, starts, fresh = (np.concatenate(x) for x in zip(*held))
+        _, after, to = _later(hashes, checks, docs, starts, fresh.astype(bool))
+        after, to = (x[np.lexsort((starts[after], docs[after]))] for x in (after, to))
+        d = docs[after]
+        at = np.flatnonzero(np.append(True, d[1:] != d[:-1])[: len(d)])
+        bounds = np.append(at, len(d)).astype("i4")
+        lists = as_lists(bounds, starts[after].astype("i4"), docs[to], starts[to].astype("i4"))
+        return pa.RecordBatch.from_arrays([pa.array(d[at]), *lists], ["doc", "starts", "first_docs", "first_starts"])
 
     for batch in batches:
         for i, f in enumerate(batch.column(0).to_pylist()):
@@ -185,31 +197,179 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield flush()
                 held = []
             fragment = f
-            columns = [batch.column(c)[i].values.to_numpy() for c in range(1, 5)]
-            if len(columns[0]):
-                held.append(columns)
-            else:
-                yield _by_doc(*columns[2:])
+            held.append([batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 6)])
     if held:
         yield flush()
 
 
+def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's later windows as segments."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            parts = [batch.column(1)[i].values.field(c).flatten().to_numpy() for c in range(3)]
+            doc = batch.column(0)[i].as_py()
+            columns = _segments(np.full(len(parts[0]), doc, "i8"), parts[0].astype("i8"), parts[1], parts[2].astype("i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype("i8")) for x in columns], ["doc", "start", "first_doc", "first_start", "number"])
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _digests(size: int):
+    """Digests of the words of passages of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                words = text.as_py().encode("utf-8", "surrogatepass").split()
+                rows += [(doc, w["first_start"], w["number"], _digest(words[w["first_start"] : w["first_start"] + w["number"] + size - 1])) for w in wanted]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["first_doc", "first_start", "number", "digest"])
+
+    return run
+
+
+class FingerprintIndex:
+    """Sorted immutable runs of window fingerprints in shared storage, and a manifest that names them.
+
+    ``dedup`` merge-joins a new batch with the runs, verifies what it meets,
+    and appends the batch as a run; ``compact`` merges the runs.  Nothing is
+    changed in place: a run is written before a new version of the manifest
+    names it, so an index opened by its ``path``, at any time and by any
+    session, is whole.  Texts are not kept; ``dedup`` reads those it has to
+    verify from the corpus that it is given.
+    """
+
+    MANIFEST = "version bigint, size int, fragments int, runs array<struct<path:string,fragments:int,anchors:bigint>>"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, size: int = WINDOW, fragments: int | None = None):
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+        self.version, self.size, self.runs = 0, size, []
+        self.fragments = fragments or fragments_for(1, FRAGMENT_ROWS, max(512, 2 * self._parts()))
+        last = spark.read.schema(self.MANIFEST).json(f"{self.path}/manifest/*").orderBy(F.desc("version")).limit(1).collect() if path and self._exists() else []
+        for row in last:
+            self.version, self.size, self.fragments, self.runs = row.version, row["size"], row.fragments, [tuple(r) for r in row.runs]
+
+    def _parts(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _exists(self) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+    def _name(self, runs: list[tuple]) -> None:
+        """A new version of the manifest."""
+        self.spark.createDataFrame([(self.version + 1, self.size, self.fragments, runs)], self.MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/{self.version + 1:09d}")
+        self.version, self.runs = self.version + 1, runs
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        return merged(rows, min(self.fragments, self._parts()))
+
+    def _write(self, rows: DataFrame) -> tuple:
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(path)
+        anchors = self.spark.read.schema(PACKED).parquet(path).agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
+        return path, self.fragments, anchors
+
+    def _run(self, base: DataFrame) -> tuple:
+        return self._write(self._merged(base.mapInArrow(_batch_runs(self.size, self.fragments), PACKED)))
+
+    def read(self, runs: list[tuple] | None = None) -> DataFrame:
+        """The packed rows of runs, cut as the index is now."""
+        out = self.spark.createDataFrame([], PACKED)
+        for path, fragments, _ in self.runs if runs is None else runs:
+            rows = self.spark.read.schema(PACKED).parquet(path)
+            out = out.union(rows if fragments == self.fragments else recut(rows, self.fragments))
+        return out
+
+    def append(self, base: DataFrame) -> None:
+        """Takes ``base(doc, text)`` in as a run, without judging it."""
+        self._add(self._run(base))
+
+    def _add(self, run: tuple) -> None:
+        self._name([*self.runs, run])
+        if len(self.runs) > MAX_RUNS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Merges the runs into one, in more fragments if they have grown.  The old ones go once the manifest no longer names them."""
+        if len(self.runs) > 1:
+            before = [r[0] for r in self.runs]
+            self.fragments = max(self.fragments, fragments_for(sum(r[2] for r in self.runs), FRAGMENT_ROWS, 1))
+            self._name([self._write(self._merged(self.read()))])
+            remove(self.spark, *before)
+
+    def dedup(self, new: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """Judges the windows of ``new(doc, text)`` by the index and by ``new`` itself, and appends it.
+
+        ``history(doc, text)`` has the documents taken in before, and may have
+        others.  A window repeats what starts in them, or earlier in ``new``: at
+        a smaller id, or before it in the same document.  Returns ``(doc, start,
+        number, digest)``: ``number`` windows from ``start`` on, with the digest
+        of the words there if they still have to be compared with it.
+        """
+        run = self._run(new)
+        rows = self.read([run]).withColumn("old", F.lit(False)).union(self.read().withColumn("old", F.lit(True)))
+        dealt = rows.repartition(min(self.fragments, self._parts()), "fragment").sortWithinPartitions("fragment", "old", F.size("tokens") == 0)
+        pairs = dealt.mapInArrow(_met, "token bigint, doc bigint")
+        wanted = materialize(pairs.groupBy(F.col("doc").alias("w_doc")).agg(F.collect_set("token").alias("tokens")), "met-anchors")
+        texts = new.select("doc", "text", F.lit(True).alias("fresh"))
+        seen = None
+        if self.runs:
+            if history is None:
+                raise ValueError("the texts of documents that are in the index are needed to verify windows")
+            seen = history.select("doc", "text", F.lit(False).alias("fresh"))
+        found = self._windows(texts, seen, wanted)
+        self._add(run)
+        return found
+
+    def _windows(self, new: DataFrame, old: DataFrame | None, wanted: DataFrame) -> DataFrame:
+        pick = lambda df: df.join(wanted, F.col("doc") == F.col("w_doc")).select("doc", "text", "tokens", "fresh")
+        cut = _candidate_windows(self.size, self.fragments)
+        # Sorted, a task that is run again cuts the same batches.
+        made = pick(new).sortWithinPartitions("doc", "text").mapInArrow(cut, WINDOWS)
+        if old is not None:
+            made = made.union(pick(old).sortWithinPartitions("doc", "text").mapInArrow(cut, WINDOWS))
+        made = materialize(made, "candidate-windows")
+        verified = made.where(F.size("verified") > 0).select(F.col("docs")[0].alias("doc"), F.explode("verified").alias("start"))
+        verified = verified.select("doc", F.col("start").cast("bigint").alias("start"), F.lit(1).cast("bigint").alias("number"), F.lit(None).cast("binary").alias("digest"))
+        packed = made.where(F.size("hashes") > 0).drop("verified").repartition(min(self.fragments, self._parts()), "fragment").sortWithinPartitions("fragment")
+        later = packed.mapInArrow(_repeated_windows, LATER).groupBy("doc").agg(F.collect_list(F.struct("starts", "first_docs", "first_starts")).alias("later"))
+        segments = materialize(later.mapInArrow(_references, "doc bigint, start bigint, first_doc bigint, first_start bigint, number bigint"), "segments")
+        # Copies refer to the same passages, whose digests are taken once.
+        passages = segments.select("first_doc", "first_start", "number").distinct().groupBy("first_doc").agg(F.collect_list(F.struct("first_start", "number")).alias("wanted"))
+        digests = None
+        for texts in (new, old) if old is not None else (new,):
+            own = texts.join(passages, F.col("doc") == F.col("first_doc")).select("doc", "text", "wanted").mapInArrow(_digests(self.size), "first_doc bigint, first_start bigint, number bigint, digest binary")
+            digests = own if digests is None else digests.union(own)
+        # Rows repeated with one id give one digest each.
+        digests = digests.distinct()
+        checked = segments.join(digests, ["first_doc", "first_start", "number"]).select("doc", "start", "number", "digest")
+        found = materialize(verified.union(checked).distinct(), "repeated-windows")
+        discard(wanted, made, segments)
+        return found
+
+
 def _remove(size: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n_words, n_removed, digest, kept = [], [], [], []
-                for text, lists in zip(part.column(1), part.column(2)):
+                for text, found in zip(part.column(1), part.column(2)):
                     words = text.as_py().encode("utf-8", "surrogatepass").split()
                     stay = words
-                    if lists.is_valid:
-                        starts = lists.values.flatten().to_numpy()
+                    if found.is_valid:
                         edge = np.zeros(len(words) + 1, "i4")
-                        # Rows that share an id may differ in length.
-                        starts = np.unique(starts[starts + size <= len(words)])
-                        edge[starts] += 1
-                        edge[starts + size] -= 1
+                        starts, numbers = (found.values.field(c).to_numpy() for c in ("start", "number"))
+                        for start, number, same in zip(starts.tolist(), numbers.tolist(), found.values.field("digest").to_pylist()):
+                            end = start + number + size - 1
+                            if same is None or same == _digest(words[start:end]):
+                                edge[start] += 1
+                                edge[end] -= 1
                         stay = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                     out = b" ".join(stay)
                     n_words.append(len(words))
@@ -222,50 +382,69 @@ def _remove(size: int, with_text: bool):
     return run
 
 
+def _numbered(base: DataFrame) -> DataFrame:
+    """``(doc, text, row)``: ``row`` is the id, or in tables where an id has several texts a number of its own for each, in the order of ids."""
+    known = base.where("doc IS NOT NULL").select("doc", F.xxhash64("text").alias("h"))
+    several = known.groupBy("doc").agg((F.min("h") != F.max("h")).alias("differ")).where("differ")
+    if not several.limit(1).count():
+        return base.withColumn("row", F.col("doc"))
+    rows = materialize(known.distinct().orderBy("doc", "h").withColumn("row", F.monotonically_increasing_id()), "rows")
+    own = (F.col("doc") == F.col("r_doc")) & (F.xxhash64("text") == F.col("h"))
+    return base.join(rows.withColumnRenamed("doc", "r_doc"), own, "left").select("doc", "text", "row")
+
+
 def substring_dedup(
-    docs: DataFrame, index: FingerprintIndex | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, batches: int = 2, with_text: bool = True
-) -> DataFrame:
+    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW,
+    batches: int = BATCHES, with_text: bool = True,
+) -> DataFrame:
     """Remove words covered by windows of ``size`` words that also start earlier in the corpus.
 
     Earlier is a smaller id, or an earlier start in the same document; windows
-    are judged on the texts as given.  The documents go into the index in
-    ``batches`` ranges of ids.  An ``index`` given must hold nothing but runs of
-    these same documents; runs of documents that were appended before are used
-    and the rest is appended by the caller.
+    are judged on the texts as given.  The documents go into an index of their
+    own in ``batches`` ranges of ids.  If an ``index`` is given, its documents,
+    whose texts ``history`` has under the same column names, are earlier than
+    all of ``docs``, which goes in as one batch; ids must differ from those of
+    the history.
 
     Returns one row per input row: ``id_col``, ``n_words``, ``n_removed``,
     ``kept_sha256`` and, if ``with_text``, ``kept_text``.
 
-    Null text has no words, a text shorter than a window loses none.  A row with
-    a null id keeps all words and counts as earlier for nobody.  Rows repeated
-    with one id are one document: what is removed of one is removed of all.  An
-    empty table gives an empty result; other columns are ignored.  Ids must be
-    integers.
+    Null text has no words, a text shorter than a window loses none; texts may
+    be of any length.  A row with a null id keeps all words and counts as
+    earlier for nobody.  Rows repeated with one id and text are one document;
+    those with one id and different texts are documents of their own, one after
+    another.  Windows whose words differ are never taken for equal: what two
+    64-bit hashes find is compared word by word or by SHA-256.  An empty table
+    gives an empty result; other columns are ignored.  Ids must be integers.
     """
     base = text_of(docs, id_col, text_col)
     kind = base.schema["doc"].dataType
     base = base.withColumn("doc", F.col("doc").cast("bigint"))
     session = base.sparkSession
-    if index is None:
-        index = FingerprintIndex(session, size=size)
-        cuts = base.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    base = base.withColumn("row", F.col("doc")) if index is not None else _numbered(base)
+    # Dealt out by row once; no later join moves a text again.
+    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
+    name = f"texts_{uuid.uuid4().hex}"
+    base.repartition(parts, "row").write.bucketBy(parts, "row").sortBy("row").option("compression", "zstd").option("path", f"{shared_dir(session)}/{name}").saveAsTable(name)
+    base = session.table(name)
+    known = base.where("row IS NOT NULL").select(F.col("row").alias("doc"), "text")
+    if index is not None:
+        found = [index.dedup(known, text_of(history, id_col, text_col) if history is not None else None)]
+    else:
+        chars = known.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+        index = FingerprintIndex(session, size=size, fragments=fragments_for(chars // CHARS_PER_ANCHOR, FRAGMENT_ROWS, max(512, 2 * parts)))
+        cuts = known.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
         edges = [None, *sorted({int(x) for x in cuts}), None]
+        found = []
         for low, high in zip(edges, edges[1:]):
-            part = base.where("doc IS NOT NULL")
-            part = part.where(F.col("doc") > low) if low is not None else part
-            index.append(part.where(F.col("doc") <= high) if high is not None else part)
-    repeated = index.repeated().groupBy(F.col("doc").alias("r_doc")).agg(F.collect_set("token").alias("tokens"))
-    repeated = materialize(repeated, "repeated-anchors")
-
-    # The texts are dealt out by id once; all joins read the same exchange, as none of them drops null ids before.
-    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    candidates = base.join(repeated, F.col("doc").eqNullSafe(F.col("r_doc"))).select("doc", "text", "tokens")
-    # One pass gives first and later windows through one exchange.  Sorted, a task that is run again cuts the same batches.
-    windows_of = candidates.sortWithinPartitions("doc", "text").mapInArrow(_candidate_windows(size, index.fragments), WINDOWS)
-    packed = windows_of.repartition(min(parts, index.fragments), "fragment").sortWithinPartitions("fragment")
-    found = packed.mapInArrow(_repeated_windows, "doc bigint, starts array<int>")
-    found = found.groupBy(F.col("doc").alias("f_doc")).agg(F.collect_list("starts").alias("starts"))
-    judged = base.join(found, F.col("doc").eqNullSafe(F.col("f_doc")), "left").select("doc", "text", "starts")
+            part = known.where(F.col("doc") > low) if low is not None else known
+            part = part.where(F.col("doc") <= high) if high is not None else part
+            found.append(index.dedup(part, known.where(F.col("doc") <= low) if low is not None else None))
+    repeated = found[0]
+    for more in found[1:]:
+        repeated = repeated.union(more)
+    repeated = repeated.groupBy(F.col("doc").alias("f_doc")).agg(F.collect_list(F.struct("start", "number", "digest")).alias("found"))
+    judged = base.join(repeated, F.col("row") == F.col("f_doc"), "left").select("doc", "text", "found")
     out = judged.mapInArrow(_remove(size, with_text), "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     out = out.select(F.col("doc").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
     return out if with_text else out.drop("kept_text")

@@ -39,26 +39,67 @@ def corpus(seed):
     return rows + [(2000, "tick " * 100), (2001, "tick tock " * 40), (2002, " ".join(passages[3] * 3)), (2003, None), (2004, ""), (2005, "Über straße " * 30)]
 
 
-@pytest.mark.parametrize("seed,batches", [(1, 1), (2, 3)])
+def outcome(df):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in df.collect()}
+
+
+@pytest.mark.parametrize("seed,batches", [(1, 1), (2, 5)])
 def test_matches_brute_force(documents, clashing, seed, batches):
     rows = corpus(seed)
-    got = substring_dedup(clashing(documents(rows, parts=5)), batches=batches).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got} == brute(rows)
+    assert outcome(substring_dedup(clashing(documents(rows, parts=5)), batches=batches)) == brute(rows)
 
 
-def test_index_grows_and_compacts(spark, documents):
+def test_index_is_reopened_for_every_batch_and_compacts(spark, documents, tmp_path):
     rows = corpus(3)
-    docs = documents(rows)
-    index = FingerprintIndex(spark, fragments=8)
-    base = docs.selectExpr("doc_id AS doc", "coalesce(text, '') AS text")
-    for low in range(0, 3000, 500):
-        index.append(base.where(f"doc >= {low} AND doc < {low + 500}"))
-    assert len(index.runs) <= 4
-    before = {tuple(r) for r in index.repeated().distinct().collect()}
+    path, got, history, most = f"{tmp_path}/index", {}, [], 0
+    for low in range(0, 3000, 400):
+        batch = [(i, t) for i, t in rows if low <= i < low + 400]
+        index = FingerprintIndex(spark, path, fragments=8)
+        assert low == 0 or index.version > 0
+        got |= outcome(substring_dedup(documents(batch), index, documents(history) if history else None))
+        history += batch
+        most = max(most, len(index.runs))
+        assert len(index.runs) <= 4
+    assert got == brute(rows) and most == 4 and index.version > 8
+
+
+def test_history_is_earlier_whatever_its_ids(spark, documents):
+    words = [f"v{i}" for i in range(60)]
+    index = FingerprintIndex(spark)
+    index.append(documents([(500, " ".join(words[:40]))]).selectExpr("doc_id AS doc", "text"))
+    got = outcome(substring_dedup(documents([(1, " ".join(words)), (2, " ".join(words[30:]))]), index, documents([(500, " ".join(words[:40]))])))
+    assert got[1][3] == " ".join(words[40:]) and got[2][1] == 30
+
+
+def test_index_grows_into_more_fragments(spark, documents, monkeypatch):
+    monkeypatch.setattr(module, "FRAGMENT_ROWS", 50)
+    rows = corpus(5)
+    index = FingerprintIndex(spark, fragments=2)
+    base = documents(rows).selectExpr("doc_id AS doc", "coalesce(text, '') AS text")
+    index.append(base.where("doc < 500"))
+    index.append(base.where("doc >= 500 AND doc < 800"))
     index.compact()
-    assert len(index.runs) == 1 and {tuple(r) for r in index.repeated().distinct().collect()} == before
-    got = substring_dedup(docs, index).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got} == brute(rows)
+    assert index.fragments > 2 and len(index.runs) == 1
+    index.fragments *= 2  # runs are cut anew as they are read
+    got = outcome(substring_dedup(documents([r for r in rows if r[0] >= 800]), index, documents(rows)))
+    want = brute(rows)
+    assert got == {i: want[i] for i, _ in rows if i >= 800}
+
+
+def test_equal_hashes_of_different_words_remove_nothing(documents, monkeypatch):
+    real = module.windows
+    monkeypatch.setattr(module, "windows", lambda words, size: real(words, size) % module.np.uint64(7) if size == 20 else real(words, size))
+    rows = corpus(6)
+    want = brute(rows)
+    got = outcome(substring_dedup(documents(rows), batches=2))
+    assert all(got[i][1] <= want[i][1] for i, _ in rows) and any(w[1] for w in want.values())
+
+
+def test_long_text(documents):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(3000)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[5000:90_000] + ["x"] + long[:100])), (3, " ".join(long[::-1]))]
+    assert outcome(substring_dedup(documents(rows))) == brute(rows)
 
 
 def test_null_and_repeated_ids(documents):
@@ -66,6 +107,9 @@ def test_null_and_repeated_ids(documents):
     rows = [(1, text), (1, text), (None, text), (2, text)]
     assert sorted((str(r.doc_id), r.n_removed) for r in substring_dedup(documents(rows)).collect()) == [("1", 0), ("1", 0), ("2", 30), ("None", 0)]
     assert substring_dedup(documents(rows).limit(0)).count() == 0
+    other = " ".join(f"o{i}" for i in range(25))
+    rows = [(1, text), (5, text), (5, other), (None, other)]
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup(documents(rows)).collect()) == [("1", 30, 0), ("5", 25, 0), ("5", 30, 30), ("None", 25, 0)]
 
 
 def test_no_two_passes_have_to_agree_on_batches(documents, monkeypatch):
