@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, text_of
 from .components import components
-from .fragments import PACKED, merged, pack, shared
+from .fragments import PACKED, fragments_for, merged, pack, shared
 from .shingles import WordHashes, mixed, shingle_set, signed, words_of
 
 SIZE = 5
@@ -68,14 +68,15 @@ def _profiles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            n, prefix, low, digest = [], [], [], []
+            n, prefix, low, half, digest = [], [], [], [], []
             for s in _sets(batch, size, known):
                 n.append(len(s))
                 prefix.append(len(prefix_of(s)))
                 low.append(int(np.searchsorted(s, FLOOR, "right")))
+                half.append(int(np.searchsorted(s, CUTS[FRAGMENTS // 2 - 1])))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, prefix, low)), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "prefix", "low", "digest"])
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, prefix, low, half)), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "prefix", "low", "half", "digest"])
 
     return run
 
@@ -121,7 +122,7 @@ def shared_prefixes(base: DataFrame, size: int) -> DataFrame:
     # A text has a prefix shingle for about 20 characters.
     total = base.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     # Prefixes lie in the first third of the order, and so do most of their fragments.
-    fragments = 4 * max(2 * parts, int(total) // 20 // FRAGMENT_ROWS + 1)
+    fragments = 4 * fragments_for(int(total) // 20, FRAGMENT_ROWS, 2 * parts)
     return shared(merged(base.mapInArrow(_packed_prefixes(size, fragments), PACKED), parts))
 
 
@@ -163,7 +164,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     c = labels.select("doc", "component")
     between = links.join(c.withColumnsRenamed({"doc": "a", "component": "c_a"}), "a").join(c.withColumnsRenamed({"doc": "b", "component": "c_b"}), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     found = components(between).withColumnRenamed("component", "merged")
-    new = labels.join(found, F.col("component") == F.col("node"), "left").select("doc", "n", "prefix", "low", F.coalesce("merged", "component").alias("component"))
+    new = labels.join(found, F.col("component") == F.col("node"), "left").select("doc", "n", "prefix", "low", "half", F.coalesce("merged", "component").alias("component"))
     return materialize(new, "labels")
 
 
@@ -174,7 +175,7 @@ def _with_members(labels: DataFrame) -> DataFrame:
 
 def _entries(sets: DataFrame, tokens: str, labels: DataFrame) -> DataFrame:
     """A row per document and shingle of the column ``tokens``."""
-    rest = [c for c in ("n", "low", "central") if c in sets.columns]
+    rest = [c for c in ("n", "low", "half", "central") if c in sets.columns]
     return sets.join(_with_members(labels), "doc").select(F.explode(tokens).alias("token"), "doc", "component", "members", *rest)
 
 
@@ -183,7 +184,7 @@ def _with_centrality(prefixes: DataFrame) -> DataFrame:
     entries = prefixes.select(F.explode("tokens").alias("token"), "doc")
     df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     found = entries.join(df, "token").groupBy(F.col("doc").alias("d_doc")).agg(F.sum("df").alias("sum"))
-    return prefixes.join(found, F.col("doc") == F.col("d_doc")).select("doc", "tokens", "n", "low", (F.col("sum") / F.col("prefix")).alias("central"))
+    return prefixes.join(found, F.col("doc") == F.col("d_doc")).select("doc", "tokens", "n", "low", "half", (F.col("sum") / F.col("prefix")).alias("central"))
 
 
 def _leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
@@ -216,19 +217,31 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(bits.reshape(-1))))], ["doc", "bits"])
 
 
+def _between(tokens: DataFrame) -> DataFrame:
+    """``(token, df)`` of the shingles that more than one component has."""
+    kinds = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return kinds.where("lo <> hi").select("token", "df")
+
+
+def _still_open(tokens: DataFrame, part: str) -> DataFrame:
+    """``(doc, component, n, half)`` of the documents that may link with another component by the part of their sets in ``tokens``: all but n/4 of it must be shared."""
+    met = tokens.join(_between(tokens).select("token"), "token").groupBy("doc", "component", "n", "half", "low").agg(F.count(F.lit(1)).alias("met"))
+    return met.where(F.col("met") >= F.greatest(F.lit(1), F.col(part) - F.expr("n div 4"))).select("doc", "component", "n", "low", "half")
+
+
 def _open_sets(entries: DataFrame, segments: Segments) -> DataFrame:
     """``(doc, n, m, rarest, central)`` of the documents that may still link with another component.
 
     ``rarest`` are the ``m`` shingles of a whole set that other components have
-    as well, by frequency.  A document that links shares three quarters of its set.
+    as well, by frequency.  Half of the sets tells most documents off before
+    the rest is looked at; a set with few shingles in that half tells nothing.
     """
-    low = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    some = entries.join(low, "token").groupBy("doc", "component", "n", "low").agg(F.count(F.lit(1)).alias("met"))
-    some = some.where(F.col("met") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 4"))).select("doc", "component", "n")
+    some = materialize(_still_open(entries, "low"), "open")
+    halves = segments.table.where(F.col("fragment") < FRAGMENTS // 2).join(some, "doc").select("doc", "component", "n", "low", "half", F.explode("segment").alias("token"))
+    some = _still_open(halves, "half").where("half > n div 4").union(some.where("half <= n div 4").select("doc", "component", "n", "low", "half"))
     whole = materialize(segments.table.join(some, "doc").select("doc", "component", "n", "segment"), "open-segments")
     tokens = whole.select("doc", "component", "n", F.explode("segment").alias("token"))
-    kinds = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
-    found = tokens.join(kinds, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rarest"), (F.sum("df") / F.col("n")).alias("central"))
+    found = tokens.join(_between(tokens), "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rarest"), (F.sum("df") / F.col("n")).alias("central"))
     found = found.withColumn("m", F.size("rarest").cast("bigint")).where("4 * m >= 3 * n")
     return materialize(found.withColumn("rarest", F.col("rarest.token")), "open-sets")
 
@@ -310,23 +323,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = text_of(docs, id_col, text_col)
     kind = base.schema["doc"].dataType
     base = base.withColumn("doc", F.col("doc").cast("bigint"))
-    profiles = materialize(base.mapInArrow(_profiles(size), "doc bigint, n bigint, prefix bigint, low bigint, digest binary"), "profiles")
+    profiles = materialize(base.mapInArrow(_profiles(size), "doc bigint, n bigint, prefix bigint, low bigint, half bigint, digest binary"), "profiles")
     some = profiles.where("n > 0 AND doc IS NOT NULL")
     # Equal sets are one class, represented by its smallest id.
     classes = some.groupBy("digest").agg(F.min("doc").alias("rep"))
     # A digest may hold a third of all rows; adaptive execution splits it.
-    members = some.join(classes, "digest").select("doc", "rep", "n", "prefix", "low")
+    members = some.join(classes, "digest").select("doc", "rep", "n", "prefix", "low", "half")
     same = materialize(members.select("doc", "rep").distinct(), "classes")
     if same.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
         out = _several_texts(base, size, leader_rounds)
         return out.select(F.col("doc").cast(kind).alias(id_col), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
-    reps = members.where("doc = rep").groupBy("doc").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"), F.max("low").alias("low"))
+    reps = members.where("doc = rep").groupBy("doc").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"), F.max("low").alias("low"), F.max("half").alias("half"))
     labels = materialize(reps.withColumn("component", F.col("doc")), "labels")
 
     # Of a document that links at least three quarters are shared, so of its shingles up to FLOOR all but n/4.
     prefixes = shared_prefixes(base.where("doc IS NOT NULL"), size).groupBy("doc").agg(F.collect_set("token").alias("tokens"))
     prefixes = prefixes.join(labels, "doc").where(F.size("tokens") >= F.greatest(F.lit(1), F.col("low") - F.expr("n div 4")))
-    prefixes = materialize(_with_centrality(materialize(prefixes.select("doc", "tokens", "n", "prefix", "low"), "shared-prefixes")), "prefixes")
+    prefixes = materialize(_with_centrality(materialize(prefixes.select("doc", "tokens", "n", "prefix", "low", "half"), "shared-prefixes")), "prefixes")
     segments = Segments(base.join(prefixes.select("doc"), "doc", "left_semi"), size)
     try:
         for turn in range(leader_rounds):

@@ -102,6 +102,17 @@ def test_large_group_of_near_copies(documents, monkeypatch):
     assert met[0].count() < 10 * len(rows)
 
 
+def test_short_texts_link_whatever_their_hashes(documents):
+    """Pairs of 11 or 12 words that differ in the last one: 7 of 8 shingles, wherever these lie in the order."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        words = [f"q{i}-{j}" for j in range(11)]
+        rows += [(4 * i, " ".join(words)), (4 * i + 1, " ".join([*words, "end"])), (4 * i + 2, " ".join([*words, "close"])), (4 * i + 3, f"other {rng.random()} words {i} at all")]
+    got = {r.doc_id: r.component_id for r in jaccard_components(documents(rows)).collect()}
+    assert got == {4 * i + j: 4 * i + (3 if j == 3 else 0) for i in range(400) for j in range(4)}
+
+
 def test_very_long_text(documents):
     rng = random.Random(5)
     words = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
