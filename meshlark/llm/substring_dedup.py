@@ -3,10 +3,12 @@
 A window of 20 words is fingerprinted by its anchor: the least hash of the
 8-word shingles inside it.  Equal windows have equal anchors, and neighbouring
 windows mostly share theirs, so the index holds one hash for about seven
-windows.  It is a log of sorted immutable runs.  A new batch of documents is
-merge-joined with the runs, fragment by fragment of the hash order; windows
-whose anchors are met are compared with those of the documents that have them,
-and verified by a digest of the words of both.  Then the batch becomes a run
+windows, and the hashes of the windows themselves only for anchors that came
+twice.  It is a log of sorted immutable runs.  A new batch of documents is
+merge-joined with the runs, fragment by fragment of the hash order: first by
+anchors, then by the windows of those that were met; a document of the history
+is read again only if it alone had such an anchor.  Windows that were met are
+verified by a digest of the words of both.  Then the batch becomes a run
 itself, and runs are compacted when there are many.
 """
 
@@ -73,7 +75,7 @@ def _batch_runs(size: int, fragments: int):
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge-joins the rows of each fragment, those of the new batch (``old`` false) first: ``(token, doc)`` of
-    anchors that the batch has and any other place has too."""
+    anchors that the batch has and any other place has too, with documents of the history that alone had one."""
 
     def pairs(tokens: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(docs)], ["token", "doc"])
@@ -94,20 +96,20 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(s_tokens):
                     yield pairs(s_tokens, s_docs)
             elif tokens is not None:
-                for there, there_docs in ((own, np.where(own_alone, own_docs, -1)), (s_tokens, s_docs)):
-                    at = np.minimum(np.searchsorted(tokens.view("u8"), there.view("u8")), len(tokens) - 1)
-                    same = tokens[at] == there
-                    hit[at[same]] = True
-                    # An anchor that several documents of a run have comes with each of them in a list.
-                    known = same if there is s_tokens else same & own_alone
-                    if known.any():
-                        yield pairs(there[known], there_docs[known])
+                at = np.minimum(np.searchsorted(tokens.view("u8"), own.view("u8")), len(tokens) - 1)
+                same = tokens[at] == own
+                hit[at[same]] = True
+                # Windows of an anchor that several documents had are in the index.
+                if (same & own_alone).any():
+                    yield pairs(own[same & own_alone], own_docs[same & own_alone])
     if tokens is not None and hit.any():
         yield pairs(tokens[hit & alone], docs[hit & alone])
 
 
 WINDOW_NAMES = ["fragment", "hashes", "checks", "docs", "starts", "fresh"]
 WINDOWS = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>, fresh array<boolean>, verified array<int>"
+#: As a run keeps them.
+KEPT = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>"
 LATER = "doc bigint, starts array<int>, first_docs array<bigint>, first_starts array<int>"
 
 
@@ -202,6 +204,43 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield flush()
 
 
+def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each sequence's first window, fragment by fragment."""
+    fragment, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held)]
+        first, _, _ = _later(*columns, np.zeros(len(columns[0]), bool))
+        first = np.sort(first)
+        return pa.RecordBatch.from_arrays([pa.array([fragment], pa.int32()), *as_lists(np.array([0, len(first)], "i4"), *(x[first] for x in columns))], WINDOW_NAMES[:5])
+
+    for batch in batches:
+        for i, f in enumerate(batch.column(0).to_pylist()):
+            if f != fragment and held:
+                yield flush()
+                held = []
+            fragment = f
+            held.append([batch.column(c)[i].values.to_numpy() for c in range(1, 5)])
+    if held:
+        yield flush()
+
+
+def _recut_windows(fragments: int):
+    """Rows of windows, cut into other fragments than they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                columns = [batch.column(c)[i].values.to_numpy() for c in range(1, 5)]
+                fragment = fragment_of(columns[0].view("u8"), fragments)
+                order = np.argsort(fragment, kind="stable")
+                bounds = np.searchsorted(fragment[order], np.arange(fragments + 1)).astype("i4")
+                out = pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *as_lists(bounds, *(x[order] for x in columns))], WINDOW_NAMES[:5])
+                yield out.filter(pa.array(np.diff(bounds) > 0))
+
+    return run
+
+
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A document's later windows as segments."""
     for batch in batches:
@@ -242,7 +281,7 @@ class FingerprintIndex:
     verify from the corpus that it is given.
     """
 
-    MANIFEST = "version bigint, size int, fragments int, runs array<struct<path:string,fragments:int,anchors:bigint>>"
+    MANIFEST = "version bigint, size int, fragments int, runs array<struct<anchors:string,windows:string,fragments:int,rows:bigint>>"
 
     def __init__(self, spark: SparkSession, path: str | None = None, size: int = WINDOW, fragments: int | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
@@ -268,40 +307,49 @@ class FingerprintIndex:
     def _merged(self, rows: DataFrame) -> DataFrame:
         return merged(rows, min(self.fragments, self._parts()))
 
-    def _write(self, rows: DataFrame) -> tuple:
-        path = f"{self.path}/run-{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        path = f"{self.path}/{kind}-{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(path)
-        anchors = self.spark.read.schema(PACKED).parquet(path).agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
-        return path, self.fragments, anchors
-
-    def _run(self, base: DataFrame) -> tuple:
-        return self._write(self._merged(base.mapInArrow(_batch_runs(self.size, self.fragments), PACKED)))
-
-    def read(self, runs: list[tuple] | None = None) -> DataFrame:
-        """The packed rows of runs, cut as the index is now."""
-        out = self.spark.createDataFrame([], PACKED)
-        for path, fragments, _ in self.runs if runs is None else runs:
-            rows = self.spark.read.schema(PACKED).parquet(path)
-            out = out.union(rows if fragments == self.fragments else recut(rows, self.fragments))
+        return path
+
+    def _read(self, path: str, fragments: int) -> DataFrame:
+        rows = self.spark.read.schema(PACKED).parquet(path)
+        return rows if fragments == self.fragments else recut(rows, self.fragments)
+
+    def anchors(self) -> DataFrame:
+        """The packed anchors of all runs, cut as the index is now; which documents share one is no longer asked."""
+        out, none = self.spark.createDataFrame([], PACKED), F.array().cast("array<bigint>")
+        for path, _, fragments, _ in self.runs:
+            out = out.union(self._read(path, fragments).where(F.size("tokens") > 0).select("fragment", "tokens", "docs", "alone", none, none))
         return out
 
-    def append(self, base: DataFrame) -> None:
-        """Takes ``base(doc, text)`` in as a run, without judging it."""
-        self._add(self._run(base))
+    def windows(self) -> DataFrame:
+        """The windows of all runs whose anchors came twice, by fragment."""
+        out = self.spark.createDataFrame([], KEPT)
+        for _, path, fragments, _ in self.runs:
+            rows = self.spark.read.schema(KEPT).parquet(path)
+            out = out.union(rows if fragments == self.fragments else rows.mapInArrow(_recut_windows(self.fragments), KEPT))
+        return out
 
-    def _add(self, run: tuple) -> None:
-        self._name([*self.runs, run])
+    def _add(self, anchors: str, windows: str) -> None:
+        rows = self.spark.read.schema(PACKED).parquet(anchors).agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
+        self._name([*self.runs, (anchors, windows, self.fragments, rows)])
         if len(self.runs) > MAX_RUNS:
             self.compact()
 
     def compact(self) -> None:
         """Merges the runs into one, in more fragments if they have grown.  The old ones go once the manifest no longer names them."""
         if len(self.runs) > 1:
-            before = [r[0] for r in self.runs]
-            self.fragments = max(self.fragments, fragments_for(sum(r[2] for r in self.runs), FRAGMENT_ROWS, 1))
-            self._name([self._write(self._merged(self.read()))])
+            before = [path for r in self.runs for path in r[:2]]
+            self.fragments = max(self.fragments, fragments_for(sum(r[3] for r in self.runs), FRAGMENT_ROWS, 1))
+            windows = self._by_fragment(self.windows()).mapInArrow(_first_windows, KEPT)
+            anchors, windows = self._write(self._merged(self.anchors()), "anchors"), self._write(windows, "windows")
+            self._name([(anchors, windows, self.fragments, sum(r[3] for r in self.runs))])
             remove(self.spark, *before)
 
+    def _by_fragment(self, rows: DataFrame, *then) -> DataFrame:
+        return rows.repartition(min(self.fragments, self._parts()), "fragment").sortWithinPartitions("fragment", *then)
+
     def dedup(self, new: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Judges the windows of ``new(doc, text)`` by the index and by ``new`` itself, and appends it.
 
@@ -311,10 +359,9 @@ class FingerprintIndex:
         number, digest)``: ``number`` windows from ``start`` on, with the digest
         of the words there if they still have to be compared with it.
         """
-        run = self._run(new)
-        rows = self.read([run]).withColumn("old", F.lit(False)).union(self.read().withColumn("old", F.lit(True)))
-        dealt = rows.repartition(min(self.fragments, self._parts()), "fragment").sortWithinPartitions("fragment", "old", F.size("tokens") == 0)
-        pairs = dealt.mapInArrow(_met, "token bigint, doc bigint")
+        anchors = self._write(self._merged(new.mapInArrow(_batch_runs(self.size, self.fragments), PACKED)), "anchors")
+        rows = self._read(anchors, self.fragments).withColumn("old", F.lit(False)).union(self.anchors().withColumn("old", F.lit(True)))
+        pairs = self._by_fragment(rows, "old", F.size("tokens") == 0).mapInArrow(_met, "token bigint, doc bigint")
         wanted = materialize(pairs.groupBy(F.col("doc").alias("w_doc")).agg(F.collect_set("token").alias("tokens")), "met-anchors")
         texts = new.select("doc", "text", F.lit(True).alias("fresh"))
         seen = None
@@ -322,11 +369,12 @@ class FingerprintIndex:
             if history is None:
                 raise ValueError("the texts of documents that are in the index are needed to verify windows")
             seen = history.select("doc", "text", F.lit(False).alias("fresh"))
-        found = self._windows(texts, seen, wanted)
-        self._add(run)
+        found, windows = self._judge(texts, seen, wanted)
+        self._add(anchors, windows)
         return found
 
-    def _windows(self, new: DataFrame, old: DataFrame | None, wanted: DataFrame) -> DataFrame:
+    def _judge(self, new: DataFrame, old: DataFrame | None, wanted: DataFrame) -> tuple[DataFrame, str]:
+        """The repeated windows of ``new``, and where all windows that had to be met are kept."""
         pick = lambda df: df.join(wanted, F.col("doc") == F.col("w_doc")).select("doc", "text", "tokens", "fresh")
         cut = _candidate_windows(self.size, self.fragments)
         # Sorted, a task that is run again cuts the same batches.
@@ -334,10 +382,12 @@ class FingerprintIndex:
         if old is not None:
             made = made.union(pick(old).sortWithinPartitions("doc", "text").mapInArrow(cut, WINDOWS))
         made = materialize(made, "candidate-windows")
+        fresh = made.where(F.size("hashes") > 0).drop("verified")
+        windows = self._write(fresh.drop("fresh"), "windows")
         verified = made.where(F.size("verified") > 0).select(F.col("docs")[0].alias("doc"), F.explode("verified").alias("start"))
         verified = verified.select("doc", F.col("start").cast("bigint").alias("start"), F.lit(1).cast("bigint").alias("number"), F.lit(None).cast("binary").alias("digest"))
-        packed = made.where(F.size("hashes") > 0).drop("verified").repartition(min(self.fragments, self._parts()), "fragment").sortWithinPartitions("fragment")
-        later = packed.mapInArrow(_repeated_windows, LATER).groupBy("doc").agg(F.collect_list(F.struct("starts", "first_docs", "first_starts")).alias("later"))
+        known = self.windows().withColumn("fresh", F.transform("starts", lambda _: F.lit(False)))
+        later = self._by_fragment(fresh.union(known)).mapInArrow(_repeated_windows, LATER).groupBy("doc").agg(F.collect_list(F.struct("starts", "first_docs", "first_starts")).alias("later"))
         segments = materialize(later.mapInArrow(_references, "doc bigint, start bigint, first_doc bigint, first_start bigint, number bigint"), "segments")
         # Copies refer to the same passages, whose digests are taken once.
         passages = segments.select("first_doc", "first_start", "number").distinct().groupBy("first_doc").agg(F.collect_list(F.struct("first_start", "number")).alias("wanted"))
@@ -350,7 +400,7 @@ class FingerprintIndex:
         checked = segments.join(digests, ["first_doc", "first_start", "number"]).select("doc", "start", "number", "digest")
         found = materialize(verified.union(checked).distinct(), "repeated-windows")
         discard(wanted, made, segments)
-        return found
+        return found, windows
 
 
 def _remove(size: int, with_text: bool):

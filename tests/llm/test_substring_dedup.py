@@ -66,7 +66,7 @@ def test_index_is_reopened_for_every_batch_and_compacts(spark, documents, tmp_pa
 def test_history_is_earlier_whatever_its_ids(spark, documents):
     words = [f"v{i}" for i in range(60)]
     index = FingerprintIndex(spark)
-    index.append(documents([(500, " ".join(words[:40]))]).selectExpr("doc_id AS doc", "text"))
+    index.dedup(documents([(500, " ".join(words[:40]))]).selectExpr("doc_id AS doc", "text"))
     got = outcome(substring_dedup(documents([(1, " ".join(words)), (2, " ".join(words[30:]))]), index, documents([(500, " ".join(words[:40]))])))
     assert got[1][3] == " ".join(words[40:]) and got[2][1] == 30
 
@@ -76,8 +76,10 @@ def test_index_grows_into_more_fragments(spark, documents, monkeypatch):
     rows = corpus(5)
     index = FingerprintIndex(spark, fragments=2)
     base = documents(rows).selectExpr("doc_id AS doc", "coalesce(text, '') AS text")
-    index.append(base.where("doc < 500"))
-    index.append(base.where("doc >= 500 AND doc < 800"))
+    index.dedup(base.where("doc < 300"))
+    index.dedup(base.where("doc >= 300 AND doc < 600"), base)
+    index.compact()
+    index.dedup(base.where("doc >= 600 AND doc < 800"), base)
     index.compact()
     assert index.fragments > 2 and len(index.runs) == 1
     index.fragments *= 2  # runs are cut anew as they are read
