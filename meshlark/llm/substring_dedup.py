@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ FRAGMENT_ROWS = 1_000_000
 CHARS_PER_ANCHOR = 40
 #: Runs that an index lets gather before it merges them into one.
 MAX_RUNS = 4
-#: Batches in which the query feeds a table to its index.
-BATCHES = 5
+#: Where a table is cut into the batches that its index is fed: a large first one, and smaller ones that meet it.
+CUTS = (0.6, 0.7, 0.8, 0.9)
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -327,7 +327,7 @@ class FingerprintIndex:
         """The windows of all runs whose anchors came twice, by fragment."""
         out = self.spark.createDataFrame([], KEPT)
         for _, path, fragments, _ in self.runs:
-            rows = self.spark.read.schema(KEPT).parquet(path)
+            rows = self.spark.read.schema(KEPT).parquet(path).where(F.size("hashes") > 0)
             out = out.union(rows if fragments == self.fragments else rows.mapInArrow(_recut_windows(self.fragments), KEPT))
         return out
 
@@ -375,15 +375,15 @@ class FingerprintIndex:
 
     def _judge(self, new: DataFrame, old: DataFrame | None, wanted: DataFrame) -> tuple[DataFrame, str]:
         """The repeated windows of ``new``, and where all windows that had to be met are kept."""
-        pick = lambda df: df.join(wanted, F.col("doc") == F.col("w_doc")).select("doc", "text", "tokens", "fresh")
+        # The side without texts is hashed, so that texts needn't be sorted.
+        pick = lambda df: df.join(wanted.hint("shuffle_hash"), F.col("doc") == F.col("w_doc")).select("doc", "text", "tokens", "fresh")
         cut = _candidate_windows(self.size, self.fragments)
-        # Sorted, a task that is run again cuts the same batches.
-        made = pick(new).sortWithinPartitions("doc", "text").mapInArrow(cut, WINDOWS)
+        made = pick(new).mapInArrow(cut, WINDOWS)
         if old is not None:
-            made = made.union(pick(old).sortWithinPartitions("doc", "text").mapInArrow(cut, WINDOWS))
-        made = materialize(made, "candidate-windows")
+            made = made.union(pick(old).mapInArrow(cut, WINDOWS))
+        windows = self._write(made, "windows")
+        made = self.spark.read.schema(WINDOWS).parquet(windows)
         fresh = made.where(F.size("hashes") > 0).drop("verified")
-        windows = self._write(fresh.drop("fresh"), "windows")
         verified = made.where(F.size("verified") > 0).select(F.col("docs")[0].alias("doc"), F.explode("verified").alias("start"))
         verified = verified.select("doc", F.col("start").cast("bigint").alias("start"), F.lit(1).cast("bigint").alias("number"), F.lit(None).cast("binary").alias("digest"))
         known = self.windows().withColumn("fresh", F.transform("starts", lambda _: F.lit(False)))
@@ -393,13 +393,13 @@ class FingerprintIndex:
         passages = segments.select("first_doc", "first_start", "number").distinct().groupBy("first_doc").agg(F.collect_list(F.struct("first_start", "number")).alias("wanted"))
         digests = None
         for texts in (new, old) if old is not None else (new,):
-            own = texts.join(passages, F.col("doc") == F.col("first_doc")).select("doc", "text", "wanted").mapInArrow(_digests(self.size), "first_doc bigint, first_start bigint, number bigint, digest binary")
+            own = texts.join(passages.hint("shuffle_hash"), F.col("doc") == F.col("first_doc")).select("doc", "text", "wanted").mapInArrow(_digests(self.size), "first_doc bigint, first_start bigint, number bigint, digest binary")
             digests = own if digests is None else digests.union(own)
         # Rows repeated with one id give one digest each.
         digests = digests.distinct()
         checked = segments.join(digests, ["first_doc", "first_start", "number"]).select("doc", "start", "number", "digest")
         found = materialize(verified.union(checked).distinct(), "repeated-windows")
-        discard(wanted, made, segments)
+        discard(wanted, segments)
         return found, windows
 
 
@@ -445,13 +445,13 @@ def _numbered(base: DataFrame) -> DataFrame:
 
 def substring_dedup(
     docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW,
-    batches: int = BATCHES, with_text: bool = True,
+    batch_cuts: Sequence[float] = CUTS, with_text: bool = True,
 ) -> DataFrame:
     """Remove words covered by windows of ``size`` words that also start earlier in the corpus.
 
     Earlier is a smaller id, or an earlier start in the same document; windows
     are judged on the texts as given.  The documents go into an index of their
-    own in ``batches`` ranges of ids.  If an ``index`` is given, its documents,
+    own in batches, which are ranges of ids between the quantiles ``batch_cuts``.  If an ``index`` is given, its documents,
     whose texts ``history`` has under the same column names, are earlier than
     all of ``docs``, which goes in as one batch; ids must differ from those of
     the history.
@@ -483,7 +483,7 @@ def substring_dedup(
     else:
         chars = known.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
         index = FingerprintIndex(session, size=size, fragments=fragments_for(chars // CHARS_PER_ANCHOR, FRAGMENT_ROWS, max(512, 2 * parts)))
-        cuts = known.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+        cuts = known.approxQuantile("doc", list(batch_cuts), 0.01) if batch_cuts else []
         edges = [None, *sorted({int(x) for x in cuts}), None]
         found = []
         for low, high in zip(edges, edges[1:]):
@@ -494,7 +494,7 @@ def substring_dedup(
     for more in found[1:]:
         repeated = repeated.union(more)
     repeated = repeated.groupBy(F.col("doc").alias("f_doc")).agg(F.collect_list(F.struct("start", "number", "digest")).alias("found"))
-    judged = base.join(repeated, F.col("row") == F.col("f_doc"), "left").select("doc", "text", "found")
+    judged = base.join(repeated.hint("shuffle_hash"), F.col("row") == F.col("f_doc"), "left").select("doc", "text", "found")
     out = judged.mapInArrow(_remove(size, with_text), "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     out = out.select(F.col("doc").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
     return out if with_text else out.drop("kept_text")

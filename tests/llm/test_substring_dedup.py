@@ -43,10 +43,10 @@ def outcome(df):
     return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed,batches", [(1, 1), (2, 5)])
-def test_matches_brute_force(documents, clashing, seed, batches):
+@pytest.mark.parametrize("seed,cuts", [(1, ()), (2, module.CUTS)])
+def test_matches_brute_force(documents, clashing, seed, cuts):
     rows = corpus(seed)
-    assert outcome(substring_dedup(clashing(documents(rows, parts=5)), batches=batches)) == brute(rows)
+    assert outcome(substring_dedup(clashing(documents(rows, parts=5)), batch_cuts=cuts)) == brute(rows)
 
 
 def test_index_is_reopened_for_every_batch_and_compacts(spark, documents, tmp_path):
@@ -93,7 +93,7 @@ def test_equal_hashes_of_different_words_remove_nothing(documents, monkeypatch):
     monkeypatch.setattr(module, "windows", lambda words, size: real(words, size) % module.np.uint64(7) if size == 20 else real(words, size))
     rows = corpus(6)
     want = brute(rows)
-    got = outcome(substring_dedup(documents(rows), batches=2))
+    got = outcome(substring_dedup(documents(rows), batch_cuts=[0.5]))
     assert all(got[i][1] <= want[i][1] for i, _ in rows) and any(w[1] for w in want.values())
 
 
@@ -101,17 +101,17 @@ def test_long_text(documents):
     rng = random.Random(2)
     long = [f"w{rng.randrange(3000)}" for _ in range(150_000)]
     rows = [(1, " ".join(long)), (2, " ".join(long[5000:90_000] + ["x"] + long[:100])), (3, " ".join(long[::-1]))]
-    assert outcome(substring_dedup(documents(rows))) == brute(rows)
+    assert outcome(substring_dedup(documents(rows), batch_cuts=[0.5])) == brute(rows)
 
 
 def test_null_and_repeated_ids(documents):
     text = " ".join(f"v{i}" for i in range(30))
     rows = [(1, text), (1, text), (None, text), (2, text)]
-    assert sorted((str(r.doc_id), r.n_removed) for r in substring_dedup(documents(rows)).collect()) == [("1", 0), ("1", 0), ("2", 30), ("None", 0)]
+    assert sorted((str(r.doc_id), r.n_removed) for r in substring_dedup(documents(rows), batch_cuts=[0.5]).collect()) == [("1", 0), ("1", 0), ("2", 30), ("None", 0)]
     assert substring_dedup(documents(rows).limit(0)).count() == 0
     other = " ".join(f"o{i}" for i in range(25))
     rows = [(1, text), (5, text), (5, other), (None, other)]
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup(documents(rows)).collect()) == [("1", 30, 0), ("5", 25, 0), ("5", 30, 30), ("None", 25, 0)]
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup(documents(rows), batch_cuts=[0.5]).collect()) == [("1", 30, 0), ("5", 25, 0), ("5", 30, 30), ("None", 25, 0)]
 
 
 def test_no_two_passes_have_to_agree_on_batches(documents, monkeypatch):
@@ -125,12 +125,12 @@ def test_no_two_passes_have_to_agree_on_batches(documents, monkeypatch):
 
     monkeypatch.setattr(module, "_candidate_windows", cut)
     rows = corpus(4)
-    got = substring_dedup(documents(rows)).collect()
+    got = substring_dedup(documents(rows), batch_cuts=[0.5]).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got} == brute(rows)
 
 
 def test_more_later_windows_than_a_row_carries(documents):
     text = " ".join(f"v{i}" for i in range(700))
     rows = [(i, text) for i in range(40)]
-    got = substring_dedup(documents(rows, parts=2)).collect()
+    got = substring_dedup(documents(rows, parts=2), batch_cuts=()).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got} == brute(rows)
