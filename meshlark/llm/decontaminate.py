@@ -9,12 +9,14 @@ word by word with the document.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import ascii_lower, materialize, text_of
+from .common import ascii_lower, materialize, other_id
 
 WINDOW = 10
 #: What separates words: ASCII other than digits and letters.
@@ -63,67 +65,85 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, size: int) -
     )
 
 
+def _seen(words: DataFrame, single: bool) -> DataFrame:
+    """``(doc, alt, size, pos, shingle)`` for every word of ``words(doc, alt, words)``, and again for it alone if ``single``."""
+
+    def each(shingles: Column) -> DataFrame:
+        # Size and shingles come before the explode, whose rows then carry no array.
+        before = words.select("doc", "alt", F.size("words").alias("size"), shingles.alias("shingles"))
+        return before.select("doc", "alt", "size", F.posexplode("shingles").alias("pos", "shingle"))
+
+    pairs = each(shingles_of(F.col("words")))
+    return pairs.union(each(F.transform("words", lambda w: F.xxhash64(w, F.lit(None).cast("string"))))) if single else pairs
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-    item_text_col: str = "text", size: int = WINDOW,
+    item_text_col: str = "text", size: int = WINDOW, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Find benchmark windows of ``size`` words in every whole document.
 
     Returns one row per input row: ``id_col``, ``n_words``, ``n_hit`` (words
-    inside an occurrence), ``n_items``, ``items_sha256``, ``contaminated`` and
-    ``hits`` (array of ``start``, ``stop`` in words, end exclusive).
-
-    Null text has no words.  An item of fewer words than ``size`` is one window,
-    one without words none.  Items with a null id mark words but are not
-    counted or listed; items with one id count once.  Rows repeated with one id are judged each by
-    their own text; ids may be null.  An empty table of documents gives an
-    empty result, an empty benchmark one without hits; other columns are
-    ignored.
+    inside an occurrence), ``n_items``, ``items_sha256``, ``contaminated``,
+    ``hits`` (array of ``start``, ``stop`` in words, end exclusive) and the
+    columns ``carry``.
+
+    Null text has no words; texts may be of any length.  An item of fewer words
+    than ``size`` is one window, one without words none.  Items with a null id
+    mark words but are not counted or listed; items with one id count once.
+    Every row is judged by its own text, whether its id is null or repeated.
+    An empty table of documents gives an empty result, an empty benchmark one
+    without hits; other columns are ignored.
     """
-    base = text_of(docs, id_col, text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None)
+    base = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row")).withColumn("alt", other_id())
     windows = materialize(benchmark_windows(items, item_id_col, item_text_col, size), "benchmark-windows")
     own = windows.select("window", "n", F.posexplode(F.slice(shingles_of(F.col("words")), F.lit(1), F.greatest(F.col("n") - 1, F.lit(1)))).alias("offset", "shingle"))
     vocabulary = own.select("shingle").distinct()
-
-    # Where the corpus has a shingle of the benchmark, from one pass over the texts.  A window of one word is
-    # looked up by that word, for which the documents give every word alone as well.
+    # A window of one word is looked up by that word, for which the documents give every word alone as well.
     words = words_of(F.col("text"))
-    token = F.posexplode(shingles_of(F.col("words"))).alias("pos", "shingle")
-    source = base.select("doc", words.alias("words"))
-    seen = source.select("doc", F.size("words").alias("size"), token)
-    if windows.where("n = 1").limit(1).count():
-        alone = source.select("doc", F.size("words").alias("size"), F.posexplode(F.transform("words", lambda w: F.xxhash64(w, F.lit(None).cast("string")))).alias("pos", "shingle"))
-        seen = seen.union(alone)
+    seen = _seen(base.select("doc", "alt", words.alias("words")), bool(windows.where("n = 1").limit(1).count()))
     # Every table that may be broadcast is counted itself: windows can far outnumber their shingles.
     n_shingles = vocabulary.count()
     n_windows, window_bytes = measured(windows)
-    places = materialize(seen.join(bounded(vocabulary, n_shingles), "shingle", "left_semi"), "benchmark-places")
 
-    # Rarity is counted over the whole corpus; a window that has a shingle nowhere occurs nowhere.
-    rarity = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    # Rarity is counted over the whole corpus, without keeping a place; a window that has a shingle nowhere occurs nowhere.
+    rarity = seen.select("shingle").join(bounded(vocabulary, n_shingles), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    rarity = materialize(rarity, "benchmark-rarity")
     first = Window.partitionBy("window").orderBy("df", "shingle", "offset")
     prefix = own.join(rarity, "shingle", "left").withColumn("rank", F.row_number().over(first)).where("rank = 1 AND df IS NOT NULL")
     prefix = materialize(prefix.select("window", "n", "offset", "shingle"), "benchmark-prefixes")
     n_prefixes = prefix.count()
     candidates = (
-        places.join(bounded(prefix, n_prefixes, n_prefixes * ROW_BYTES), "shingle")
-        .select("doc", "window", "n", (F.col("pos") - F.col("offset")).alias("start"), "size")
+        seen.join(bounded(prefix, n_prefixes, n_prefixes * ROW_BYTES), "shingle")
+        .select("doc", "alt", "window", "n", (F.col("pos") - F.col("offset")).alias("start"), "size")
         .where("start >= 0 AND start + n <= size")
         .join(bounded(windows.select("window", "words", "items"), n_windows, window_bytes), "window")
-        .groupBy("doc")
+        .groupBy(F.col("doc").alias("c_doc"), F.col("alt").alias("c_alt"))
         .agg(F.collect_set(F.struct("start", "n", "words", "items")).alias("candidates"))
-        .withColumnRenamed("doc", "c_doc")
     )
-
-    judged = base.join(candidates, F.col("doc").eqNullSafe(F.col("c_doc")), "left").select("doc", words.alias("words"), "candidates")
+    candidates = materialize(candidates, "benchmark-candidates")
+
+    # Only texts with candidates meet them; the others, nearly all, stay where they are.
+    suspects = candidates.select("c_doc", "c_alt")
+    n_suspects = suspects.count()
+    suspects = bounded(suspects, n_suspects, n_suspects * ROW_BYTES)
+    mine = F.col("doc").eqNullSafe(F.col("c_doc")) & F.col("alt").eqNullSafe(F.col("c_alt"))
+    judged = base.join(suspects, mine, "left_semi").join(candidates, mine).select("doc", "row", words.alias("words"), "candidates")
     real = F.filter("candidates", lambda c: F.slice("words", c["start"] + 1, c["n"]) == c["words"])
-    none = F.array().cast(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("items", T.ArrayType(T.StringType()))])))
     kept = F.transform(real, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["items"].alias("items")))
-    judged = judged.select("doc", F.size("words").cast("bigint").alias("n_words"), F.when(F.col("candidates").isNotNull(), kept).otherwise(none).alias("real"))
-    covered = F.array_distinct(F.flatten(F.transform("real", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
-    judged = judged.withColumn("items", F.array_sort(F.array_distinct(F.flatten(F.col("real.items"))))).withColumn("n_hit", F.size(covered).cast("bigint"))
-    return judged.select(
-        F.col("doc").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        F.array_sort(F.transform("real", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("stop")))).alias("hits"),
-    )
+    judged = judged.select("doc", "row", F.size("words").cast("bigint").alias("n_words"), kept.alias("real"))
+    none = F.array().cast(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("items", T.ArrayType(T.StringType()))])))
+    clean = base.join(suspects, mine, "left_anti").select("doc", "row", F.size(words).cast("bigint").alias("n_words"), none.alias("real"))
+
+    def digested(found: DataFrame) -> DataFrame:
+        covered = F.array_distinct(F.flatten(F.transform("real", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
+        found = found.withColumn("items", F.array_sort(F.array_distinct(F.flatten(F.col("real.items"))))).withColumn("n_hit", F.size(covered).cast("bigint"))
+        return found.select(
+            F.col("doc").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+            F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+            F.array_sort(F.transform("real", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("stop")))).alias("hits"),
+            *(F.col(f"row.`{c}`").alias(c) for c in carry),
+        )
+
+    return digested(judged).union(digested(clean))

@@ -69,6 +69,20 @@ def test_benchmarks_too_large_to_broadcast_give_the_same(case, monkeypatch):
     assert result(decontaminate(docs, items)) == want
 
 
+def test_columns_are_carried_by_row(case):
+    docs, items, want = case
+    got = decontaminate(docs, items, carry=("text", "lang")).collect()
+    known = [tuple(i) for i in items.collect()]
+    assert all(r.contaminated == brute([(0, r.text)], known)[0][5] for r in got) and {r.lang for r in got} == {"en"}
+    assert sum(r.doc_id is None and r.contaminated for r in got) == 1 and sorted(r.contaminated for r in got if r.doc_id == 105) == [False, True]
+
+
+def test_very_long_text(spark, documents):
+    text = "filler of some kind " * 100_000 + "one two three four five six seven eight nine ten " + "and more of it " * 50_000
+    got = decontaminate(documents([(1, text), (2, None)]), spark.createDataFrame([("i", "One, two three four five six seven eight nine ten")], "item_id string, text string")).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit) for r in got} == {(1, 600_010, 10), (2, 0, 0)}
+
+
 def test_empty_tables(case):
     docs, items, want = case
     assert decontaminate(docs.limit(0), items).count() == 0
