@@ -3,6 +3,11 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``.  All but the last
 return the columns of ``documents``.
+
+Every row is judged by its own text, whether its id is null or repeated.  Rows
+that are equal in id and text are one document for ``near_duplicates``; the
+other stages treat them alike.  Texts may be null, empty or of any length,
+tables may be empty, and other columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or far from every language, go."""
+    """Documents without letters, or far from every language, go.  If no row has a language to learn from, all go."""
     return predict(docs, fit(docs)).where(~F.col("rejected")).select(*COLUMNS)
 
 
@@ -34,15 +39,29 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest id stays."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of documents that links join, the one with the smallest id stays; a null id is larger than any other.
+
+    Of rows equal in id and text one stays.  Rows with one id and different
+    texts are documents of their own.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if not ids.where("n > 1 OR doc_id IS NULL").limit(1).count():
+        gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    node = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    rows = docs.groupBy(node.alias("node")).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("node", "row.*")
+    rows = materialize(rows, "distinct-rows")
+    linked = jaccard_components(rows, "node").select(F.col("node").alias("l_node"), "component_id")
+    named = rows.select("node", "doc_id").join(linked, F.col("node") == F.col("l_node"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"]
+    stay = named.groupBy("component_id").agg(first.alias("node")).select("node")
+    return rows.join(stay, "node", "left_semi").select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=rest).where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
