@@ -9,7 +9,7 @@ word by word with the document.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 1_000_000
 #: And up to this many bytes a table of windows is.
 BROADCAST_BYTES = 24 * BROADCAST_ROWS
+#: Remainders that a sieve before the join tells apart at most.
+SIEVE = 1 << 20
 #: Bytes of a row besides its texts: a digest, numbers and the row's own fields.
 ROW_BYTES = 160
 
@@ -32,7 +34,7 @@ ROW_BYTES = 160
 def words_of(text: Column) -> Column:
     """Words of a text with A-Z lower-cased; ``lower`` does that for ASCII, the slower ``translate`` for the rest."""
     folded = F.when(text.rlike(r"[^\x00-\x7F]"), ascii_lower(text)).otherwise(F.lower(text))
-    return F.filter(F.split(folded, SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
 def shingles_of(words: Column) -> Column:
@@ -65,16 +67,34 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, size: int) -
     )
 
 
-def _seen(words: DataFrame, single: bool) -> DataFrame:
-    """``(doc, alt, size, pos, shingle)`` for every word of ``words(doc, alt, words)``, and again for it alone if ``single``."""
+def sieve_of(shingles: DataFrame, rows: int) -> Callable[[Column], Column]:
+    """A test that every one of ``shingles`` passes, and few others: a byte for each of up to SIEVE remainders, held by the plan.
+
+    It only saves rows before the join that decides; a longer list passes all.
+    """
+    size = 1 << min(SIEVE.bit_length() - 1, (16 * rows).bit_length())
+    if 4 * rows > size:
+        return lambda x: F.lit(True)
+    taken = bytearray(size)
+    for r in shingles.select(F.pmod("shingle", F.lit(size)).cast("int").alias("at")).distinct().collect():
+        taken[r["at"]] = 1
+    return lambda x: F.substring(F.lit(bytes(taken)), (F.pmod(x, F.lit(size)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+
+
+def _seen(words: DataFrame, single: bool, passes: Callable[[Column], Column]) -> DataFrame:
+    """``(doc, alt, size, pos, shingle)`` for the words of ``words(doc, alt, words)`` whose shingle passes the sieve, and again for the word alone if ``single``.
+
+    Sizes and shingles come before the explode, so that its rows carry no array.
+    """
 
     def each(shingles: Column) -> DataFrame:
-        # Size and shingles come before the explode, whose rows then carry no array.
-        before = words.select("doc", "alt", F.size("words").alias("size"), shingles.alias("shingles"))
-        return before.select("doc", "alt", "size", F.posexplode("shingles").alias("pos", "shingle"))
+        own = words.select("doc", "alt", F.size("words").alias("size"), shingles.alias("shingle"))
+        own = own.withColumn("pos", F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0))))
+        found = F.filter(F.arrays_zip("pos", "shingle"), lambda z: z["shingle"].isNotNull() & passes(z["shingle"]))
+        return own.select("doc", "alt", "size", F.explode(found).alias("z")).select("doc", "alt", "size", "z.pos", "z.shingle")
 
-    pairs = each(shingles_of(F.col("words")))
-    return pairs.union(each(F.transform("words", lambda w: F.xxhash64(w, F.lit(None).cast("string"))))) if single else pairs
+    found = each(shingles_of(F.col("words")))
+    return found.union(each(F.transform("words", lambda w: F.xxhash64(w, F.lit(None).cast("string"))))) if single else found
 
 
 def decontaminate(
@@ -102,20 +122,21 @@ def decontaminate(
     vocabulary = own.select("shingle").distinct()
     # A window of one word is looked up by that word, for which the documents give every word alone as well.
     words = words_of(F.col("text"))
-    seen = _seen(base.select("doc", "alt", words.alias("words")), bool(windows.where("n = 1").limit(1).count()))
+    texts, single = base.select("doc", "alt", words.alias("words")), bool(windows.where("n = 1").limit(1).count())
     # Every table that may be broadcast is counted itself: windows can far outnumber their shingles.
     n_shingles = vocabulary.count()
     n_windows, window_bytes = measured(windows)
 
     # Rarity is counted over the whole corpus, without keeping a place; a window that has a shingle nowhere occurs nowhere.
-    rarity = seen.select("shingle").join(bounded(vocabulary, n_shingles), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    seen = _seen(texts, single, sieve_of(vocabulary, n_shingles)).select("shingle")
+    rarity = seen.join(bounded(vocabulary, n_shingles), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     rarity = materialize(rarity, "benchmark-rarity")
     first = Window.partitionBy("window").orderBy("df", "shingle", "offset")
     prefix = own.join(rarity, "shingle", "left").withColumn("rank", F.row_number().over(first)).where("rank = 1 AND df IS NOT NULL")
     prefix = materialize(prefix.select("window", "n", "offset", "shingle"), "benchmark-prefixes")
     n_prefixes = prefix.count()
     candidates = (
-        seen.join(bounded(prefix, n_prefixes, n_prefixes * ROW_BYTES), "shingle")
+        _seen(texts, single, sieve_of(prefix, n_prefixes)).join(bounded(prefix, n_prefixes, n_prefixes * ROW_BYTES), "shingle")
         .select("doc", "alt", "window", "n", (F.col("pos") - F.col("offset")).alias("start"), "size")
         .where("start >= 0 AND start + n <= size")
         .join(bounded(windows.select("window", "words", "items"), n_windows, window_bytes), "window")
