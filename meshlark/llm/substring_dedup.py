@@ -33,9 +33,9 @@ FRAGMENT_ROWS = 1_000_000
 #: Characters of a text for which there is an anchor, about.
 CHARS_PER_ANCHOR = 40
 #: Runs that an index lets gather before it merges them into one.
-MAX_RUNS = 4
+MAX_RUNS = 2
 #: Where a table is cut into the batches that its index is fed: a large first one, and smaller ones that meet it.
-CUTS = (0.6, 0.7, 0.8, 0.9)
+CUTS = (0.8, 0.9)
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -107,7 +107,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 WINDOW_NAMES = ["fragment", "hashes", "checks", "docs", "starts", "fresh"]
-WINDOWS = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>, fresh array<boolean>, verified array<int>"
+WINDOWS = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>, fresh array<boolean>, verified array<int>, numbers array<int>"
 #: As a run keeps them.
 KEPT = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>"
 LATER = "doc bigint, starts array<int>, first_docs array<bigint>, first_starts array<int>"
@@ -156,25 +156,25 @@ def _candidate_windows(size: int, fragments: int):
             wrong = np.zeros(0, "i8")
             for d, s, fd, fs, n in zip(*(x.tolist() for x in _segments(docs[after], starts[after], docs[to], starts[to]))):
                 if texts[d][s : s + n + size - 1] == texts[fd][fs : fs + n + size - 1]:
-                    found.setdefault(d, []).append(np.arange(s, s + n, dtype="i4"))
+                    found.setdefault(d, []).append((s, n))
                 else:  # two sequences with both hashes equal: the later one is sent on, and judged by digest
                     wrong = np.concatenate([wrong, after[(docs[after] == d) & (starts[after] >= s) & (starts[after] < s + n)]])
             if found:
                 none = as_lists(np.zeros(len(found) + 1, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8"))
-                lists = [np.concatenate(x) for x in found.values()]
-                bounds = np.cumsum([0, *map(len, lists)]).astype("i4")
+                lists = np.array([x for own in found.values() for x in own], "i4")
+                bounds = np.cumsum([0, *map(len, found.values())]).astype("i4")
                 whose = as_lists(np.arange(len(found) + 1, dtype="i4"), np.fromiter(found, "i8", len(found)))
                 empty = as_lists(np.zeros(len(found) + 1, "i4"), np.zeros(0, "i4"), np.zeros(0, bool))
                 dealt = fragment_of(mixed(np.fromiter(found, "i8", len(found)).view("u8")), fragments).astype("i4")
-                yield pa.RecordBatch.from_arrays([pa.array(dealt), *none, *whose, *empty, *as_lists(bounds, np.concatenate(lists))], [*WINDOW_NAMES, "verified"])
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), *none, *whose, *empty, *as_lists(bounds, lists[:, 0].copy(), lists[:, 1].copy())], [*WINDOW_NAMES, "verified", "numbers"])
             first = np.sort(np.concatenate([first, wrong]))  # by document and start, which compresses well
             hashes, checks, docs, starts, fresh = (x[first] for x in (hashes, checks, docs, starts, fresh))
             fragment = fragment_of(hashes, fragments)
             order = np.argsort(fragment, kind="stable")
             bounds = np.searchsorted(fragment[order], np.arange(fragments + 1)).astype("i4")
             columns = as_lists(bounds, signed(hashes[order]), signed(checks[order]), docs[order], starts[order].astype("i4"), fresh[order])
-            verified = as_lists(np.zeros(fragments + 1, "i4"), np.zeros(0, "i4"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *columns, *verified], [*WINDOW_NAMES, "verified"]).filter(pa.array(np.diff(bounds) > 0))
+            verified = as_lists(np.zeros(fragments + 1, "i4"), np.zeros(0, "i4"), np.zeros(0, "i4"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *columns, *verified], [*WINDOW_NAMES, "verified", "numbers"]).filter(pa.array(np.diff(bounds) > 0))
 
     return run
 
@@ -383,9 +383,9 @@ class FingerprintIndex:
             made = made.union(pick(old).mapInArrow(cut, WINDOWS))
         windows = self._write(made, "windows")
         made = self.spark.read.schema(WINDOWS).parquet(windows)
-        fresh = made.where(F.size("hashes") > 0).drop("verified")
-        verified = made.where(F.size("verified") > 0).select(F.col("docs")[0].alias("doc"), F.explode("verified").alias("start"))
-        verified = verified.select("doc", F.col("start").cast("bigint").alias("start"), F.lit(1).cast("bigint").alias("number"), F.lit(None).cast("binary").alias("digest"))
+        fresh = made.where(F.size("hashes") > 0).drop("verified", "numbers")
+        verified = made.where(F.size("verified") > 0).select(F.col("docs")[0].alias("doc"), F.explode(F.arrays_zip("verified", "numbers")).alias("v"))
+        verified = verified.select("doc", F.col("v.verified").cast("bigint").alias("start"), F.col("v.numbers").cast("bigint").alias("number"), F.lit(None).cast("binary").alias("digest"))
         known = self.windows().withColumn("fresh", F.transform("starts", lambda _: F.lit(False)))
         later = self._by_fragment(fresh.union(known)).mapInArrow(_repeated_windows, LATER).groupBy("doc").agg(F.collect_list(F.struct("starts", "first_docs", "first_starts")).alias("later"))
         segments = materialize(later.mapInArrow(_references, "doc bigint, start bigint, first_doc bigint, first_start bigint, number bigint"), "segments")
@@ -398,7 +398,7 @@ class FingerprintIndex:
         # Rows repeated with one id give one digest each.
         digests = digests.distinct()
         checked = segments.join(digests, ["first_doc", "first_start", "number"]).select("doc", "start", "number", "digest")
-        found = materialize(verified.union(checked).distinct(), "repeated-windows")
+        found = materialize(verified.union(checked), "repeated-windows")
         discard(wanted, segments)
         return found, windows
 
@@ -434,6 +434,8 @@ def _remove(size: int, with_text: bool):
 
 def _numbered(base: DataFrame) -> DataFrame:
     """``(doc, text, row)``: ``row`` is the id, or in tables where an id has several texts a number of its own for each, in the order of ids."""
+    if not base.where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").limit(1).count():
+        return base.withColumn("row", F.col("doc"))
     known = base.where("doc IS NOT NULL").select("doc", F.xxhash64("text").alias("h"))
     several = known.groupBy("doc").agg((F.min("h") != F.max("h")).alias("differ")).where("differ")
     if not several.limit(1).count():
@@ -475,13 +477,13 @@ def substring_dedup(
     # Dealt out by row once; no later join moves a text again.
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
     name = f"texts_{uuid.uuid4().hex}"
-    base.repartition(parts, "row").write.bucketBy(parts, "row").sortBy("row").option("compression", "zstd").option("path", f"{shared_dir(session)}/{name}").saveAsTable(name)
+    base.withColumn("chars", F.length("text")).repartition(parts, "row").write.bucketBy(parts, "row").sortBy("row").option("compression", "zstd").option("path", f"{shared_dir(session)}/{name}").saveAsTable(name)
     base = session.table(name)
     known = base.where("row IS NOT NULL").select(F.col("row").alias("doc"), "text")
     if index is not None:
         found = [index.dedup(known, text_of(history, id_col, text_col) if history is not None else None)]
     else:
-        chars = known.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+        chars = base.agg(F.sum("chars").alias("n")).first()["n"] or 0
         index = FingerprintIndex(session, size=size, fragments=fragments_for(chars // CHARS_PER_ANCHOR, FRAGMENT_ROWS, max(512, 2 * parts)))
         cuts = known.approxQuantile("doc", list(batch_cuts), 0.01) if batch_cuts else []
         edges = [None, *sorted({int(x) for x in cuts}), None]

@@ -59,8 +59,8 @@ def test_index_is_reopened_for_every_batch_and_compacts(spark, documents, tmp_pa
         got |= outcome(substring_dedup(documents(batch), index, documents(history) if history else None))
         history += batch
         most = max(most, len(index.runs))
-        assert len(index.runs) <= 4
-    assert got == brute(rows) and most == 4 and index.version > 8
+        assert len(index.runs) <= module.MAX_RUNS
+    assert got == brute(rows) and most == module.MAX_RUNS and index.version > 8
 
 
 def test_history_is_earlier_whatever_its_ids(spark, documents):
