@@ -36,7 +36,6 @@ CHARS_PER_ANCHOR = 40
 MAX_RUNS = 2
 #: Where a table is cut into the batches that its index is fed: a large first one, and smaller ones that meet it.
 CUTS = (0.8, 0.9)
-SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def window_anchors(words: np.ndarray, size: int = WINDOW, shingle: int = SHINGLE) -> np.ndarray:
@@ -106,18 +105,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(tokens[hit & alone], docs[hit & alone])
 
 
-WINDOW_NAMES = ["fragment", "hashes", "checks", "docs", "starts", "fresh"]
-WINDOWS = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>, fresh array<boolean>, verified array<int>, numbers array<int>"
+WINDOW_NAMES = ["fragment", "hashes", "docs", "starts", "fresh"]
+WINDOWS = "fragment int, hashes array<bigint>, docs array<bigint>, starts array<int>, fresh array<boolean>, verified array<int>, numbers array<int>"
 #: As a run keeps them.
-KEPT = "fragment int, hashes array<bigint>, checks array<bigint>, docs array<bigint>, starts array<int>"
+KEPT = "fragment int, hashes array<bigint>, docs array<bigint>, starts array<int>"
 LATER = "doc bigint, starts array<int>, first_docs array<bigint>, first_starts array<int>"
 
 
-def _later(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, starts: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _later(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of windows, positions of each sequence's first one, of those of new documents that come after it, and of the first ones to these."""
-    order = np.lexsort((starts, docs, fresh, checks, hashes))
-    h, c, d, s = hashes[order], checks[order], docs[order], starts[order]
-    first = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))[: len(h)]
+    order = np.lexsort((starts, docs, fresh, hashes))
+    h, d, s = hashes[order], docs[order], starts[order]
+    first = np.append(True, h[1:] != h[:-1])[: len(h)]
     group = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, "i8")
     after = ((d != d[group]) | (s != s[group])) & fresh[order]
     return order[first], order[after], order[group[after]]
@@ -146,21 +145,20 @@ def _candidate_windows(size: int, fragments: int):
                 at = np.flatnonzero(np.isin(window_anchors(words, size), tokens.values.to_numpy().view("u8")))
                 if len(at):
                     texts[doc] = raw
-                    second = mixed(words ^ SECOND)
-                    parts.append((windows(words, size)[at], windows(second, size)[at], np.full(len(at), doc, "i8"), at, np.full(len(at), fresh)))
+                    parts.append((windows(words, size)[at], np.full(len(at), doc, "i8"), at, np.full(len(at), fresh)))
             if not parts:
                 continue
-            hashes, checks, docs, starts, fresh = (np.concatenate(x) for x in zip(*parts))
-            first, after, to = _later(hashes, checks, docs, starts, fresh)
+            hashes, docs, starts, fresh = (np.concatenate(x) for x in zip(*parts))
+            first, after, to = _later(hashes, docs, starts, fresh)
             found: dict[int, list[np.ndarray]] = {}
             wrong = np.zeros(0, "i8")
             for d, s, fd, fs, n in zip(*(x.tolist() for x in _segments(docs[after], starts[after], docs[to], starts[to]))):
                 if texts[d][s : s + n + size - 1] == texts[fd][fs : fs + n + size - 1]:
                     found.setdefault(d, []).append((s, n))
-                else:  # two sequences with both hashes equal: the later one is sent on, and judged by digest
+                else:  # two sequences with equal hashes: the later one is sent on, and judged by digest
                     wrong = np.concatenate([wrong, after[(docs[after] == d) & (starts[after] >= s) & (starts[after] < s + n)]])
             if found:
-                none = as_lists(np.zeros(len(found) + 1, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8"))
+                none = as_lists(np.zeros(len(found) + 1, "i4"), np.zeros(0, "i8"))
                 lists = np.array([x for own in found.values() for x in own], "i4")
                 bounds = np.cumsum([0, *map(len, found.values())]).astype("i4")
                 whose = as_lists(np.arange(len(found) + 1, dtype="i4"), np.fromiter(found, "i8", len(found)))
@@ -168,11 +166,11 @@ def _candidate_windows(size: int, fragments: int):
                 dealt = fragment_of(mixed(np.fromiter(found, "i8", len(found)).view("u8")), fragments).astype("i4")
                 yield pa.RecordBatch.from_arrays([pa.array(dealt), *none, *whose, *empty, *as_lists(bounds, lists[:, 0].copy(), lists[:, 1].copy())], [*WINDOW_NAMES, "verified", "numbers"])
             first = np.sort(np.concatenate([first, wrong]))  # by document and start, which compresses well
-            hashes, checks, docs, starts, fresh = (x[first] for x in (hashes, checks, docs, starts, fresh))
+            hashes, docs, starts, fresh = (x[first] for x in (hashes, docs, starts, fresh))
             fragment = fragment_of(hashes, fragments)
             order = np.argsort(fragment, kind="stable")
             bounds = np.searchsorted(fragment[order], np.arange(fragments + 1)).astype("i4")
-            columns = as_lists(bounds, signed(hashes[order]), signed(checks[order]), docs[order], starts[order].astype("i4"), fresh[order])
+            columns = as_lists(bounds, signed(hashes[order]), docs[order], starts[order].astype("i4"), fresh[order])
             verified = as_lists(np.zeros(fragments + 1, "i4"), np.zeros(0, "i4"), np.zeros(0, "i4"))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *columns, *verified], [*WINDOW_NAMES, "verified", "numbers"]).filter(pa.array(np.diff(bounds) > 0))
 
@@ -184,8 +182,8 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     fragment, held = None, []
 
     def flush() -> pa.RecordBatch:
-        hashes, checks, docs, starts, fresh = (np.concatenate(x) for x in zip(*held))
-        _, after, to = _later(hashes, checks, docs, starts, fresh.astype(bool))
+        hashes, docs, starts, fresh = (np.concatenate(x) for x in zip(*held))
+        _, after, to = _later(hashes, docs, starts, fresh.astype(bool))
         after, to = (x[np.lexsort((starts[after], docs[after]))] for x in (after, to))
         d = docs[after]
         at = np.flatnonzero(np.append(True, d[1:] != d[:-1])[: len(d)])
@@ -199,7 +197,7 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield flush()
                 held = []
             fragment = f
-            held.append([batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 6)])
+            held.append([batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 5)])
     if held:
         yield flush()
 
@@ -212,7 +210,7 @@ def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         columns = [np.concatenate(x) for x in zip(*held)]
         first, _, _ = _later(*columns, np.zeros(len(columns[0]), bool))
         first = np.sort(first)
-        return pa.RecordBatch.from_arrays([pa.array([fragment], pa.int32()), *as_lists(np.array([0, len(first)], "i4"), *(x[first] for x in columns))], WINDOW_NAMES[:5])
+        return pa.RecordBatch.from_arrays([pa.array([fragment], pa.int32()), *as_lists(np.array([0, len(first)], "i4"), *(x[first] for x in columns))], WINDOW_NAMES[:4])
 
     for batch in batches:
         for i, f in enumerate(batch.column(0).to_pylist()):
@@ -220,7 +218,7 @@ def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield flush()
                 held = []
             fragment = f
-            held.append([batch.column(c)[i].values.to_numpy() for c in range(1, 5)])
+            held.append([batch.column(c)[i].values.to_numpy() for c in range(1, 4)])
     if held:
         yield flush()
 
@@ -231,11 +229,11 @@ def _recut_windows(fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                columns = [batch.column(c)[i].values.to_numpy() for c in range(1, 5)]
+                columns = [batch.column(c)[i].values.to_numpy() for c in range(1, 4)]
                 fragment = fragment_of(columns[0].view("u8"), fragments)
                 order = np.argsort(fragment, kind="stable")
                 bounds = np.searchsorted(fragment[order], np.arange(fragments + 1)).astype("i4")
-                out = pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *as_lists(bounds, *(x[order] for x in columns))], WINDOW_NAMES[:5])
+                out = pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype="i4")), *as_lists(bounds, *(x[order] for x in columns))], WINDOW_NAMES[:4])
                 yield out.filter(pa.array(np.diff(bounds) > 0))
 
     return run
@@ -465,8 +463,9 @@ def substring_dedup(
     be of any length.  A row with a null id keeps all words and counts as
     earlier for nobody.  Rows repeated with one id and text are one document;
     those with one id and different texts are documents of their own, one after
-    another.  Windows whose words differ are never taken for equal: what two
-    64-bit hashes find is compared word by word or by SHA-256.  An empty table
+    another.  Windows whose words differ are never taken for equal: what a
+    64-bit hash finds is compared word by word or by SHA-256; a collision of
+    that hash could only leave a repeated window in place.  An empty table
     gives an empty result; other columns are ignored.  Ids must be integers.
     """
     base = text_of(docs, id_col, text_col)
