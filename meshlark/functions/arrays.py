@@ -29,6 +29,38 @@ def transpose(a: Column, rows: int, cols: int) -> Column:
     return take(a, [r * cols + c for c in range(cols) for r in range(rows)])
 
 
+def concatenate(*parts: Column) -> Column:
+    return F.concat(*parts)
+
+
+def broadcast_rows(a: Column, n: int) -> Column:
+    """An array repeated along a new first axis."""
+    return F.array_repeat(a, n)
+
+
+def broadcast_cols(a: Column, n: int) -> Column:
+    """Every element repeated along a new last axis."""
+    return F.transform(a, lambda x: F.array_repeat(x, n))
+
+
+def sort_with(less: Callable[[Column, Column], Column], *fields: Column) -> list[Column]:
+    """Sorts arrays together by a comparator of their rows, structs with fields ``f0``, ``f1``, ...; equal rows keep their order."""
+    rows = F.arrays_zip(*(f.alias(f"f{i}") for i, f in enumerate(fields)), F.transform(fields[0], lambda _, i: i).alias("at"))
+    order = F.array_sort(rows, lambda a, b: F.when(less(a, b), -1).when(less(b, a), 1).otherwise(a["at"] - b["at"]))
+    pick = lambda name: F.transform(order, lambda r: r[name])
+    return [pick(f"f{i}") for i in range(len(fields))]
+
+
+def reduce_rows(start: Column, combine: Callable[[Column, Column], Column], *fields: Column) -> Column:
+    """Folds several arrays at once: ``combine`` takes the struct so far and a row with fields ``f0``, ``f1``, ..."""
+    return F.aggregate(F.arrays_zip(*(f.alias(f"f{i}") for i, f in enumerate(fields))), start, combine)
+
+
+def batched_dot(a: Column, b: Column) -> Column:
+    """Products of pairs of vectors, for arrays of vectors."""
+    return F.zip_with(a, b, dot)
+
+
 def pad(a: Column, n: int, value: Column, low: int = 0, high: int = 0, interior: int = 0) -> Column:
     """Pads an array of ``n``; negative padding cuts."""
     inner = [i for k in range(n) for i in ([k] + [None] * (interior if k < n - 1 else 0))]

@@ -42,7 +42,7 @@ def horner(coefficients: tuple[float, ...], t: Column) -> Column:
     """A polynomial in ``t``, ascending coefficients."""
     out = F.lit(coefficients[-1])
     for c in reversed(coefficients[:-1]):
-        out = out * t + F.lit(c) if abs(c) > 1e-15 else out * t
+        out = out * t + F.lit(c) if c else out * t
     return out
 
 

@@ -19,8 +19,10 @@ def _nan() -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Quotient of doubles; by zero an infinity or NaN instead of an error."""
-    by_zero = F.when(F.isnan(a) | (a == 0), _nan()).otherwise(F.when(a > 0, F.lit(INF)).otherwise(F.lit(-INF)))
+    """Quotient of doubles; by zero an infinity, whose sign a negative zero turns, or NaN instead of an error."""
+    # Spark compares zeros of both signs as equal; their texts differ.
+    negative = (a < 0) != b.cast("double").cast("string").startswith("-")
+    by_zero = F.when(F.isnan(a) | (a == 0), _nan()).otherwise(F.when(negative, F.lit(-INF)).otherwise(F.lit(INF)))
     return F.when((b != 0) | F.isnan(b), a / b).otherwise(by_zero)
 
 
@@ -91,7 +93,10 @@ def round_even(x: Column) -> Column:
 
 def round_away(x: Column) -> Column:
     """To the nearest whole number, halves away from zero."""
-    return F.signum(x) * floor(F.abs(x) + 0.5)
+    size = F.abs(x)
+    whole = floor(size)
+    # Adding a half first would round the largest double below a half up.
+    return F.signum(x) * (whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0))
 
 
 def is_finite(x: Column) -> Column:
@@ -109,9 +114,22 @@ def to_int(x: Column, kind: str = "bigint") -> Column:
     return x.try_cast(kind)
 
 
-def count_leading_zeros(x: Column) -> Column:
-    """Of a 32-bit integer."""
-    return F.when(x < 0, 0).when(x == 0, 32).otherwise(32 - F.length(F.bin(x))).cast("int")
+def count_leading_zeros(x: Column, bits: int = 32) -> Column:
+    """Of an integer of 32 or 64 bits."""
+    return F.when(x < 0, 0).when(x == 0, bits).otherwise(bits - F.length(F.bin(x))).cast("int")
+
+
+def popcount(x: Column, bits: int = 32) -> Column:
+    """Set bits of an integer of 8, 16, 32 or 64 bits."""
+    wide = x.cast("bigint")
+    return F.bit_count(wide if bits == 64 else wide.bitwiseAND(F.lit((1 << bits) - 1))).cast("int")
+
+
+def wrapping(op: Callable[[Column, Column], Column], a: Column, b: Column, bits: int = 32) -> Column:
+    """Sum, difference or product of integers of up to 32 bits, which wraps around instead of failing."""
+    half = 1 << (bits - 1)
+    low = op(a.cast("bigint"), b.cast("bigint")).bitwiseAND(F.lit((1 << bits) - 1))
+    return (low - F.when(low >= half, 2 * half).otherwise(0)).cast({8: "tinyint", 16: "smallint", 32: "int"}[bits])
 
 
 def case(selector: Column, branches: Sequence[Column]) -> Column:
@@ -129,14 +147,46 @@ def repeat(times: int, step: Callable[[int, Column], Column], start: Column) ->
     return start
 
 
+def _erf_near(x: np.ndarray) -> np.ndarray:
+    """Its power series times exp(-x^2): terms of one sign, for |x| up to 3."""
+    term = x * (2 / math.sqrt(math.pi)) * np.exp(-x * x)
+    total = term.copy()
+    for n in range(1, 80):
+        term = term * (2 * x * x / (2 * n + 1))
+        total += term
+    return total
+
+
+def _erfc_far(x: np.ndarray) -> np.ndarray:
+    """Its continued fraction, for x of 2 and more."""
+    tail = np.zeros_like(x)
+    for k in range(120, 0, -1):
+        tail = (k / 2) / (x + tail)
+    return np.exp(-x * x) / (x + tail) / math.sqrt(math.pi)
+
+
 @F.pandas_udf(T.DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(math.erf, x), float, len(x)))
+def _erf(x: pd.Series) -> pd.Series:
+    v = x.to_numpy("f8")
+    far = np.clip(np.abs(v), 3, 40)
+    return pd.Series(np.where(np.abs(v) < 3, _erf_near(np.clip(v, -3, 3)), np.sign(v) * (1 - _erfc_far(far))))
 
 
 @F.pandas_udf(T.DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(math.erfc, x), float, len(x)))
+def _erfc(x: pd.Series) -> pd.Series:
+    v = x.to_numpy("f8")
+    inner = 1 - _erf_near(np.clip(v, -3, 2))
+    out = np.where(v > 2, _erfc_far(np.clip(v, 2, 40)), np.where(v < -3, 1 + (1 - _erfc_far(np.clip(-v, 3, 40))), inner))
+    return pd.Series(out)
+
+
+def erf(x: Column) -> Column:
+    """Null stays null, as a pandas function can't tell it from NaN."""
+    return F.when(F.isnan(x), _nan()).otherwise(_erf(x))
+
+
+def erfc(x: Column) -> Column:
+    return F.when(F.isnan(x), _nan()).otherwise(_erfc(x))
 
 
 @F.pandas_udf(T.LongType())
@@ -148,3 +198,14 @@ def double_bits(x: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def bits_double(x: pd.Series) -> pd.Series:
     return pd.Series(x.to_numpy("i8").view("f8"))
+
+
+@F.pandas_udf(T.IntegerType())
+def float_bits(x: pd.Series) -> pd.Series:
+    """The bits of a 32-bit float as an int."""
+    return pd.Series(x.to_numpy("f4").view("i4"))
+
+
+@F.pandas_udf(T.FloatType())
+def bits_float(x: pd.Series) -> pd.Series:
+    return pd.Series(x.to_numpy("i4").view("f4"))

@@ -288,14 +288,14 @@ def scatter_batched(spark, sf_dir):
     return grid.select("species", (F.col("ix") * 64 + F.col("iy") * 8 + F.col("iz")).alias("cell"), q(F.col("v"), 1e6).alias("v"))
 
 
-@query(f"""{BASE}, {RHO} SELECT ix, iy, iz, {sq('sum(wx * wy * wz * c6)', 1e6)} AS v, {sq('sum(dx * wy * wz * c6)', 1e6)} AS v_tangent FROM c6 JOIN wx USING (atom_id) JOIN wy USING (atom_id) JOIN wz USING (atom_id) WHERE rank = 0 GROUP BY ix, iy, iz""")
+@query(f"""{BASE}, {RHO} SELECT rank, ix, iy, iz, {sq('sum(wx * wy * wz * c6)', 1e6)} AS v, {sq('sum(dx * wy * wz * c6)', 1e6)} AS v_tangent FROM c6 JOIN wx USING (atom_id) JOIN wy USING (atom_id) JOIN wz USING (atom_id) GROUP BY rank, ix, iy, iz""")
 def scatter_jvp(spark, sf_dir):
-    """The density of one rank and how it changes as all atoms move along the first axis."""
+    """The density of every rank and how it changes as all atoms move along the first axis."""
     m = model(spark, sf_dir)
-    points = plan.mesh_coordinates(m).drop("species").join(plan.atom_coefficients(m).where("rank = 0"), "atom_id")
+    points = plan.mesh_coordinates(m).drop("species").join(plan.atom_coefficients(m), "atom_id")
     weight = lambda s, a, moving: dual.horner_pick(_SP, Dual(F.col(f"t{a}"), F.lit(1.0 if moving else 0.0)), s.index["xyz".index(a)])
-    grid = scatter_to_mesh(points, _SP.offsets, lambda s: (weight(s, "x", True) * weight(s, "y", False) * weight(s, "z", False) * F.col("c6")).outputs("v"), GRID)
-    return grid.select("ix", "iy", "iz", q(F.col("v"), 1e6).alias("v"), q(F.col("v_tangent"), 1e6).alias("v_tangent"))
+    grid = scatter_to_mesh(points, _SP.offsets, lambda s: (weight(s, "x", True) * weight(s, "y", False) * weight(s, "z", False) * F.col("c6")).outputs("v"), GRID, batch=("rank",))
+    return grid.select("rank", "ix", "iy", "iz", q(F.col("v"), 1e6).alias("v"), q(F.col("v_tangent"), 1e6).alias("v_tangent"))
 
 
 # -- transforms ---------------------------------------------------------------
@@ -521,12 +521,12 @@ def expr_binary(spark, sf_dir):
 
 
 @query(f"""{LINES}, i AS (SELECT o, n, (l_partkey - 100)::INTEGER AS x, l_suppkey::INTEGER AS y FROM l) SELECT o, n, x & y AS both, x | y AS either, xor(x, y) AS one, ~x AS inverse, (x::BIGINT * 8)::INTEGER AS up, (floor(x / 4.0))::INTEGER AS down,
-    (CASE WHEN x < 0 THEN (x::BIGINT + 4294967296) // 16 ELSE x // 16 END)::INTEGER AS logical, bit_count(CASE WHEN x < 0 THEN 0 ELSE x END)::INTEGER AS ones, (CASE WHEN x < 0 THEN 0 WHEN x = 0 THEN 32 ELSE 32 - length(bin(x)) END)::INTEGER AS zeros FROM i""")
+    (CASE WHEN x < 0 THEN (x::BIGINT + 4294967296) // 16 ELSE x // 16 END)::INTEGER AS logical, bit_count(x)::INTEGER AS ones, (CASE WHEN x < 0 THEN 0 WHEN x = 0 THEN 32 ELSE 32 - length(bin(x)) END)::INTEGER AS zeros FROM i""")
 def expr_bits(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
     lines = _lines(spark, sf_dir).select("o", "n", (F.col("l_partkey") - 100).cast("int").alias("x"), F.col("l_suppkey").cast("int").alias("y"))
     return lines.select("o", "n", x.bitwiseAND(y).alias("both"), x.bitwiseOR(y).alias("either"), x.bitwiseXOR(y).alias("one"), F.bitwise_not(x).alias("inverse"), F.shiftleft(x, 3).alias("up"), F.shiftright(x, 2).alias("down"),
-        F.shiftrightunsigned(x, 4).alias("logical"), F.bit_count(F.when(x < 0, 0).otherwise(x)).alias("ones"), scalar.count_leading_zeros(x).alias("zeros"))
+        F.shiftrightunsigned(x, 4).alias("logical"), scalar.popcount(x).alias("ones"), scalar.count_leading_zeros(x).alias("zeros"))
 
 
 @query(f"""{LINES} SELECT o, n, {sq(f'{X} * t - {Y} * 2', 1e6)} AS product_re, {sq(f'{X} * 2 + {Y} * t', 1e6)} AS product_im, {sq(f'({X} * t + {Y} * 2) / (t * t + 4)', 1e6)} AS quotient_re, {sq(f'({Y} * t - {X} * 2) / (t * t + 4)', 1e6)} AS quotient_im,
