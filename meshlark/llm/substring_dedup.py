@@ -38,12 +38,12 @@ MAX_RUNS = 2
 CUTS = (0.8, 0.9)
 
 
-def window_anchors(words: np.ndarray, size: int = WINDOW, shingle: int = SHINGLE) -> np.ndarray:
+def _anchors(shingles: np.ndarray, size: int, shingle: int) -> np.ndarray:
     """Per window the least shingle hash inside it."""
-    n, span = len(words) - size + 1, size - shingle + 1
+    n, span = len(shingles) - (size - shingle), size - shingle + 1
     if n <= 0:
         return np.zeros(0, "u8")
-    least, width = windows(words, shingle), 1
+    least, width = shingles, 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -51,6 +51,16 @@ def window_anchors(words: np.ndarray, size: int = WINDOW, shingle: int = SHINGLE
     return np.minimum(least[: len(least) - rest], least[rest:])[:n] if rest else least[:n]
 
 
+def window_anchors(words: np.ndarray, size: int = WINDOW, shingle: int = SHINGLE) -> np.ndarray:
+    return _anchors(windows(words, shingle), size, shingle)
+
+
+def _spans(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and how long they are."""
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return at, np.diff(np.append(at, len(values)))
+
+
 def _batch_runs(size: int, fragments: int):
     """The anchors of a batch of documents, sorted and cut into fragments.  An anchor that the batch has twice
     is in ``shared_*`` with each document, and once more without a document for other batches to meet."""
@@ -61,10 +71,13 @@ def _batch_runs(size: int, fragments: int):
             anchors = []
             for text in batch.column(1):
                 words = known.of(text.as_py().encode("utf-8", "surrogatepass").split())
-                found = np.unique(window_anchors(words, size))
+                shingles = windows(words, SHINGLE)
+                found = _anchors(shingles, size, SHINGLE)
+                found = np.unique(found[_spans(found)[0]])
                 # Equal windows of one text have their anchor's shingle at two places.
-                values, times = np.unique(windows(words, SHINGLE), return_counts=True)
-                anchors.append(np.concatenate([found, found[np.isin(found, values[times > 1])]]))
+                shingles.sort()
+                times = np.searchsorted(shingles, found, "right") - np.searchsorted(shingles, found)
+                anchors.append(np.concatenate([found, found[times > 1]]))
             docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype("i8"), [len(x) for x in anchors])
             tokens = np.concatenate(anchors) if anchors else np.zeros(0, "u8")
             yield pack(tokens, docs, fragments)
@@ -142,7 +155,10 @@ def _candidate_windows(size: int, fragments: int):
             for doc, text, tokens, fresh in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
                 raw = text.as_py().encode("utf-8", "surrogatepass").split()
                 words = known.of(raw)
-                at = np.flatnonzero(np.isin(window_anchors(words, size), tokens.values.to_numpy().view("u8")))
+                anchors, met = window_anchors(words, size), np.sort(tokens.values.to_numpy().view("u8"))
+                begin, times = _spans(anchors)
+                own = anchors[begin]
+                at = np.flatnonzero(np.repeat(met[np.minimum(np.searchsorted(met, own), len(met) - 1)] == own, times))
                 if len(at):
                     texts[doc] = raw
                     parts.append((windows(words, size)[at], np.full(len(at), doc, "i8"), at, np.full(len(at), fresh)))
