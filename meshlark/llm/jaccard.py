@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir, text_of
 from .components import components
 from .fragments import PACKED, fragments_for, merged, pack, shared
-from .shingles import WordHashes, mixed, shingle_set, signed, words_of
+from .shingles import mixed, shingle_sets, signed
 
 SIZE = 5
 #: All prefixes reach at least this far in the order: three tenths of the hashes.
@@ -59,17 +59,11 @@ def prefix_of(shingles: np.ndarray) -> np.ndarray:
     return shingles[: max(len(shingles) // 4 + 1, int(np.searchsorted(shingles, FLOOR, "right")))]
 
 
-def _sets(batch: pa.RecordBatch, size: int, known: WordHashes) -> Iterator[np.ndarray]:
-    for text in batch.column(1):
-        yield shingle_set(known.of(words_of(text.as_py())), size)
-
-
 def _profiles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             n, prefix, low, half, digest = [], [], [], [], []
-            for s in _sets(batch, size, known):
+            for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 prefix.append(len(prefix_of(s)))
                 low.append(int(np.searchsorted(s, FLOOR, "right")))
@@ -85,9 +79,8 @@ def _packed_prefixes(size: int, fragments: int):
     """Prefix shingles of a batch of documents, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            sets = [prefix_of(s) for s in _sets(batch, size, known)]
+            sets = [prefix_of(s) for s in shingle_sets(batch.column(1), size)]
             docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype("i8"), [len(s) for s in sets])
             yield pack(np.concatenate(sets) if sets else np.zeros(0, "u8"), docs, fragments)
 
@@ -98,11 +91,10 @@ def _segments(size: int):
     """A document's whole set, cut into the fragments of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, rows, fragments, segments = batch.slice(at, 500), [], [], []
-                for i, s in enumerate(_sets(part, size, known)):
+                for i, s in enumerate(shingle_sets(part.column(1), size)):
                     bounds = np.searchsorted(s, CUTS)
                     for f, segment in enumerate(np.split(s, bounds)):
                         if len(segment):
@@ -299,9 +291,8 @@ def _several_texts(base: DataFrame, size: int, leader_rounds: int) -> DataFrame:
 
 def _null_profiles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            n = [len(shingle_set(known.of(words_of(t.as_py())), size)) for t in batch.column(2)]
+            n = [len(s) for s in shingle_sets(batch.column(2), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc", "n_shingles", "component_id"])
 
     return run

@@ -15,6 +15,7 @@ itself, and runs are compacted when there are many.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, remove, shared_dir, text_of
 from .fragments import PACKED, as_lists, fragment_of, fragments_for, merged, pack, recut
-from .shingles import WordHashes, mixed, signed, windows
+from .shingles import mixed, signed, windows, word_hashes
 
 WINDOW, SHINGLE = 20, 8
 #: Anchors that a fragment of a run holds at most, about: they bound what a task holds at a time.
@@ -66,19 +67,19 @@ def _batch_runs(size: int, fragments: int):
     is in ``shared_*`` with each document, and once more without a document for other batches to meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             anchors = []
-            for text in batch.column(1):
-                words = known.of(text.as_py().encode("utf-8", "surrogatepass").split())
+            for words, edges in word_hashes(batch.column(1)):
                 shingles = windows(words, SHINGLE)
-                found = _anchors(shingles, size, SHINGLE)
-                found = np.unique(found[_spans(found)[0]])
-                # Equal windows of one text have their anchor's shingle at two places.
-                shingles.sort()
-                times = np.searchsorted(shingles, found, "right") - np.searchsorted(shingles, found)
-                anchors.append(np.concatenate([found, found[times > 1]]))
-            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype("i8"), [len(x) for x in anchors])
+                least = _anchors(shingles, size, SHINGLE)
+                for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    found = least[low : max(low, high - size + 1)]
+                    found = np.unique(found[_spans(found)[0]])
+                    # Equal windows of one text have their anchor's shingle at two places.
+                    own = np.sort(shingles[low : max(low, high - SHINGLE + 1)])
+                    twice = own[1:][own[1:] == own[:-1]]
+                    anchors += [found, found[np.isin(found, twice)]] if len(twice) else [found, twice]
+            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype("i8"), [len(x) + len(y) for x, y in zip(anchors[::2], anchors[1::2])])
             tokens = np.concatenate(anchors) if anchors else np.zeros(0, "u8")
             yield pack(tokens, docs, fragments)
 
@@ -144,32 +145,42 @@ def _segments(docs: np.ndarray, starts: np.ndarray, first_docs: np.ndarray, firs
     return d[at], s[at], fd[at], fs[at], np.diff(np.append(at, len(d)))
 
 
+class _Split(dict):
+    """Words of the texts that are asked for."""
+
+    def __init__(self, texts: dict[int, pa.Scalar]):
+        self.texts = texts
+
+    def __missing__(self, doc: int) -> list[bytes]:
+        words = self[doc] = self.texts[doc].as_buffer().to_pybytes().split()
+        return words
+
+
 def _candidate_windows(size: int, fragments: int):
     """Windows whose anchor was met: per fragment each sequence's first one in the batch.  Those of new documents
     that come after it are compared with it word by word at once, and go out by document (``verified``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            parts, texts = [], {}
-            for doc, text, tokens, fresh in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
-                raw = text.as_py().encode("utf-8", "surrogatepass").split()
-                words = known.of(raw)
-                anchors, met = window_anchors(words, size), np.sort(tokens.values.to_numpy().view("u8"))
-                begin, times = _spans(anchors)
-                own = anchors[begin]
-                at = np.flatnonzero(np.repeat(met[np.minimum(np.searchsorted(met, own), len(met) - 1)] == own, times))
-                if len(at):
-                    texts[doc] = raw
-                    parts.append((windows(words, size)[at], np.full(len(at), doc, "i8"), at, np.full(len(at), fresh)))
+            parts, texts, rows = [], {}, zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist())
+            for words, edges in word_hashes(batch.column(1)):
+                least, whole = window_anchors(words, size), windows(words, size)
+                for low, high, (doc, text, tokens, fresh) in zip(edges[:-1].tolist(), edges[1:].tolist(), rows):
+                    anchors, met = least[low : max(low, high - size + 1)], np.sort(tokens.values.to_numpy().view("u8"))
+                    begin, times = _spans(anchors)
+                    own = anchors[begin]
+                    at = np.flatnonzero(np.repeat(met[np.minimum(np.searchsorted(met, own), len(met) - 1)] == own, times))
+                    if len(at):
+                        texts[doc] = text
+                        parts.append((whole[low + at], np.full(len(at), doc, "i8"), at, np.full(len(at), fresh)))
             if not parts:
                 continue
             hashes, docs, starts, fresh = (np.concatenate(x) for x in zip(*parts))
             first, after, to = _later(hashes, docs, starts, fresh)
             found: dict[int, list[np.ndarray]] = {}
-            wrong = np.zeros(0, "i8")
+            wrong, split = np.zeros(0, "i8"), _Split(texts)
             for d, s, fd, fs, n in zip(*(x.tolist() for x in _segments(docs[after], starts[after], docs[to], starts[to]))):
-                if texts[d][s : s + n + size - 1] == texts[fd][fs : fs + n + size - 1]:
+                if split[d][s : s + n + size - 1] == split[fd][fs : fs + n + size - 1]:
                     found.setdefault(d, []).append((s, n))
                 else:  # two sequences with equal hashes: the later one is sent on, and judged by digest
                     wrong = np.concatenate([wrong, after[(docs[after] == d) & (starts[after] >= s) & (starts[after] < s + n)]])
@@ -276,7 +287,7 @@ def _digests(size: int):
         for batch in batches:
             rows = []
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = text.as_py().encode("utf-8", "surrogatepass").split()
+                words = text.as_buffer().to_pybytes().split()
                 rows += [(doc, w["first_start"], w["number"], _digest(words[w["first_start"] : w["first_start"] + w["number"] + size - 1])) for w in wanted]
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["first_doc", "first_start", "number", "digest"])
@@ -424,7 +435,7 @@ def _remove(size: int, with_text: bool):
                 part = batch.slice(at, 256)
                 n_words, n_removed, digest, kept = [], [], [], []
                 for text, found in zip(part.column(1), part.column(2)):
-                    words = text.as_py().encode("utf-8", "surrogatepass").split()
+                    words = text.as_buffer().to_pybytes().split()
                     stay = words
                     if found.is_valid:
                         edge = np.zeros(len(words) + 1, "i4")
@@ -434,7 +445,7 @@ def _remove(size: int, with_text: bool):
                             if same is None or same == _digest(words[start:end]):
                                 edge[start] += 1
                                 edge[end] -= 1
-                        stay = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+                        stay = list(itertools.compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
                     out = b" ".join(stay)
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(stay))
