@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import bpe_decode, bpe_encode
+from .centroids import CENTROIDS, COMPONENTS, ROUNDS, cluster
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .importance import importance_sample
 from .jaccard import jaccard_components
 from .langid import identify
 from .line_dedup import line_dedup
@@ -86,6 +89,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(captures, blocklist(pages))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are decoded in a step of its own, which knows nothing of the texts."""
+    encoded = bpe_encode(table(spark, sf_dir, "documents"))
+    spoken = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    digests = encoded.select(F.struct("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(spoken, 256).alias("ids_sha256")).alias("row"), "ids")
+    return bpe_decode(digests, "row").select("row.*", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -97,10 +116,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_importance": op11_importance,
+    "op12_centroids": op12_centroids,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _centroid_rounds() -> str:
+    """Each round's assignments and centroids, one step after another, then the last assignments."""
+    steps = []
+    for i in range(ROUNDS + 1):
+        steps.append(f"""
+        p{i} AS (SELECT v.id, v.vec_id, v.q, arg_min(c.c, {{'d': apart(v.q, c.q), 'c': c.c}}) AS c, min(apart(v.q, c.q)) AS d FROM v, c{i} AS c GROUP BY v.id, v.vec_id, v.q)""")
+        if i < ROUNDS:
+            steps.append(f"""
+        s{i} AS (SELECT c, k, sum(q[k])::BIGINT AS s, count(*) AS n FROM (SELECT c, q, unnest(range(1, {COMPONENTS + 1})) AS k FROM p{i}) GROUP BY c, k),
+        c{i + 1} AS (SELECT c, coalesce(m.q, c{i}.q) AS q FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS q FROM s{i} GROUP BY c) AS m USING (c))""")
+    return ",".join(steps).replace("apart(v.q, c.q)", "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT")
+
+
+#: Words as the word contract has them; the register of a CRC-32 after each byte, for all distinct runs of words at once.
+_RUNS = f"""
+        words AS (SELECT kind, id, list_filter(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+                  FROM (SELECT 0 AS kind, row_number() OVER () AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+        runs AS (SELECT kind, id, array_to_string(w[i:i + k - 1], ' ') AS f FROM (SELECT kind, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS n(k) WHERE len(w) >= k)),
+        counted AS (SELECT kind, id, f, count(*) AS n FROM runs GROUP BY ALL),
+        crcs AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+        bytes AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM counted),
+        crc AS (SELECT f, h, 4294967295::BIGINT AS c, 0 AS j FROM bytes
+                UNION ALL SELECT f, h, xor(c >> 8, t[xor(c & 255, ('0x' || substr(h, 2 * j + 1, 2))::BIGINT) + 1]), j + 1 FROM crc, crcs WHERE 2 * j < length(h)),
+        bucket AS (SELECT f, xor(c, 4294967295) % 10000 AS b FROM crc WHERE 2 * j = length(h))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": f"""
         WITH d AS (SELECT doc_id, list_filter(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -164,4 +213,23 @@ ORACLE_SQL: dict[str, str] = {
                 WHERE a <= fetched AND (z IS NULL OR fetched < z)),
         g AS (SELECT page_id, arg_max(domain, length(domain)) AS matched_domain, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM hit GROUP BY page_id)
         SELECT page_id, host, matched_domain IS NOT NULL AS blocked, matched_domain, categories FROM h LEFT JOIN g USING (page_id)""",
+    "op11_importance": f"""
+        WITH RECURSIVE {_RUNS},
+        per AS (SELECT kind, id, b, sum(n)::BIGINT AS n FROM counted JOIN bucket USING (f) GROUP BY kind, id, b),
+        totals AS (SELECT coalesce(sum(n) FILTER (kind = 0), 0)::BIGINT AS s_all, coalesce(sum(n) FILTER (kind = 1), 0)::BIGINT AS t_all FROM per),
+        gains AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS g
+                  FROM (SELECT b, coalesce(sum(n) FILTER (kind = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (kind = 1), 0)::BIGINT AS t FROM per GROUP BY b), totals),
+        weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM per JOIN gains USING (b) WHERE kind = 0 GROUP BY id),
+        scored AS (SELECT doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+                   FROM (SELECT row_number() OVER () AS id, doc_id FROM documents) JOIN (FROM words WHERE kind = 0) USING (id) LEFT JOIN weights USING (id)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r, count(*) FILTER (fit) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 5 * n // 100 THEN r END AS rank FROM placed""",
+    "op12_centroids": f"""
+        WITH v AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+                   WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda x: isfinite(x))) = {COMPONENTS}),
+        c0 AS (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h, q LIMIT {CENTROIDS})),{_centroid_rounds()}
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(z.q, ',')) AS centroid_sha256
+        FROM p{ROUNDS} AS p JOIN c{ROUNDS} AS z USING (c)""",
 }
