@@ -17,10 +17,11 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import accumulate, count
+from itertools import accumulate, count, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ class PerfectHash:
 
 @functools.cache
 def character_kinds() -> np.ndarray:
-    """An ASCII stand-in for every character that is treated alike by the pattern."""
+    """An ASCII stand-in for every character that is treated alike by the pattern; ASCII stands for itself."""
     import regex
 
     every = "".join(map(chr, range(0x110000)))
@@ -112,8 +113,7 @@ def character_kinds() -> np.ndarray:
     for kind, letter in ((r"\p{L}", "A"), (r"\p{N}", "0"), (r"\s", "\t")):
         for m in regex.finditer(kind + "+", every):
             stand[m.start() : m.end()] = ord(letter)
-    stand[:128] = np.where(stand[:128] == ord("!"), stand[:128], np.arange(128))
-    stand[ord("'")] = ord("'")
+    stand[:128] = np.arange(128)
     return stand
 
 
@@ -144,6 +144,7 @@ class ByteBPE:
         self.tokens = [ranks[i] for i in range(len(ranks))]
         self.hash, self.longest = PerfectHash(self.tokens), max(map(len, self.tokens))
         self.bytes = self.hash.find_all([bytes([b]) for b in range(256)]).tolist()
+        self.two = self.hash.find_all([bytes(p) for p in product(range(256), repeat=2)]).tolist()
         if min(self.bytes) < 0:
             raise ValueError("every byte must be a token")
 
@@ -164,7 +165,8 @@ class ByteBPE:
         """Ids of a pre-token that is no token, as native 32-bit integers."""
         rank, longest, n = self.rank, self.longest, len(piece)
         ids, after, before = [self.bytes[b] for b in piece], list(range(1, n + 2)), list(range(-1, n))
-        pair = [rank[piece[i : i + 2]] for i in range(n - 1)]
+        two = self.two
+        pair = [two[a << 8 | b] for a, b in zip(piece, piece[1:])]
         pair += (-1, -1)
         heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]  # by rank, then by place
         heapify(heap)
@@ -202,27 +204,39 @@ class ByteBPE:
         return [b"".join(map(ids.__getitem__, c)) for c in codes]
 
     @functools.cached_property
-    def _spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = np.fromiter(map(len, self.tokens), np.int64)
-        return np.frombuffer(b"".join(self.tokens), np.uint8), size, np.cumsum(size) - size
+    def sizes(self) -> np.ndarray:
+        """How many bytes each token has."""
+        return np.fromiter(map(len, self.tokens), np.int64)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the tokens, put together."""
-        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.tokens)):
-            raise ValueError("an id is not in the vocabulary")
-        spelled, size, begin = self._spelling
-        n = size[ids]
-        return spelled[np.repeat(begin[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        n = self.sizes[ids]
+        begin = (np.cumsum(self.sizes) - self.sizes)[ids]
+        return self._spelling[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    @functools.cached_property
+    def _spelling(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.tokens), np.uint8)
+
+
+def _spelled(bpe: ByteBPE, flat: np.ndarray, ends: np.ndarray, valid: pa.Buffer | None = None) -> pa.Array:
+    """What each row's ids spell; ``ends`` are the places in ``flat`` where rows end, from 0 on."""
+    if len(flat) and not (0 <= flat.min() and flat.max() < len(bpe.tokens)):
+        raise ValueError("an id is not in the vocabulary")
+    at = np.concatenate([[0], np.cumsum(bpe.sizes[flat])])[ends]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [valid, pa.py_buffer(at.astype("<i4")), pa.py_buffer(bpe.decode(flat))])
 
 
-def _encode(shared):
+def _encode(shared, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe: ByteBPE = shared.value
 
         def made(docs: list, ids: list[bytes]) -> pa.RecordBatch:
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("i4")
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "i4")))
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(docs), lists], ["doc", "ids"])
+            ends, flat = np.cumsum([0, *(len(x) // 4 for x in ids)]), np.frombuffer(b"".join(ids), "i4")
+            columns = {"doc": pa.concat_arrays(docs), "ids": pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(flat))}
+            if with_bytes:
+                columns["bytes"] = _spelled(bpe, flat, ends)
+            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         docs, ids, texts, held, size = [], [], [], 0, 0
         for batch in batches:
@@ -247,19 +261,14 @@ def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe: ByteBPE = shared.value
         for batch in batches:
-            ids, row = batch.column(1), 0
-            ends = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-            while row < len(ids):  # as many rows as have FLUSH ids together, one at least
-                upto = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + FLUSH, "right")))
-                part = batch.slice(row, upto - row)
-                lists = part.column(1)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                raw = bpe.decode(flat)
-                sizes = bpe._spelling[1][flat]
-                at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()])]
-                none = lists.is_valid() if lists.null_count else None
-                text = pa.Array.from_buffers(pa.binary(), len(lists), [none and none.buffers()[1], pa.py_buffer(at.astype("<i4")), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([part.column(0), text], ["doc", "bytes"])
+            lists, row = batch.column(1), 0
+            ends = np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()])
+            while row < len(lists):  # as many rows as have FLUSH ids together, one at least
+                upto = max(row + 1, int(np.searchsorted(ends, ends[row] + FLUSH, "right")) - 1)
+                own = lists.slice(row, upto - row)
+                valid = pc.is_valid(own).buffers()[1] if own.null_count else None
+                text = _spelled(bpe, own.flatten().to_numpy(zero_copy_only=False), ends[row : upto + 1] - ends[row], valid)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, upto - row), text], ["doc", "bytes"])
                 row = upto
 
     return run
@@ -275,18 +284,19 @@ def _shared(df: DataFrame, path: str | None):
     return df.sparkSession.sparkContext.broadcast(_vocabulary(path))
 
 
-def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_bytes: bool = False) -> DataFrame:
     """``(id_col, ids)``: every whole text as token ids, each match of the public pattern encoded by itself.
 
-    No shuffle.  A null or empty text has no ids; texts and pre-tokens may be of
-    any length.  Strings of special tokens are ordinary text.  Ids may be null,
-    repeated and of any type; an empty table gives no rows; other columns are
-    ignored, whatever their names.  ``path`` names a rank file that the driver
-    can read; null is the public one of 50,256 tokens.
+    ``with_bytes`` adds ``bytes``, decoded from the ids alone.  No shuffle.  A
+    null or empty text has no ids; texts and pre-tokens may be of any length.
+    Strings of special tokens are ordinary text.  Ids may be null, repeated and
+    of any type; an empty table gives no rows; other columns are ignored,
+    whatever their names.  ``path`` names a rank file that the driver can read;
+    null is the public one of 50,256 tokens.
     """
     base = text_of(docs, id_col, text_col)
-    schema = f"doc {base.schema['doc'].dataType.simpleString()}, ids array<int>"
-    return base.mapInArrow(_encode(_shared(docs, path)), schema).withColumnRenamed("doc", id_col)
+    schema = f"doc {base.schema['doc'].dataType.simpleString()}, ids array<int>" + ", bytes binary" * with_bytes
+    return base.mapInArrow(_encode(_shared(docs, path), with_bytes), schema).withColumnRenamed("doc", id_col)
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

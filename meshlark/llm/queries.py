@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import bpe_decode, bpe_encode
+from .byte_bpe import bpe_encode
 from .centroids import CENTROIDS, COMPONENTS, ROUNDS, cluster
 from .common import table
 from .decontaminate import decontaminate
@@ -98,11 +98,9 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids are decoded in a step of its own, which knows nothing of the texts."""
-    encoded = bpe_encode(table(spark, sf_dir, "documents"))
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), with_bytes=True)
     spoken = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    digests = encoded.select(F.struct("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(spoken, 256).alias("ids_sha256")).alias("row"), "ids")
-    return bpe_decode(digests, "row").select("row.*", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(spoken, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -65,6 +65,7 @@ def test_round_trip(spark, documents, clashing, library):
     key = lambda p: str(p[0])
     want = sorted(((i, library.encode_ordinary(t or "")) for i, t in rows), key=key)
     assert sorted(((r.doc_id, r.ids) for r in encoded.collect()), key=key) == want
+    assert sorted(((r.doc_id, bytes(r.bytes).decode()) for r in bpe_encode(documents(rows), with_bytes=True).collect()), key=key) == sorted(((i, t or "") for i, t in rows), key=key)
     decoded = bpe_decode(clashing(encoded.withColumnRenamed("ids", "tokens")), ids_col="tokens")
     assert sorted(((r.doc_id, bytes(r.bytes).decode()) for r in decoded.collect()), key=key) == sorted(((i, t or "") for i, t in rows), key=key)
 
