@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bspline import bspline
+from ..functions.complex import Complex
 from ..operators.coefficients import coefficients, reference_weights, self_energy
 from ..operators.coordination import coordination_numbers, edge_geometry, switching_slope
-from ..operators.kernel import reciprocal_kernel, reciprocal_kernel_slope
+from ..operators.kernel import Damping, reciprocal_kernel, reciprocal_kernel_slope
+from ..operators.relations import Relation
 from ..operators.scatter import CELLS, gather_from_mesh, scatter_to_mesh
-from ..operators.spectral import dft, frequency, half_weight, inverse_dft
+from ..operators.spectral import dft, frequency, inverse_dft, map_spectrum
 from ..sources.storage import settled
 from .model import Matrix, Model, inverse
 
+#: Densities and spectra have a batch per species and rank.
+BATCH = ("species", "rank")
+#: A frequency's wave vector and its length.
+WAVES = ("kx", "ky", "kz", "k")
+
 
 def mesh_coordinates(model: Model) -> DataFrame:
     """``(atom_id, species, cx, cy, cz, tx, ty, tz)``: cell and fraction of every atom; cells may lie outside the grid."""
@@ -76,26 +84,43 @@ def spectrum(model: Model, rho: DataFrame) -> DataFrame:
     return out.select("species", "rank", *CELLS, (F.col("c_re") / b).alias("c_re"), (F.col("c_im") / b).alias("c_im"))
 
 
-def _pairs(model: Model, spectral: DataFrame, value: Callable[[Column, Column], Column]) -> DataFrame:
-    """The spectrum of every species a with that of every species b at one frequency and rank, and ``kernel``."""
-    names = model.species.select("species", "sqrt_qz")
-    a = spectral.join(names, "species").select(F.col("species").alias("a"), "rank", *CELLS, F.col("c_re").alias("a_re"), F.col("c_im").alias("a_im"), F.col("sqrt_qz").alias("q_a"))
-    b = spectral.join(names, "species").select("rank", *CELLS, F.col("c_re").alias("b_re"), F.col("c_im").alias("b_im"), F.col("sqrt_qz").alias("q_b"))
-    both = a.join(b, ["rank", *CELLS]).withColumns(dict(zip(("kx", "ky", "kz", "k"), wave_vector(model))))
-    return both.withColumn("kernel", value(F.col("k"), F.col("q_a") * F.col("q_b"))).join(model.eigs, "rank")
+@dataclass(frozen=True)
+class Prepared:
+    """What energy and gradients have in common, settled: coefficients per atom and rank, and the half spectrum of their density."""
+
+    c6: DataFrame
+    spectral: DataFrame
+
+
+def prepared(model: Model) -> Prepared:
+    c6 = settled(atom_coefficients(model), "c6")
+    return Prepared(c6, settled(spectrum(model, density(model, c6)), "spectrum"))
 
 
-def _weight(model: Model) -> Column:
-    return half_weight(F.col("iz"), model.grid_shape[2])
+def _met(model: Model, spectral: DataFrame) -> tuple[DataFrame, dict[str, Relation]]:
+    """The spectrum with wave vectors, and what a kernel reads there: its species, its rank, and the spectrum of every species."""
+    waves = spectral.withColumns(dict(zip(WAVES, wave_vector(model))))
+    others = spectral.join(model.species.select("species", "sqrt_qz"), "species").drop("species")
+    return waves, {"own": Relation(model.species, ("species",)), "rank": Relation(model.eigs, ("rank",)), "other": Relation(others, ("rank", *CELLS), many=True)}
 
 
-PRODUCT = "(a_re * b_re + a_im * b_im)"
+def _interaction(model: Model, aux: dict[str, Relation], kernel: Callable[[Column, Column, Damping], Column]) -> Complex:
+    """The other species' spectrum times the kernel of both and the rank's eigenvalue."""
+    other = aux["other"]
+    return Complex(other["c_re"], other["c_im"]).scale(kernel(F.col("k"), aux["own"]["sqrt_qz"] * other["sqrt_qz"], model.damping) * aux["rank"]["eig"])
 
 
 def spectral_total(model: Model, spectral: DataFrame) -> DataFrame:
     """One row, ``total``: the weighted sum over the half spectrum."""
-    pairs = _pairs(model, spectral, lambda k, q: reciprocal_kernel(k, q, model.damping))
-    return pairs.agg(F.coalesce(F.sum(_weight(model) * F.col("eig") * F.col("kernel") * F.expr(PRODUCT)), F.lit(0.0)).alias("total"))
+    waves, aux = _met(model, spectral)
+    fn = lambda i, v, aux: (None, {"total": v["c"].conjugate() * _interaction(model, aux, reciprocal_kernel)})
+    sums = map_spectrum(fn, waves, model.grid_shape, ["c"], BATCH, True, aux)[1]
+    return sums.select(F.coalesce("total_re", F.lit(0.0)).alias("total"))
+
+
+def _energy(model: Model, total: DataFrame, c6: DataFrame) -> DataFrame:
+    both = total.select("total").join(self_energy(c6, model.eigs, model.selfcont))
+    return both.select((F.col("total") / (-2 * model.volume) + F.col("vself") / 2).alias("energy"), "total", "vself")
 
 
 def dispersion_energy(model: Model, strain: Matrix | None = None) -> DataFrame:
@@ -103,28 +128,46 @@ def dispersion_energy(model: Model, strain: Matrix | None = None) -> DataFrame:
     if strain is not None:
         model = model.strained(strain)
     c6 = settled(atom_coefficients(model), "c6")
-    both = spectral_total(model, spectrum(model, density(model, c6))).join(self_energy(c6, model.eigs, model.selfcont))
-    return both.select((F.col("total") / (-2 * model.volume) + F.col("vself") / 2).alias("energy"), "total", "vself")
+    return _energy(model, spectral_total(model, spectrum(model, density(model, c6))), c6)
 
 
-def potential(model: Model, spectral: DataFrame) -> DataFrame:
+def spectral_field(model: Model, spectral: DataFrame) -> DataFrame:
+    """``(species, rank, ix, iy, iz, p_re, p_im, s_re, s_im)``: what all species do to one at a frequency, by the kernel and by its slope, from one pass over the pairs."""
+    waves, aux = _met(model, spectral)
+    fn = lambda i, v, aux: ({"p": _interaction(model, aux, reciprocal_kernel), "s": _interaction(model, aux, reciprocal_kernel_slope)}, None)
+    return map_spectrum(fn, waves, model.grid_shape, ["c"], BATCH, True, aux)[0]
+
+
+def potential(model: Model, field: DataFrame) -> DataFrame:
     """``(species, rank, ix, iy, iz, value)``: derivative of the energy's mesh part by the density."""
-    pairs = _pairs(model, spectral, lambda k, q: reciprocal_kernel(k, q, model.damping))
-    scale = F.col("eig") * F.lit(-model.spacing / model.volume)
-    per = pairs.groupBy(F.col("a").alias("species"), "rank", *CELLS).agg(F.sum(F.col("kernel") * F.col("b_re") * scale).alias("p_re"), F.sum(F.col("kernel") * F.col("b_im") * scale).alias("p_im"))
-    b = deconvolution(model)
-    per = per.select("species", "rank", *CELLS, (F.col("p_re") / b).alias("p_re"), (F.col("p_im") / b).alias("p_im"))
-    back = inverse_dft(per, model.grid_shape, ["p"], keys=("species", "rank"), half=True)
+    scale = F.lit(-model.spacing / model.volume) / deconvolution(model)
+    per = field.select("species", "rank", *CELLS, (F.col("p_re") * scale).alias("p_re"), (F.col("p_im") * scale).alias("p_im"))
+    back = inverse_dft(per, model.grid_shape, ["p"], keys=BATCH, half=True)
     return back.select("species", "rank", *CELLS, F.col("p_re").alias("value"))
 
 
-def energy_gradients(model: Model) -> tuple[DataFrame, DataFrame]:
-    """Gradients of the energy without strain: ``(atom_id, gx, gy, gz)`` and ``(row, col, g)`` by the strain."""
+def spectral_sums(model: Model, spectral: DataFrame, field: DataFrame) -> DataFrame:
+    """One row: ``total``, and how it changes with the wave vectors, ``m00`` to ``m22``."""
+    own = Relation(spectral, (*BATCH, *CELLS))
+
+    def fn(i, v):
+        c = Complex(own["c_re"], own["c_im"]).conjugate()
+        bend = (c * v["s"]).scale(1 / F.col("k"))
+        return None, {"total": c * v["p"]} | {f"m{i}{j}": bend.scale(F.col(WAVES[i]) * F.col(WAVES[j])) for i in range(3) for j in range(3)}
+
+    waves = field.withColumns(dict(zip(WAVES, wave_vector(model))))
+    sums = map_spectrum(fn, waves, model.grid_shape, ["p", "s"], BATCH, True)[1]
+    return sums.select(*(F.coalesce(c, F.lit(0.0)).alias(c.removesuffix("_re")) for c in sums.columns))
+
+
+def energy_gradients(model: Model, ready: Prepared | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gradients of the energy without strain: ``(atom_id, gx, gy, gz)``, and ``(row, col, g)`` by the strain; and ``spectral_sums``."""
     spline, inv = bspline(model.order), inverse(model.lattice)
-    # One row per atom and rank, and one per frequency: small beside the edges, and read by several steps.
-    c6 = settled(atom_coefficients(model), "c6")
-    spectral = settled(spectrum(model, density(model, c6)), "spectrum")
-    grids = {"phi": (potential(model, spectral), ("species", "rank"))}
+    ready = ready or prepared(model)
+    c6 = ready.c6
+    field = settled(spectral_field(model, ready.spectral), "field")
+    sums = spectral_sums(model, ready.spectral, field)
+    grids = {"phi": (potential(model, field), BATCH)}
     points = weighted_points(model, c6, slopes=True)
     phi = lambda s: s.grid["phi"]
     kernel = lambda s: {
@@ -146,17 +189,20 @@ def energy_gradients(model: Model) -> tuple[DataFrame, DataFrame]:
     by_position = per_atom.select("atom_id", *(m.alias(f"g{a}") for m, a in zip(mesh, "xyz"))).join(forces, "atom_id", "left")
     by_position = by_position.select("atom_id", *((F.col(f"g{a}") + F.coalesce(f"f{a}", F.lit(0.0))).alias(f"g{a}") for a in "xyz"))
 
-    slopes = _pairs(model, spectral, lambda k, q: reciprocal_kernel_slope(k, q, model.damping))
-    k = {a: F.col(f"k{a}") for a in "xyz"}
-    each = _weight(model) * F.col("eig") * F.col("kernel") * F.expr(PRODUCT) / (2 * model.volume) / F.col("k")
     index = [(i, j) for i in range(3) for j in range(3)]
-    from_mesh = slopes.agg(F.array(*[F.sum(each * k["xyz"[i]] * k["xyz"[j]]) for i, j in index]).alias("mesh"))
     from_edges = edges.agg(F.array(*[F.coalesce(F.sum(F.col("pull") * F.col(f"d{'xyz'[i]}") * F.col(f"d{'xyz'[j]}")), F.lit(0.0)) for i, j in index]).alias("edge"))
-    one = spectral_total(model, spectral).join(from_mesh).join(from_edges)
-    rows = F.array(*[F.struct(F.lit(i).alias("row"), F.lit(j).alias("col"), (F.get("mesh", F.lit(n)) + F.get("edge", F.lit(n)) + (F.col("total") / (2 * model.volume) if i == j else F.lit(0.0))).alias("g")) for n, (i, j) in enumerate(index)])
-    return by_position, one.select(F.explode(rows).alias("r")).select("r.*")
+    one = sums.join(from_edges)
+    mesh_part = lambda i, j: F.col(f"m{i}{j}") + F.col("total") if i == j else F.col(f"m{i}{j}")
+    rows = F.array(*[F.struct(F.lit(i).alias("row"), F.lit(j).alias("col"), (F.get("edge", F.lit(n)) + mesh_part(i, j) / (2 * model.volume)).alias("g")) for n, (i, j) in enumerate(index)])
+    return by_position, one.select(F.explode(rows).alias("r")).select("r.*"), sums
 
 
 def dispersion_energy_and_derivatives(model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Energy, gradient by positions, gradient by strain -- in this order.  Forces are the negative of the second."""
-    return dispersion_energy(model), *energy_gradients(model)
+    """Energy, gradient by positions, gradient by strain -- in this order.  Forces are the negative of the second.
+
+    All three come from one set of coefficients, one spectrum and one pass over
+    the pairs of species.
+    """
+    ready = prepared(model)
+    by_position, by_strain, sums = energy_gradients(model, ready)
+    return _energy(model, sums, ready.c6), by_position, by_strain

@@ -8,20 +8,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import arrays, dual, scalar
+from .functions import arrays, dual, graph, scalar
 from .functions.bspline import bspline
 from .functions.complex import Complex
 from .functions.dual import Dual
-from .operators.adjoint import scatter_transpose, spectral_transpose
+from .functions.graph import Node
+from .operators import adjoint
+from .operators.adjoint import linear_transpose, scatter_transpose, scatter_vjp, spectral_transpose, spectral_vjp
 from .operators.coefficients import coefficients, reference_weights, self_energy
 from .operators.coordination import coordination_numbers, edge_geometry, switching
 from .operators.kernel import COS8, PI, SIN8, reciprocal_kernel
+from .operators.relations import Relation
 from .operators.scatter import gather_from_mesh, route, scatter_over_support, scatter_to_mesh
 from .operators.spectral import dft, inverse_dft, spectral_map
 from .plans import energy as plan
 from .plans.model import Model, determinant, inverse
 from .sources import tables
-from .sources.storage import small_table
+from .sources.storage import settled, small_table
 from .sources.tables import DAMPING, EIGS, GRID, LATTICE, ORDER, R_CUT, REFERENCES, SELFCONT, SQRT_QZ, V_Q, model
 
 STRAIN = ((0.01, 0.02, 0.0), (0.0, -0.01, 0.015), (0.0, 0.0, 0.005))
@@ -301,6 +304,10 @@ def scatter_jvp(spark, sf_dir):
 # -- transforms ---------------------------------------------------------------
 
 
+def _spread(m: Model, c6: DataFrame) -> DataFrame:
+    return plan.density(m, c6).select("species", "rank", "ix", "iy", "iz", F.col("rho").alias("c_re"), F.lit(0.0).alias("c_im"))
+
+
 def _grid(m: Model) -> DataFrame:
     return _density(m).select("species", "rank", "ix", "iy", "iz", F.col("rho").alias("c_re"), F.lit(0.0).alias("c_im"))
 
@@ -383,6 +390,126 @@ def spectral_jvp(spark, sf_dir):
     return spectral_map(power, grid, GRID, ["c", "d"], keys=KEYS, is_hermitian=True, aux_keys=("rank",))[1].select("rank", q(F.col("p_re"), 1e3).alias("tangent"))
 
 
+# -- relations, reduced batches and derivatives of spectral maps --------------
+
+_TUNED = "tune AS (SELECT species, rank, avg(c6) AS g FROM c6 GROUP BY ALL), level AS (SELECT avg(rcov) AS r FROM atoms)"
+_SHELL = "(CASE WHEN kx < 4 THEN kx ELSE 8 - kx END + CASE WHEN ky < 4 THEN ky ELSE 8 - ky END + kz)"
+
+
+def _tuned(m: Model, c6: DataFrame) -> tuple[Relation, Relation, Relation]:
+    """By batch, by nothing and by frequency: the mean coefficient, the mean radius, and a weight that falls with the frequency."""
+    cells = [(x, y, z, 1 / (1 + min(x, 8 - x) + min(y, 8 - y) + z)) for x in range(8) for y in range(8) for z in range(5)]
+    return Relation(c6.groupBy("species", "rank").agg(F.avg("c6").alias("g")), KEYS), Relation(m.atoms.agg(F.avg("rcov").alias("r"))), Relation(small_table(m.atoms.sparkSession, cells, "ix int, iy int, iz int, w double"), ("ix", "iy", "iz"))
+
+
+@query(f"""{BASE}, {RHO}, {spectrum_sql(True)}, {_TUNED} SELECT rank::INTEGER AS rank, {sq(f'sum({WK} * (re * re + im * im) * g * r / (1 + {_SHELL}))', 1e3)} AS power
+    FROM spec JOIN tune USING (species, rank), level GROUP BY rank""")
+def spectral_aux_input(spark, sf_dir):
+    """A weighted power that reads tables by batch and by frequency, and closes over one of a single row."""
+    m = model(spark, sf_dir)
+    c6 = settled(plan.atom_coefficients(m), "c6")
+    tune, level, cells = _tuned(m, c6)
+
+    def fn(i, v, aux):
+        return None, {"p": (v["c"] * v["c"].conjugate()).scale(aux["tune"]["g"] * aux["cells"]["w"] * level["r"])}
+
+    _, sums = spectral_map(fn, _spread(m, c6), GRID, ["c"], keys=KEYS, is_hermitian=True, aux={"tune": tune, "cells": cells}, aux_keys=("rank",))
+    return sums.select("rank", q(F.col("p_re"), 1e3).alias("power"))
+
+
+@query(f"""{BASE}, {RHO}, {freqs(False)}, {_DENSE}, {_FILTERED}, {_TUNED} SELECT rank::INTEGER AS rank, ix, iy, iz, {sq('sum(v * g)', 1e6)} AS v FROM filtered JOIN tune USING (species, rank) GROUP BY ALL""")
+def spectral_grid_reduced(spark, sf_dir):
+    """Filtered densities of all species, weighted and added before the one transform back."""
+    m = model(spark, sf_dir)
+    c6 = settled(plan.atom_coefficients(m), "c6")
+    tune = _tuned(m, c6)[0]
+    back, _ = spectral_map(lambda i, v: ({"c": v["c"].scale(_gauss(i) * tune["g"])}, None), _spread(m, c6), GRID, ["c"], keys=KEYS, is_hermitian=True, grid_keys=("rank",), real=True)
+    return back.select("rank", "ix", "iy", "iz", q(F.col("c_re"), 1e6).alias("v"))
+
+
+_ROTATED = f"""{BASE}, {RHO}, {spectrum_sql(False)}, mixed AS (SELECT a.species, a.kx, a.ky, a.kz, {SIGNED("a.kx")} AS x, {SIGNED("a.ky")} AS y, {SIGNED("a.kz")} AS z, a.re AS ar, a.im AS ai, b.re AS br, b.im AS bi
+    FROM spec a JOIN spec b USING (species, kx, ky, kz) WHERE a.rank = 0 AND b.rank = 1),
+    turned AS (SELECT *, ar * exp(-x * x / 10.0) - ai * (y / 2.0) + br * (1 + z) - bi * (x - 0.25) AS pr, ar * (y / 2.0) + ai * exp(-x * x / 10.0) + br * (x - 0.25) + bi * (1 + z) AS pi, br * (z / 4.0) - ai AS qr, bi * (z / 4.0) + ar AS qi FROM mixed)"""
+
+
+def _rotation(i, v):
+    """Two grids mixed by factors that are neither real nor even."""
+    x, y, z = i
+    p = v["a"] * Complex(Node.of(F.exp(-x * x / F.lit(10.0))), Node.of(y / F.lit(2.0))) + v["b"] * Complex(Node.of(1 + z), Node.of(x - F.lit(0.25)))
+    return {"p": p, "q": v["b"] * Complex(Node.of(z / F.lit(4.0)), Node.of(0)) + Complex(-v["a"].im, v["a"].re)}, None
+
+
+def _by_rank(m: Model, names: tuple[str, str], c6: DataFrame) -> DataFrame:
+    """The densities of both ranks side by side, as real grids."""
+    cells = ("species", "ix", "iy", "iz")
+    a, b = (plan.density(m, c6).where(F.col("rank") == r).select(*cells, F.col("rho").alias(f"{v}_re")) for r, v in enumerate(names))
+    both = a.join(b, list(cells), "full").na.fill(0.0, [f"{v}_re" for v in names])
+    return both.withColumns({f"{v}_im": F.lit(0.0) for v in names})
+
+
+@query(f"""{_ROTATED} SELECT species, {sq('sum(ar * pr + ai * pi - 2 * (br * qr + bi * qi)) / 512', 1e3)} AS re, {sq('sum(ar * pi - ai * pr - 2 * (br * qi - bi * qr)) / 512', 1e3)} AS im FROM turned GROUP BY species""")
+def spectral_rotation_transposed(spark, sf_dir):
+    """Sums over cells of the transposed map of (rho 0, -2 rho 1) times the densities, which are those of the map times (rho 0, -2 rho 1)."""
+    m = model(spark, sf_dir)
+    c6 = settled(plan.atom_coefficients(m), "c6")
+    given = _by_rank(m, ("p", "q"), c6).withColumns({"q_re": -2 * F.col("q_re")})
+    back = linear_transpose(_rotation, given, GRID, ["a", "b"], {"p": "p", "q": "q"}, keys=("species",))
+    met = back.join(_by_rank(m, ("x", "y"), c6).select("species", "ix", "iy", "iz", "x_re", "y_re"), ["species", "ix", "iy", "iz"])
+    total = lambda p: q(F.sum(F.col(f"a_{p}") * F.col("x_re") + F.col(f"b_{p}") * F.col("y_re")), 1e3)
+    return met.groupBy("species").agg(total("re").alias("re"), total("im").alias("im"))
+
+
+@query(f"""{BASE}, {RHO}, {spectrum_sql(True)} SELECT species, {sq(f'sum({WK} * ln(1 + a.re * a.re + a.im * a.im))', 1e3)} AS value, {sq(f'sum({WK} * 2 * (a.re * b.re + a.im * b.im) / (1 + a.re * a.re + a.im * a.im))', 1e6)} AS tangent
+    FROM spec a JOIN spec b USING (species, kx, ky, kz) WHERE a.rank = 0 AND b.rank = 1 GROUP BY species""")
+def spectral_forward(spark, sf_dir):
+    """How a sum over the spectrum of one rank changes as that rank's density moves along the other rank's."""
+    m = model(spark, sf_dir)
+    fn = lambda i, v: (None, {"s": Complex(graph.log1p(v["a"].re * v["a"].re + v["a"].im * v["a"].im), Node.of(0))})
+    grid = _by_rank(m, ("a", "d"), settled(plan.atom_coefficients(m), "c6"))
+    _, sums = adjoint.spectral_jvp(fn, grid, GRID, ["a"], {"a": "d"}, keys=("species",), is_hermitian=True, aux_keys=("species",))
+    return sums.select("species", q(F.col("s_re"), 1e3).alias("value"), q(F.col("s_tangent_re"), 1e6).alias("tangent"))
+
+
+@query(f"{BASE}, {RHO}, {freqs(False)}, {_DENSE}, {_FILTERED} SELECT species, rank::INTEGER AS rank, ix, iy, iz, {sq('1024 * v', 1e3)} AS v FROM filtered")
+def spectral_gradient(spark, sf_dir):
+    """The gradient of the filtered power by every cell of the density, swept backwards."""
+    fn = lambda i, v: (None, {"s": Complex((v["c"].re * v["c"].re + v["c"].im * v["c"].im) * _gauss(i), Node.of(0))})
+    back = spectral_vjp(fn, _grid(model(spark, sf_dir)), GRID, ["c"], aux_cotangents={"s": 1.0}, keys=KEYS, is_hermitian=True)
+    return back.select("species", "rank", "ix", "iy", "iz", q(F.col("c_re"), 1e3).alias("v"))
+
+
+@query(f"""{BASE}, {RHO}, hit AS (SELECT atom_id, rank, species, ix, iy, iz, wx * wy * wz AS w, c6, rho FROM c6 JOIN wx USING (atom_id) JOIN wy USING (atom_id) JOIN wz USING (atom_id) JOIN rho USING (species, rank, ix, iy, iz))
+    SELECT 'cell' AS kind, rank::INTEGER AS rank, (species * 512 + ix * 64 + iy * 8 + iz)::BIGINT AS id, {sq('sum(w * tanh(c6))', 1e6)} AS v FROM hit GROUP BY rank, species, ix, iy, iz
+    UNION ALL SELECT 'atom', rank::INTEGER, atom_id, {sq('sum(w * rho * (1 - pow(tanh(c6), 2)))', 1e6)} FROM hit GROUP BY rank, atom_id""")
+def scatter_backward(spark, sf_dir):
+    """For the kernel ``weight * tanh(c6) * grid``, summed per point: the cotangents of its grid and of its coefficients, from one stencil."""
+    m = model(spark, sf_dir)
+    c6 = settled(plan.atom_coefficients(m), "c6")
+    field = plan.density(m, c6).withColumnRenamed("rho", "value")
+    kernel = lambda s, inputs, grids: (None, {"v": graph.tanh(inputs["c6"]) * grids["f"] * s.pick(("wx", "wy", "wz"))})
+    points = plan.weighted_points(m, c6).withColumn("one", F.lit(1.0))
+    by_cell, by_atom = scatter_vjp(points, _SP.offsets, kernel, ["c6"], GRID, cotangents={"v": "one"}, grids={"f": (field, KEYS)}, grid_keys=KEYS, point_key=("atom_id",))
+    cells = by_cell.select(F.lit("cell").alias("kind"), "rank", (F.col("species") * 512 + F.col("ix") * 64 + F.col("iy") * 8 + F.col("iz")).cast("bigint").alias("id"), q(F.col("f"), 1e6).alias("v"))
+    return cells.unionByName(by_atom.select(F.lit("atom").alias("kind"), "rank", F.col("atom_id").alias("id"), q(F.col("c6"), 1e6).alias("v")))
+
+
+@query(f"""{BASE}, {RHO} SELECT 'cell' AS kind, rank::INTEGER AS rank, (species * 512 + ix * 64 + iy * 8 + iz)::BIGINT AS id, {sq('sum(wx * wy * wz * c6)', 1e6)} AS v FROM c6 JOIN wx USING (atom_id) JOIN wy USING (atom_id) JOIN wz USING (atom_id) GROUP BY rank, species, ix, iy, iz
+    UNION ALL SELECT 'atom', rank::INTEGER, atom_id, {sq('v', 1e6)} FROM ({GATHER})""")
+def scatter_and_gather(spark, sf_dir):
+    """Spreads coefficients and gathers the density by one kernel: one stencil, one join, one shuffle."""
+    m = model(spark, sf_dir)
+    c6 = settled(plan.atom_coefficients(m), "c6")
+    field = plan.density(m, c6).withColumnRenamed("rho", "value")
+
+    def kernel(s):
+        w = s.pick(("wx", "wy", "wz"))
+        return {"v": w * F.col("c6")}, {"v": w * s.grid["f"]}
+
+    spread, felt = scatter_over_support(plan.weighted_points(m, c6), _SP.offsets, kernel, GRID, batch=KEYS, grids={"f": (field, KEYS)}, point_key=("atom_id",))
+    cells = spread.select(F.lit("cell").alias("kind"), "rank", (F.col("species") * 512 + F.col("ix") * 64 + F.col("iy") * 8 + F.col("iz")).cast("bigint").alias("id"), q(F.col("v"), 1e6).alias("v"))
+    return cells.unionByName(felt.select(F.lit("atom").alias("kind"), "rank", F.col("atom_id").alias("id"), q(F.col("v"), 1e6).alias("v")))
+
+
 # -- kernel, energy and gradients ---------------------------------------------
 
 
