@@ -33,7 +33,7 @@ WINDOW, SHINGLE = 20, 8
 FRAGMENT_ROWS = 1_000_000
 #: Characters of a text for which there is an anchor, about.
 CHARS_PER_ANCHOR = 40
-#: Runs that an index lets gather before it merges them into one.
+#: Runs that an index lets gather before it merges them into one for the next batch to meet.
 MAX_RUNS = 2
 #: Where a table is cut into the batches that its index is fed: a large first one, and smaller ones that meet it.
 CUTS = (0.8, 0.9)
@@ -306,15 +306,17 @@ class FingerprintIndex:
     verify from the corpus that it is given.
     """
 
-    MANIFEST = "version bigint, size int, fragments int, runs array<struct<anchors:string,windows:string,fragments:int,rows:bigint>>"
+    MANIFEST = "version bigint, size int, fragments int, runs array<struct<anchors:string,windows:string,fragments:int,rows:bigint>>, numbers array<string>, next bigint"
+    NUMBERS = "n_doc bigint, h bigint, row bigint"
 
     def __init__(self, spark: SparkSession, path: str | None = None, size: int = WINDOW, fragments: int | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-        self.version, self.size, self.runs = 0, size, []
+        self.version, self.size, self.runs, self.numbers, self.next = 0, size, [], [], 0
         self.fragments = fragments or fragments_for(1, FRAGMENT_ROWS, max(512, 2 * self._parts()))
         last = spark.read.schema(self.MANIFEST).json(f"{self.path}/manifest/*").orderBy(F.desc("version")).limit(1).collect() if path and self._exists() else []
         for row in last:
             self.version, self.size, self.fragments, self.runs = row.version, row["size"], row.fragments, [tuple(r) for r in row.runs]
+            self.numbers, self.next = list(row.numbers or ()), row.next or 0
 
     def _parts(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -326,7 +328,7 @@ class FingerprintIndex:
 
     def _name(self, runs: list[tuple]) -> None:
         """A new version of the manifest."""
-        self.spark.createDataFrame([(self.version + 1, self.size, self.fragments, runs)], self.MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/{self.version + 1:09d}")
+        self.spark.createDataFrame([(self.version + 1, self.size, self.fragments, runs, self.numbers, self.next)], self.MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/{self.version + 1:09d}")
         self.version, self.runs = self.version + 1, runs
 
     def _merged(self, rows: DataFrame) -> DataFrame:
@@ -359,8 +361,23 @@ class FingerprintIndex:
     def _add(self, anchors: str, windows: str) -> None:
         rows = self.spark.read.schema(PACKED).parquet(anchors).agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
         self._name([*self.runs, (anchors, windows, self.fragments, rows)])
-        if len(self.runs) > MAX_RUNS:
-            self.compact()
+
+    def number(self, docs: DataFrame) -> tuple[DataFrame, str]:
+        """``(doc, text, row)``: a number of its own, above all that the index has given, for every pair of an id and a text, in the order of ids.
+
+        Returned with the table of numbers, which ``dedup`` has to be told.
+        """
+        known = docs.where("doc IS NOT NULL").select(F.col("doc").alias("n_doc"), F.xxhash64("text").alias("h")).distinct().orderBy("n_doc", "h")
+        path = self._write(known.withColumn("row", F.lit(self.next) + F.monotonically_increasing_id()), "numbers")
+        return self._with_rows(docs, [path], "left"), path
+
+    def _with_rows(self, docs: DataFrame, paths: list[str], how: str) -> DataFrame:
+        rows = self.spark.read.schema(self.NUMBERS).parquet(*paths) if paths else self.spark.createDataFrame([], self.NUMBERS)
+        return docs.join(rows, (F.col("doc") == F.col("n_doc")) & (F.xxhash64("text") == F.col("h")), how).select("doc", "text", "row")
+
+    def numbered(self, history: DataFrame) -> DataFrame:
+        """``(doc, text)`` of the documents of ``history`` that the index has taken in, by their numbers."""
+        return self._with_rows(history, self.numbers, "inner").select(F.col("row").alias("doc"), "text")
 
     def compact(self) -> None:
         """Merges the runs into one, in more fragments if they have grown.  The old ones go once the manifest no longer names them."""
@@ -375,15 +392,24 @@ class FingerprintIndex:
     def _by_fragment(self, rows: DataFrame, *then) -> DataFrame:
         return rows.repartition(min(self.fragments, self._parts()), "fragment").sortWithinPartitions("fragment", *then)
 
-    def dedup(self, new: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    def dedup(self, new: DataFrame, history: DataFrame | None = None, numbers: str | None = None, forget: bool = False) -> DataFrame:
         """Judges the windows of ``new(doc, text)`` by the index and by ``new`` itself, and appends it.
 
+        Without ``numbers`` the ids are numbers that the index has not given
+        out, one for each document; they are written down unless the index is
+        to ``forget`` which documents they are.
+
+        Runs are compacted before, if there are many, and the batch meets the one they became.
         ``history(doc, text)`` has the documents taken in before, and may have
         others.  A window repeats what starts in them, or earlier in ``new``: at
         a smaller id, or before it in the same document.  Returns ``(doc, start,
         number, digest)``: ``number`` windows from ``start`` on, with the digest
         of the words there if they still have to be compared with it.
         """
+        if len(self.runs) >= MAX_RUNS:
+            self.compact()
+        if not numbers and not forget:
+            numbers = self._write(new.select(F.col("doc").alias("n_doc"), F.xxhash64("text").alias("h"), F.col("doc").alias("row")), "numbers")
         anchors = self._write(self._merged(new.mapInArrow(_batch_runs(self.size, self.fragments), PACKED)), "anchors")
         rows = self._read(anchors, self.fragments).withColumn("old", F.lit(False)).union(self.anchors().withColumn("old", F.lit(True)))
         pairs = self._by_fragment(rows, "old", F.size("tokens") == 0).mapInArrow(_met, "token bigint, doc bigint")
@@ -395,6 +421,10 @@ class FingerprintIndex:
                 raise ValueError("the texts of documents that are in the index are needed to verify windows")
             seen = history.select("doc", "text", F.lit(False).alias("fresh"))
         found, windows = self._judge(texts, seen, wanted)
+        if numbers:
+            self.numbers = [*self.numbers, numbers]
+            given = self.spark.read.schema(self.NUMBERS).parquet(numbers).agg(F.max("row").alias("n")).first()["n"]
+            self.next = self.next if given is None else max(self.next, given + 1)
         self._add(anchors, windows)
         return found
 
@@ -480,8 +510,8 @@ def substring_dedup(
     are judged on the texts as given.  The documents go into an index of their
     own in batches, which are ranges of ids between the quantiles ``batch_cuts``.  If an ``index`` is given, its documents,
     whose texts ``history`` has under the same column names, are earlier than
-    all of ``docs``, which goes in as one batch; ids must differ from those of
-    the history.
+    all of ``docs``, which goes in as one batch.  Documents of an index are
+    known by id and text, so an id may come again.
 
     Returns one row per input row: ``id_col``, ``n_words``, ``n_removed``,
     ``kept_sha256`` and, if ``with_text``, ``kept_text``.
@@ -499,7 +529,11 @@ def substring_dedup(
     kind = base.schema["doc"].dataType
     base = base.withColumn("doc", F.col("doc").cast("bigint"))
     session = base.sparkSession
-    base = base.withColumn("row", F.col("doc")) if index is not None else _numbered(base)
+    numbers = None
+    if index is not None:
+        base, numbers = index.number(base)
+    else:
+        base = _numbered(base)
     # Dealt out by row once; no later join moves a text again.
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
     name = f"texts_{uuid.uuid4().hex}"
@@ -507,7 +541,11 @@ def substring_dedup(
     base = session.table(name)
     known = base.where("row IS NOT NULL").select(F.col("row").alias("doc"), "text")
     if index is not None:
-        found = [index.dedup(known, text_of(history, id_col, text_col) if history is not None else None)]
+        past = None
+        if history is not None:
+            past = text_of(history, id_col, text_col)
+            past = index.numbered(past.withColumn("doc", F.col("doc").cast("bigint")))
+        found = [index.dedup(known, past, numbers)]
     else:
         chars = base.agg(F.sum("chars").alias("n")).first()["n"] or 0
         index = FingerprintIndex(session, size=size, fragments=fragments_for(chars // CHARS_PER_ANCHOR, FRAGMENT_ROWS, max(512, 2 * parts)))
@@ -517,7 +555,7 @@ def substring_dedup(
         for low, high in zip(edges, edges[1:]):
             part = known.where(F.col("doc") > low) if low is not None else known
             part = part.where(F.col("doc") <= high) if high is not None else part
-            found.append(index.dedup(part, known.where(F.col("doc") <= low) if low is not None else None))
+            found.append(index.dedup(part, known.where(F.col("doc") <= low) if low is not None else None, forget=True))
     repeated = found[0]
     for more in found[1:]:
         repeated = repeated.union(more)

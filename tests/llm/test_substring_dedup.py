@@ -71,6 +71,24 @@ def test_history_is_earlier_whatever_its_ids(spark, documents):
     assert got[1][3] == " ".join(words[40:]) and got[2][1] == 30
 
 
+def test_ids_with_several_texts_and_ids_that_come_again(spark, documents, tmp_path):
+    """Batch by batch against one index: a document is its id and its text, whatever else has that id."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    a, b, six = words("a", 30), words("b", 25), "only six words are in here"
+    path = f"{tmp_path}/index"
+    first = [(1, a), (2, words("c", 40))]
+    substring_dedup(documents(first), FingerprintIndex(spark, path, fragments=8)).collect()
+    second = [(4, a), (5, a), (5, b), (5, six), (1, b + " tail"), (None, a)]
+    got = substring_dedup(documents(second), FingerprintIndex(spark, path), documents(first)).collect()
+    removed = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in got)
+    # Of b, the smaller id is earlier: (1, b + tail) keeps it, (5, b) loses it.
+    assert removed == [("1", 26, 0), ("4", 30, 30), ("5", 6, 0), ("5", 25, 25), ("5", 30, 30), ("None", 30, 0)]
+    third = [(9, b), (9, "new " + six + " " + words("c", 40)), (2, words("d", 22))]
+    got = substring_dedup(documents(third), FingerprintIndex(spark, path), documents(first + second)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(2, 22, 0), (9, 25, 25), (9, 47, 40)]
+    assert substring_dedup(documents([]), FingerprintIndex(spark, path), documents(first + second + third)).count() == 0
+
+
 def test_index_grows_into_more_fragments(spark, documents, monkeypatch):
     monkeypatch.setattr(module, "FRAGMENT_ROWS", 50)
     rows = corpus(5)
