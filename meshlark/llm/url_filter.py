@@ -2,9 +2,9 @@
 
 A list is a log of dated entries: a domain was added to a category, or removed.
 Per domain and category they become validity intervals, and an as-of join
-evaluates every capture against what was active when it was fetched.  Intervals
-are cut into spans of time, so that a capture meets only what its own span has,
-and a busy domain is dealt out over its spans.
+evaluates every capture against what was active when it was fetched.  Captures
+are dealt out by domain and span of time, and intervals go to those spans in
+which their domain was captured at all.
 """
 
 from __future__ import annotations
@@ -47,23 +47,25 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     one) and ``categories`` (sorted, comma-joined).
 
     URLs may be of any length.  A null or malformed URL has an empty host and is not blocked, nor is a
-    capture without a fetch time.  Rows repeated with one id are evaluated each
+    capture without a fetch time.  Times of captures and entries are read as
+    timestamps and may lie anywhere, as wrong clocks have them.  Rows repeated with one id are evaluated each
     (their categories meet if the rows are equal); ids may be null.  Empty
     captures give an empty result; other columns are ignored.
     """
-    pages = captures.select(F.col(id_col).alias("page"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(time_col).alias("fetched"))
+    pages = captures.select(F.col(id_col).alias("page"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(time_col).cast("timestamp").alias("fetched"))
+    entries = entries.withColumn("at", F.col("at").cast("timestamp"))
     # Captures of one host at one time share their answer, which shrinks a host with a third of all rows.
     asked = pages.where("host <> '' AND fetched IS NOT NULL").select("host", "fetched").distinct()
     # A row per parent domain, the host itself included; each is cut after the explode, so that no row holds all of a long host's.
     parents = asked.select("host", "fetched", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("labels"))
     parents = parents.select("host", "fetched", F.expr("substring_index(host, '.', -labels)").alias("domain"))
     span = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / SPAN)
-    ends = asked.agg(F.min("fetched").alias("first"), F.max("fetched").alias("last"))
-    # One row of ends keeps intervals within the time that captures cover.
-    listed = validity_intervals(entries).join(F.broadcast(ends)).where("valid_from <= last AND (valid_to IS NULL OR valid_to > first)")
-    listed = listed.withColumn("span", F.explode(F.sequence(span(F.greatest("valid_from", "first")), span(F.least(F.coalesce("valid_to", "last"), F.col("last"))))))
+    parents = parents.withColumn("span", span(F.col("fetched")))
+    # Intervals are kept for the spans in which their domain was captured, so that rows follow captures and entries, not the calendar.
+    within = (span(F.col("valid_from")) <= F.col("span")) & (F.col("valid_to").isNull() | (span(F.col("valid_to")) >= F.col("span")))
+    listed = parents.select("domain", "span").distinct().join(validity_intervals(entries), "domain").where(within)
     # The hot side is split by adaptive execution.
-    hits = parents.withColumn("span", span(F.col("fetched"))).join(listed.drop("first", "last"), ["domain", "span"]).where("valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)")
+    hits = parents.join(listed, ["domain", "span"]).where("valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)")
     answers = hits.groupBy("host", "fetched").agg(
         F.max(F.struct(F.length("domain").alias("length"), "domain")).alias("best"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")
     ).select(F.col("host").alias("a_host"), F.col("fetched").alias("a_fetched"), F.col("best.domain").alias("matched_domain"), "categories")

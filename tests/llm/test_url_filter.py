@@ -69,3 +69,14 @@ def test_hosts_of_any_number_of_labels(spark, entries):
     host = lambda h: h.removesuffix(".")
     assert got == {n: (host(h), *brute(host(h), day(6))) for n, h in enumerate(hosts)}
     assert sum(m == "bad.org" for _, m, _ in got.values()) == 7
+
+
+def test_wrong_clocks_cost_nothing(spark):
+    """Captures of 1970 and 9990 among thousands of open listings: intervals go to captured spans alone."""
+    log = spark.range(2000).selectExpr("concat('d', id, '.org') AS domain", "'spam' AS category", "timestamp '2024-01-01' AS at", "'add' AS action")
+    rows = [(1, "http://d7.org/", "1970-01-01"), (2, "http://www.d7.org/", "2024-02-01"), (3, "http://d8.org/", "9990-01-01"), (4, "http://e.org/", "2024-02-01")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, fetched_at string")
+    out = url_filter(df, log)
+    assert {r.page_id: r.matched_domain for r in out.collect()} == {1: None, 2: "d7.org", 3: "d8.org", 4: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == plan.count("Generate explode(sequence(1, size(split(host")
