@@ -8,6 +8,7 @@ equal lengths share a bucket, from which batches are drawn.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -66,9 +67,19 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.cut = tokenizer_path.endswith("word_bpe_49k.json")
+        self.cut = self._words_apart()
         self.segments, self.pieces = Memo(self.segment), Memo(self.whole)
 
+    #: Settings (fixed values of its file) under which blanks part words and PIECES are the words of lower-cased ASCII.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+    def _words_apart(self) -> bool:
+        """Whether the tokenizer, by its own settings, reads a text as its blank-separated segments one by one."""
+        normalizer, words = (json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        steps = words.get("pretokenizers", [])
+        return normalizer.get("normalizers") == self.NORMALIZERS and steps[:1] == [self.SPLIT] and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in steps[1:])
+
     @classmethod
     def of_worker(cls, tokenizer_path: str | None) -> SegmentEncoder:
         """The encoder that this Python process keeps from task to task."""
@@ -144,8 +155,9 @@ def pack(
     ``partitionBy("bucket")`` to get one folder per length.
 
     No shuffle: pieces are numbered by partition and row.  A null or empty text
-    is its end id alone.  Rows repeated with one id are packed each; ids may be
-    null.  An empty table gives an empty result; other columns are ignored.
+    is its end id alone; texts may be of any length.  Rows repeated with one id
+    are packed each; ids are integers, or null.  An empty table gives an empty
+    result; other columns are ignored.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")

@@ -61,3 +61,15 @@ def test_empty_table_and_bad_length(documents):
     assert pack(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pack(df, longest=1000)
+
+
+def test_shortcuts_follow_the_tokenizers_settings_not_its_name(tmp_path):
+    """A copy under another name is cut the same way; another tokenizer under the usual name isn't."""
+    import shutil
+
+    copy, other = f"{tmp_path}/own.json", f"{tmp_path}/word_bpe_49k.json"
+    shutil.copy(public_tokenizers.path("word_bpe_49k.json"), copy)
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), other)
+    assert SegmentEncoder(copy).cut and not SegmentEncoder(other).cut
+    text = "Two  words, and\nmore"
+    assert np.frombuffer(SegmentEncoder(other).encode(text), "<u4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
