@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import materialize
 
 DIMS = 8192
 #: Centroids are fitted on about this many texts per language, chosen by a hash of the id; document frequencies on all.
 SAMPLE_PER_LANGUAGE = 1000
-#: Languages that can be learned: those with the most training texts.
-LANGUAGES = 200
+#: Languages whose centroids, about 100 kB each, are compared at a time; more are compared in further passes.
+BLOCK = 200
+#: Labels that may be broadcast to draw the samples; a larger table of them is joined by a shuffle.
+LABELS = 100_000
 CENTROIDS = 3
 #: A cluster with a smaller share of a language's sample starts anew elsewhere.
 LEAST_CLUSTER = 0.05
@@ -64,7 +66,7 @@ def length_class(counts: np.ndarray) -> np.ndarray:
 class Model:
     """``labels[i]`` is the language of ``centroids[i]``, and ``least[i]`` the cosine that a text needs, by length class.
 
-    About 100 kB a language, of which there are LANGUAGES at most, whatever the corpus.
+    About 100 kB a language; texts are compared with BLOCK of them at a time.
     """
 
     idf: np.ndarray
@@ -76,6 +78,12 @@ class Model:
         tfidf = np.log1p(counts) * self.idf
         return tfidf / np.maximum(np.linalg.norm(tfidf, axis=-1, keepdims=True), 1e-12)
 
+    def blocks(self, languages: int) -> list[Model]:
+        """Models of so many languages each."""
+        number = np.unique(self.labels, return_inverse=True)[1]
+        parts = [np.flatnonzero((number >= first) & (number < first + languages)) for first in range(0, number.max() + 1, languages)]
+        return [Model(self.idf, self.centroids[p], [self.labels[i] for i in p], self.least[p]) for p in parts]
+
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Unit centroids of unit rows.
@@ -145,7 +153,7 @@ def _fit_language(idf: np.ndarray, k: int):
             counts = np.stack([trigram_counts(p) for p in _pieces(t)])
             for n, c in zip(length_class(counts), (model.vectors(counts) @ centroids.T).max(axis=1)):
                 reached[n].append(float(c))
-        low = [REJECT_FACTOR * float(np.quantile(r, REJECT_QUANTILE)) if len(r) >= 20 else 0.0 for r in reached]
+        low = [REJECT_FACTOR * float(np.quantile(r, REJECT_QUANTILE)) if r else 0.0 for r in reached]
         # More trigrams can only make a text surer: a class asks for no less than those before it.
         low = np.maximum.accumulate(low)
         return pd.DataFrame({"lang": [sample["lang"].iloc[0]] * len(centroids), "centroid": list(centroids.astype("f4")), "least": [low] * len(centroids)})
@@ -155,51 +163,56 @@ def _fit_language(idf: np.ndarray, k: int):
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS,
-    languages: int = LANGUAGES,
+    languages: int | None = None,
 ) -> Model | None:
     """Fit on rows with an id, a language and a text with letters that aren't held out; None without any.
 
-    Every language is fitted on its own sample in a task of its own.  Of more
-    than ``languages`` labels those with the most rows are learned.
+    Every language is learned, on its own sample in a task of its own; with
+    ``languages`` only so many, those with the most rows.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = rows.where(F.col("doc").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc")))
-    most = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    sizes = {r.lang: r["n"] for r in most.collect()}
-    if not sizes:
+    sizes = materialize(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "s_lang"), "languages")
+    if languages is not None:
+        sizes = sizes.orderBy(F.desc("n"), "s_lang").limit(languages)
+    labels = sizes.count()
+    if not labels:
         return None
     found = train.select("text").mapInArrow(_document_frequency, "dim bigint, df bigint").groupBy("dim").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(DIMS + 1)
     df[found["dim"].to_numpy() + 1] = found["df"].to_numpy()
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype("f4")
     # A share per language, by a hash of the id: the same rows whatever the partitions.
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, per_language / n).otherwise(share)
-    part = train.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
-    fitted = part.groupBy("lang").applyInPandas(_fit_language(idf, k), "lang string, centroid array<float>, least array<double>").toPandas()
-    if not len(fitted):
-        return None
-    fitted = fitted.sort_values("lang", kind="stable")
-    return Model(idf, np.stack(fitted["centroid"]).astype("f4"), list(fitted["lang"]), np.stack(fitted["least"]))
+    few = F.broadcast(sizes) if labels <= LABELS else sizes
+    drawn = F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < F.lit(float(per_language)) / F.col("n") * 1_000_000
+    part = train.join(few, F.col("lang") == F.col("s_lang")).where(drawn).select("text", "lang")
+    fitted = part.groupBy("lang").applyInPandas(_fit_language(idf, k), "lang string, centroid array<float>, least array<double>")
+    fitted = fitted.toPandas().sort_values("lang", kind="stable")  # a few centroids a language
+    return Model(idf, np.stack(fitted["centroid"]).astype("f4"), list(fitted["lang"]), np.stack(fitted["least"])) if len(fitted) else None
+
+
+RESULT = ("lang_pred", "score", "rejected")
+FOUND = (T.StructField("lang_pred", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("least", T.DoubleType()))
+
 
+def _nearest(model: Model, text_at: int):
+    """Compares texts with one block of languages; a nearer centroid than those of the blocks before takes their place."""
 
-def _predict(model: Model | None, reject_below: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = part.column(1).to_pylist()
-                pred, score, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-                lettered = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+                texts = part.column(text_at).to_pylist()
+                pred, cosine, least = (part.column(text_at + i).to_pylist() for i in (1, 2, 3))
+                lettered = [i for i, t in enumerate(texts) if has_letter(t)]
                 if lettered:
                     counts = np.stack([trigram_counts(texts[i]) for i in lettered])
                     near = model.vectors(counts) @ model.centroids.T
                     best = near.argmax(axis=1)
-                    least = model.least[best, length_class(counts)] if reject_below is None else np.full(len(best), reject_below)
-                    for i, b, s, low in zip(lettered, best, near.max(axis=1), least):
-                        pred[i], score[i], rejected[i] = model.labels[b], min(1.0, max(0.0, float(s))), s < low
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score), pa.array(rejected)], [*part.schema.names, "lang_pred", "score", "rejected"])
+                    for i, b, s, low in zip(lettered, best, near.max(axis=1), model.least[best, length_class(counts)]):
+                        if cosine[i] is None or s > cosine[i]:
+                            pred[i], cosine[i], least[i] = model.labels[b], float(s), float(low)
+                yield pa.RecordBatch.from_arrays([*part.columns[: text_at + 1], pa.array(pred, pa.string()), pa.array(cosine, pa.float64()), pa.array(least, pa.float64())], part.schema.names)
 
     return run
 
@@ -211,14 +224,18 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", reject
     so is every text if nothing could be learned.  Another is rejected if its
     cosine is below what the model asks of its language and length, or below
     ``reject_below`` if that is given, and keeps its nearest language.  Texts
-    are read whole, in pieces, whatever their length.  Every row stands for
-    itself, repeated or not; ids may be null; an empty table stays empty.
+    are read whole, in pieces, whatever their length, once for each block of
+    languages.  Every row stands for itself, repeated or not; ids may be null;
+    an empty table stays empty.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([*packed.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    out = packed.mapInArrow(_predict(model, reject_below), schema)
-    return out.select("row.*", "lang_pred", "score", "rejected")
+    rest = [c for c in docs.columns if c not in RESULT]
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).cast("string").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in FOUND))
+    schema = T.StructType([*found.schema.fields[:2], *FOUND])
+    for part in model.blocks(BLOCK) if model else ():
+        found = found.mapInArrow(_nearest(part, 1), schema)
+    low = F.col("least") if reject_below is None else F.lit(float(reject_below))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))))
+    return found.select("row.*", F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), score.alias("score"), F.coalesce(F.col("cosine") < low, F.lit(True)).alias("rejected"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:

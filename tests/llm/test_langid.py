@@ -66,6 +66,39 @@ def test_many_labels(spark):
     assert set(model.labels) == set(SYLLABLES)
 
 
+def test_no_label_is_left_out_and_blocks_change_nothing(spark, monkeypatch):
+    """230 labels, most with a few texts: all are learned, and comparing them in blocks gives the same answers."""
+    import meshlark.llm.langid as module
+
+    rng = random.Random(12)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{n:03d}": ["".join(rng.choice(alphabet) for _ in range(3)) for _ in range(6)] for n in range(230)}
+    rows = [(i, " ".join(rng.choice(own[lang]) for _ in range(40)), lang, lang) for i, lang in enumerate(sorted(own) * 4)]
+    model = fit(frame(spark, rows))
+    trained = {lang for i, _, lang, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(model.labels) == trained and len(trained) > 220
+    answers = []
+    for block in (1000, 64):
+        monkeypatch.setattr(module, "BLOCK", block)
+        got = {r.doc_id: r for r in predict(frame(spark, rows), model).collect()}
+        answers.append({i: (r.lang_pred, round(r.score, 5), r.rejected) for i, r in got.items()})
+    assert answers[0] == answers[1]
+    assert np.mean([answers[0][i][0] == lang for i, _, lang, _ in rows if lang in trained]) > 0.97
+    noise = frame(spark, [(1, "ЖЖЖЖЖЖ ЪЪЪЪЪЪ ЖЪЖЪЖЪ ЩЩЩЩЩ" * 5, None)])
+    assert predict(noise, model).first().rejected  # few texts a language are enough to reject by
+
+
+def test_document_frequencies_by_hand(spark):
+    rows = corpus(80)
+    model = fit(frame(spark, rows))
+    train = [t for i, t, lang, _ in rows if lang and zlib.crc32(str(i).encode()) % 5]
+    df = np.zeros(8192)
+    for t in train:
+        raw = b" " + t.lower().encode() + b" "
+        df[list({(int.from_bytes(raw[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 19 for i in range(len(raw) - 2)})] += 1
+    assert np.allclose(model.idf, np.log((1 + len(train)) / (1 + df)) + 1, atol=1e-6)
+
+
 def test_nearest_centroid_by_definition(spark):
     """Predictions from the model's own numbers, one by one."""
     rows = corpus(120)
