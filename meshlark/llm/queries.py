@@ -190,13 +190,14 @@ ORACLE_SQL: dict[str, str] = {
         extra AS (SELECT *, s + n AS e FROM placed a WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
                   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.s < a.s + a.n AND a.s < b.e)),
         cand AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
-        owners AS (SELECT v, count(DISTINCT source) AS owners FROM cand GROUP BY v),
-        kept AS (SELECT cand.*, owners FROM cand JOIN owners USING (v) WHERE k < 3 OR owners <= 1),
+        owners AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS repos FROM cand GROUP BY v),
+        kept AS (SELECT cand.*, owners, repos FROM cand JOIN owners USING (v) WHERE k < 3 OR owners <= 1),
         g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS h,
                      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
-                     count(*) FILTER (owners <= 1) AS live, count(*) FILTER (owners >= 3) AS ex FROM kept GROUP BY doc_id)
+                     count(*) FILTER (owners <= 1) AS live, count(*) FILTER (owners >= 3 AND repos >= 3) AS ex, max(owners) AS mo, max(repos) AS mr FROM kept GROUP BY doc_id)
         SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
-               coalesce(spans, '') AS spans, coalesce(live, 0) AS n_live, coalesce(ex, 0) AS n_example
+               coalesce(spans, '') AS spans, coalesce(live, 0) AS n_live, coalesce(ex, 0) AS n_example,
+               coalesce(mo, 0) AS most_owners, coalesce(mr, 0) AS most_repositories
         FROM d LEFT JOIN g USING (doc_id)""",
     "op10_url_filter": f"""
         WITH h AS (SELECT page_id, {EPOCH} + page_id * 7919 % {366 * DAY} AS fetched,

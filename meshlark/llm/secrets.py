@@ -83,34 +83,39 @@ def secret_scan(
 
     A document is a repository of its own unless ``repo_col`` names one.  A
     secret with at most ``max_owners`` owners is live-looking, one with
-    ``example_owners`` or more is an example.  Returns one row per input row:
-    ``id_col``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``,
-    ``spans`` (base spans, and owned ones that the count adds), ``found``
-    (array of kind, start, stop, sha256, owners, repositories), ``n_live`` and
-    ``n_example``.
-
-    Null text is empty; a null owner is no owner, so a secret with none counts
-    as live-looking.  Rows repeated with one id are scanned each, and count as
-    one repository.  An empty table gives an empty result; other columns are
-    ignored.
+    ``example_owners`` or more, in as many repositories, is an example: a
+    repository that names several owners is one copy.  Returns one row per
+    input row: ``id_col``, ``n_assign``, ``n_access``, ``n_hex``,
+    ``base_sha256``, ``spans`` (base spans, and owned ones that the count adds),
+    ``found`` (array of kind, start, stop, sha256, owners, repositories),
+    ``n_live``, ``n_example``, and ``most_owners`` and ``most_repositories``
+    that any of its secrets has.
+
+    Null text is empty; texts may be of any length; a null owner is no owner, so
+    a secret with none counts as live-looking.  Rows repeated with one id are
+    scanned each, and count as one repository, as do all rows without an id.  An
+    empty table gives an empty result; other columns are ignored.
     """
     repo = F.col(repo_col or id_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(owner_col).cast("string").alias("owner"), repo.alias("repo"))
-    scanned = rows.select("doc", "owner", "repo", candidate_spans(F.col("text")).alias("s"))
+    # A row is known by its id and a hash of its text, so that rows without an id don't gather anywhere.
+    scanned = rows.select("doc", F.xxhash64("text").alias("h"), "owner", "repo", candidate_spans(F.col("text")).alias("s"))
     base = F.array_sort("s.base")
     outside = F.filter("s.opaque", lambda o: ~F.exists("s.base", lambda b: (b["start"] < o["stop"]) & (o["start"] < b["stop"])))
     hashed = lambda a: F.transform(a, lambda s: F.struct(s["start"], s["kind"], s["stop"], F.sha2(s["value"], 256).alias("secret")))
     # One row per document without its text: the corpus is scanned once.
-    found = materialize(scanned.select("doc", "owner", "repo", hashed(base).alias("base"), hashed(outside).alias("opaque")), "secret-candidates")
+    found = materialize(scanned.select("doc", "h", "owner", "repo", hashed(base).alias("base"), hashed(outside).alias("opaque")), "secret-candidates")
 
-    uses = found.select("doc", "owner", "repo", F.explode(F.concat("base", "opaque")).alias("s")).select("doc", "owner", "repo", "s.secret").distinct()
-    freq = uses.groupBy("secret").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
+    uses = found.select("doc", "h", "owner", "repo", F.explode(F.concat("base", "opaque")).alias("s")).select("doc", "h", "owner", "repo", "s.secret").distinct()
+    freq = uses.groupBy("secret").agg(F.count_distinct("owner").alias("owners"), F.count_distinct(F.coalesce("repo", F.lit(""))).alias("repos"))
     # A document's secrets with their counts; the hot side of the join is split by adaptive execution.
-    counts = uses.select("doc", "secret").distinct().join(freq, "secret").groupBy("doc").agg(
+    counts = uses.select("doc", "h", "secret").distinct().join(freq, "secret").groupBy("doc", "h").agg(
         F.map_from_entries(F.collect_list(F.struct("secret", F.struct("owners", "repos")))).alias("counts")
-    ).withColumnRenamed("doc", "c_doc")
-    joined = found.join(counts, F.col("doc").eqNullSafe(F.col("c_doc")), "left")
+    ).withColumnsRenamed({"doc": "c_doc", "h": "c_h"})
+    joined = found.join(counts, F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("h") == F.col("c_h")), "left")
     owners = lambda s: F.element_at("counts", s["secret"])["owners"]
+    repos = lambda s: F.element_at("counts", s["secret"])["repos"]
+    most = lambda of: F.coalesce(F.array_max(F.transform("all", of)), F.lit(0)).cast("bigint")
     owned = F.filter("opaque", lambda s: owners(s) <= max_owners)
     spans = joined.select("doc", "base", "counts", F.array_sort(F.concat("base", owned)).alias("all"))
     kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
@@ -120,7 +125,8 @@ def secret_scan(
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"),
         F.transform("all", lambda s: F.struct(
             F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["secret"].alias("sha256"),
-            owners(s).alias("owners"), F.element_at("counts", s["secret"])["repos"].alias("repositories"))).alias("found"),
+            owners(s).alias("owners"), repos(s).alias("repositories"))).alias("found"),
         F.size(F.filter("all", lambda s: owners(s) <= max_owners)).cast("bigint").alias("n_live"),
-        F.size(F.filter("all", lambda s: owners(s) >= example_owners)).cast("bigint").alias("n_example"),
+        F.size(F.filter("all", lambda s: (owners(s) >= example_owners) & (repos(s) >= example_owners))).cast("bigint").alias("n_example"),
+        most(owners).alias("most_owners"), most(repos).alias("most_repositories"),
     )

@@ -63,3 +63,13 @@ def test_running_sums_of_any_length(spark):
     for n in (0, 1, 255, 256, 257, 700):
         row = spark.range(1).select(secrets.running_sums(F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda x: x.cast("bigint")) if n else F.array().cast("array<bigint>")).alias("s")).first()
         assert row.s == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
+def test_repositories_decide_too(spark):
+    """Three owners in one repository are one copy; in three repositories they are an example."""
+    rows = [(1, "token = abcdefgh1", f"o{k}", "one") for k in range(3)] + [(k, "token = abcdefgh2", f"o{k}", f"r{k}") for k in range(2, 5)] + [(None, "token = abcdefgh3 " + "x" * n, None, None) for n in range(4)]
+    got = secret_scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string"), repo_col="repo").collect()
+    assert sorted((r.n_example, r.most_owners, r.most_repositories) for r in got) == [(0, 0, 1)] * 4 + [(0, 3, 1)] * 3 + [(1, 3, 3)] * 3
+    long = "über " * 400_000 + "password = longlonglong1 " + "x y " * 100_000
+    (r,) = secret_scan(spark.createDataFrame([(1, long, "s")], "doc_id bigint, text string, source string")).collect()
+    assert r.spans == f"assign:2000000:{2000000 + len('password = longlonglong1')}"
