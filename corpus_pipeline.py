@@ -48,9 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not ids.where("n > 1 OR doc_id IS NULL").limit(1).count():
         gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
         return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    node = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-    rows = docs.groupBy(node.alias("node")).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("node", "row.*")
-    rows = materialize(rows, "distinct-rows")
+    rows = docs.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    rows = rows.select("doc_id", "text", "row.*", F.monotonically_increasing_id().alias("node"))
+    rows = materialize(rows, "distinct-rows")  # which fixes the numbers
     linked = jaccard_components(rows, "node").select(F.col("node").alias("l_node"), "component_id")
     named = rows.select("node", "doc_id").join(linked, F.col("node") == F.col("l_node"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"]
