@@ -120,3 +120,178 @@ def sort_by(keys: Column, *values: Column) -> list[Column]:
     order = F.array_sort(rows)
     pick = lambda f: F.transform(order, lambda r: F.get(f, r["at"]))
     return [pick(f) for f in fields]
+
+
+# -- arrays of any number of axes, kept flat in row-major order -------------------
+
+Shape = Sequence[int]
+
+
+def strides(shape: Shape) -> list[int]:
+    """How far apart neighbours along each axis are."""
+    out = [1] * len(shape)
+    for i in reversed(range(len(shape) - 1)):
+        out[i] = out[i + 1] * shape[i + 1]
+    return out
+
+
+def places(shape: Shape, axes: Sequence[int], steps: Sequence[int] | None = None) -> list[int]:
+    """Where the elements along ``axes`` lie, in row-major order of these axes; ``steps`` are the strides if they aren't the array's own."""
+    own, out = steps or strides(shape), [0]
+    for a in axes:
+        out = [base + i * own[a] for base in out for i in range(shape[a])]
+    return out
+
+
+def _numbers(values: Sequence[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<int>")
+
+
+def _rest(shape: Shape, axes: Sequence[int]) -> list[int]:
+    if len(set(axes)) != len(axes) or not set(axes) <= set(range(len(shape))):
+        raise ValueError("axes are different numbers of axes")
+    return [a for a in range(len(shape)) if a not in axes]
+
+
+def permute(a: Column, shape: Shape, order: Sequence[int]) -> Column:
+    """The array with its axes in another order."""
+    return F.transform(_numbers(places(shape, order)), lambda i: at(a, i))
+
+
+def broadcast_in_dim(a: Column, shape: Shape, to: Shape, axes: Sequence[int]) -> Column:
+    """Spreads an array over a larger shape: its axis ``i`` becomes ``axes[i]``, of the same size unless it had size 1."""
+    own, steps = strides(shape), [0] * len(to)
+    for i, axis in enumerate(axes):
+        if shape[i] not in (1, to[axis]):
+            raise ValueError("an axis is spread only from size 1")
+        steps[axis] = own[i] if shape[i] > 1 else 0
+    return F.transform(_numbers(places(to, range(len(to)), steps)), lambda i: at(a, i))
+
+
+def dot_general(
+    a: Column, b: Column, a_shape: Shape, b_shape: Shape, contract: tuple[Sequence[int], Sequence[int]], batch: tuple[Sequence[int], Sequence[int]] = ((), ()),
+    zero: Column | None = None, times: Callable[[Column, Column], Column] = lambda x, y: x * y, plus: Callable[[Column, Column], Column] = lambda x, y: x + y,
+) -> Column:
+    """Products summed over pairs of contracted axes, for every batch: axes of the result are those of the batch, the rest of ``a``, the rest of ``b``.
+
+    Elements may be of any kind, such as structs of two parts, with ``zero``, ``times`` and ``plus`` of theirs.
+    """
+    for (x, y), shapes in ((contract, (a_shape, b_shape)), (batch, (a_shape, b_shape))):
+        if len(x) != len(y) or any(shapes[0][i] != shapes[1][j] for i, j in zip(x, y)):
+            raise ValueError("paired axes have one size")
+    outer = list(zip(places(a_shape, batch[0]), places(b_shape, batch[1])))
+    rows, columns = (places(s, _rest(s, [*batch[i], *contract[i]])) for i, s in enumerate((a_shape, b_shape)))
+    inner = F.arrays_zip(_numbers(places(a_shape, contract[0])).alias("x"), _numbers(places(b_shape, contract[1])).alias("y"))
+    starts = F.arrays_zip(_numbers([x + r for x, _ in outer for r in rows for _ in columns]).alias("x"), _numbers([y + c for _, y in outer for _ in rows for c in columns]).alias("y"))
+    start = F.lit(0.0) if zero is None else zero
+    return F.transform(starts, lambda o: F.aggregate(inner, start, lambda acc, k: plus(acc, times(F.get(a, o["x"] + k["x"]), F.get(b, o["y"] + k["y"])))))
+
+
+def _row(arrays: Sequence[Column], i: Column) -> Column:
+    return at(arrays[0], i) if len(arrays) == 1 else F.struct(*(at(a, i).alias(f"f{n}") for n, a in enumerate(arrays)))
+
+
+def fold_axes(arrays: Sequence[Column], shape: Shape, axes: Sequence[int], start: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Folds arrays of one shape over any axes, in row-major order; ``combine`` takes what is so far and an element, of several arrays a struct ``f0``, ``f1``, ..."""
+    inner = _numbers(places(shape, axes))
+    return F.transform(_numbers(places(shape, _rest(shape, axes))), lambda o: F.aggregate(inner, start, lambda acc, i: combine(acc, _row(arrays, o + i))))
+
+
+def window_shape(shape: Shape, size: Shape, stride: Shape, dilation: Shape, padding: Sequence[tuple[int, int]], base_dilation: Shape) -> list[int]:
+    """How many windows there are along each axis."""
+    out = []
+    for n, k, s, d, (low, high), b in zip(shape, size, stride, dilation, padding, base_dilation):
+        room = (n - 1) * b + 1 + low + high - ((k - 1) * d + 1) if n else -1
+        out.append(room // s + 1 if room >= 0 else 0)
+    return out
+
+
+def fold_windows(
+    arrays: Sequence[Column], shape: Shape, size: Shape, start: Column, combine: Callable[[Column, Column], Column], stride: Shape | None = None,
+    dilation: Shape | None = None, padding: Sequence[tuple[int, int]] | None = None, base_dilation: Shape | None = None,
+) -> Column:
+    """Folds windows over every axis, with steps and holes of its own; places outside, or between elements that ``base_dilation`` moves apart, are skipped."""
+    n = len(shape)
+    stride, dilation, base_dilation = (list(x or [1] * n) for x in (stride, dilation, base_dilation))
+    padding = list(padding or [(0, 0)] * n)
+    per_axis = []  # for each axis, for each window, the elements it meets
+    for a, windows in enumerate(window_shape(shape, size, stride, dilation, padding, base_dilation)):
+        met = [[w * stride[a] + i * dilation[a] - padding[a][0] for i in range(size[a])] for w in range(windows)]
+        per_axis.append([[p // base_dilation[a] for p in ps if p % base_dilation[a] == 0 and 0 <= p // base_dilation[a] < shape[a]] for ps in met])
+    sets, own = [[0]], strides(shape)
+    for a in range(n):
+        sets = [[base + i * own[a] for base in held for i in ps] for held in sets for ps in per_axis[a]]
+    if not sets:
+        return F.slice(F.array(start), 1, 0)
+    windows = F.array(*map(_numbers, sets))
+    return F.transform(windows, lambda w: F.aggregate(w, start, lambda acc, i: combine(acc, _row(arrays, i))))
+
+
+def _starts(indices: Column, index_shape: Shape, vector_axis: int, n: int) -> tuple[list[int], int]:
+    """Where each start's coordinates begin in ``indices``, and how far apart they are; without an axis for them each is a single number."""
+    shape = [*index_shape, 1] if vector_axis == len(index_shape) else list(index_shape)
+    if shape[vector_axis] != n:
+        raise ValueError("an index has a coordinate for each of the axes it maps to")
+    return places(shape, _rest(shape, [vector_axis])), strides(shape)[vector_axis]
+
+
+def gather_nd(
+    a: Column, shape: Shape, indices: Column, index_shape: Shape, slice_sizes: Shape, offset_dims: Sequence[int], collapsed: Sequence[int], start_map: Sequence[int], vector_axis: int,
+) -> Column:
+    """Slices of ``slice_sizes`` at starts that ``indices`` hold along ``vector_axis``, for the axes ``start_map``.
+
+    Starts are moved so that slices lie inside.  Axes of a slice other than the
+    ``collapsed`` ones, of size 1, become ``offset_dims`` of the result, those of
+    the indices the others.
+    """
+    if any(slice_sizes[c] != 1 for c in collapsed) or any(s > n for s, n in zip(slice_sizes, shape)):
+        raise ValueError("a slice lies in the array, with size 1 along collapsed axes")
+    begins, apart = _starts(indices, index_shape, vector_axis, len(start_map))
+    window = _rest(shape, collapsed)
+    own = strides(shape)
+    batch_shape = [n for i, n in enumerate(index_shape) if i != vector_axis]
+    inside = places([slice_sizes[w] for w in window], range(len(window)), [own[w] for w in window])
+    # In the order of indices, then of places in the slice; then axes go where the result has them.
+    base = lambda b: sum((F.least(F.greatest(F.get(indices, b + F.lit(k * apart)), F.lit(0)), F.lit(shape[d] - slice_sizes[d])) * own[d] for k, d in enumerate(start_map)), F.lit(0))
+    found = F.flatten(F.transform(_numbers(begins), lambda b: F.transform(_numbers(inside), lambda i: at(a, (base(b) + i).cast("int")))))
+    made = batch_shape + [slice_sizes[w] for w in window]
+    batch_axes = [d for d in range(len(made)) if d not in offset_dims]
+    order = [0] * len(made)
+    for source, axis in enumerate([*batch_axes, *offset_dims]):
+        order[axis] = source
+    return permute(found, made, order)
+
+
+def scatter_nd(
+    a: Column, shape: Shape, indices: Column, index_shape: Shape, updates: Column, update_shape: Shape, combine: Callable[[Column, Column], Column],
+    window_dims: Sequence[int], inserted: Sequence[int], index_map: Sequence[int], vector_axis: int,
+) -> Column:
+    """Combines windows of ``updates`` into the array at starts that ``indices`` hold, one update after another.
+
+    ``window_dims`` of the updates lie along the axes that aren't ``inserted``,
+    the others number the indices.  Updates that fall outside are dropped.
+    """
+    begins, apart = _starts(indices, index_shape, vector_axis, len(index_map))
+    batch = _rest(update_shape, window_dims)
+    along = _rest(shape, inserted)
+    own, coordinates = strides(shape), []
+    for axis in range(len(shape)):
+        step = [0] * len(update_shape)
+        if axis in along:
+            step[window_dims[along.index(axis)]] = 1
+        coordinates.append(places(update_shape, range(len(update_shape)), step))
+    numbered = [0] * len(update_shape)
+    for s, d in zip(strides([update_shape[d] for d in batch]), batch):
+        numbered[d] = s
+    which = places(update_shape, range(len(update_shape)), numbered)
+    rows = F.array(*[F.struct(F.lit(n).alias("u"), F.lit(begins[w]).alias("b"), *(F.lit(c[n]).alias(f"c{d}") for d, c in enumerate(coordinates))) for n, w in enumerate(which)])
+
+    def placed(r: Column) -> Column:
+        full = [r[f"c{d}"] + (F.get(indices, r["b"] + F.lit(index_map.index(d) * apart)) if d in index_map else F.lit(0)) for d in range(len(shape))]
+        inside = F.lit(True)
+        for x, n in zip(full, shape):
+            inside = inside & (x >= 0) & (x < n)
+        return F.when(inside, sum((x * s for x, s in zip(full, own)), F.lit(0)))
+
+    hits = F.transform(rows, lambda r: F.struct(placed(r).alias("at"), r["u"].alias("u")))
+    return F.transform(a, lambda x, i: F.aggregate(F.filter(hits, lambda h: h["at"] == i), x, lambda acc, h: combine(acc, F.get(updates, h["u"]))))

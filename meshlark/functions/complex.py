@@ -45,6 +45,9 @@ class Complex(NamedTuple):
     def equals(self, o: Complex) -> Column:
         return scalar.compare("EQ", self.re, o.re) & scalar.compare("EQ", self.im, o.im)
 
+    def differs(self, o: Complex) -> Column:
+        return scalar.compare("NE", self.re, o.re) | scalar.compare("NE", self.im, o.im)
+
     def struct(self) -> Column:
         return F.struct(self.re.alias("re"), self.im.alias("im"))
 

@@ -132,6 +132,39 @@ def wrapping(op: Callable[[Column, Column], Column], a: Column, b: Column, bits:
     return (low - F.when(low >= half, 2 * half).otherwise(0)).cast({8: "tinyint", 16: "smallint", 32: "int"}[bits])
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """The upper and lower 32 bits of a long, both as they are unsigned."""
+    return F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _long(high: Column, low: Column) -> Column:
+    """A long of two unsigned halves; what is over 32 bits in ``high`` is dropped."""
+    return F.shiftleft(high.bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(low)
+
+
+def wrapping_add(a: Column, b: Column) -> Column:
+    """Sum of longs, which wraps around instead of failing."""
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    low = al + bl
+    return _long(ah + bh + F.shiftrightunsigned(low, 32), low.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def wrapping_subtract(a: Column, b: Column) -> Column:
+    return wrapping_add(wrapping_add(a, F.bitwise_not(b)), F.lit(1).cast("bigint"))
+
+
+def wrapping_multiply(a: Column, b: Column) -> Column:
+    """Product of longs, which wraps around instead of failing: of 16-bit words, as products of halves would not fit."""
+    words = lambda x: [F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    x, y = words(a), words(b)
+    out, carry = [], F.lit(0).cast("bigint")
+    for n in range(4):
+        total = sum((x[i] * y[n - i] for i in range(n + 1)), carry)
+        out.append(total.bitwiseAND(F.lit(0xFFFF)))
+        carry = F.shiftrightunsigned(total, 16)
+    return _long(out[3] * 65536 + out[2], out[1] * 65536 + out[0])
+
+
 def case(selector: Column, branches: Sequence[Column]) -> Column:
     """The branch that ``selector`` numbers; out of range the last one."""
     out = branches[-1]

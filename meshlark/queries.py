@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, dual, graph, scalar
 from .functions.bspline import bspline
-from .functions.complex import Complex
+from .functions.complex import Complex, cis
 from .functions.dual import Dual
 from .functions.graph import Node
 from .operators import adjoint
@@ -520,19 +521,25 @@ def _factor_sql(order: int) -> str:
     return f"SELECT {order} AS ord, k::INTEGER AS k, {power} AS p FROM range(8) t(k)"
 
 
-@query(f"""WITH p AS ({" UNION ALL ".join(map(_factor_sql, (2, 3, 4, 6)))})
-    SELECT a.ord AS spline, a.k, {sq('sqrt(CASE WHEN a.k = 4 THEN (b.p + c.p) / 2 ELSE a.p END)', 1e9)} AS b FROM p a JOIN p b ON b.ord = a.ord AND b.k = 3 JOIN p c ON c.ord = a.ord AND c.k = 5""")
+@query(f"""WITH {ATOMS}, {MESH}, p AS ({" UNION ALL ".join(map(_factor_sql, (2, 3, 4, 6)))}),
+    factor AS (SELECT a.ord, a.k, sqrt(CASE WHEN a.k = 4 THEN (b.p + c.p) / 2 ELSE a.p END) AS b FROM p a JOIN p b ON b.ord = a.ord AND b.k = 3 JOIN p c ON c.ord = a.ord AND c.k = 5)
+    SELECT atom_id, x.ord AS spline, {sq('x.b * y.b * z.b', 1e9)} AS b FROM mesh JOIN factor x ON x.k = {MOD8('cx')} JOIN factor y ON y.k = {MOD8('cy')} AND y.ord = x.ord JOIN factor z ON z.k = {MOD8('cz')} AND z.ord = x.ord""")
 def deconvolution_factor(spark, sf_dir):
-    rows = [(o, k, b) for o in (2, 3, 4, 6) for k, b in enumerate(bspline(o).fourier_factor(8))]
-    return small_table(spark, rows, "spline int, k int, b double").select("spline", "k", q(F.col("b"), 1e9).alias("b"))
+    """The Fourier factor of four stencils at the frequency that has the number of every atom's cell."""
+    m = model(spark, sf_dir)
+    cells = plan.mesh_coordinates(m).select("atom_id", *(F.pmod(F.col(f"c{a}"), F.lit(8)).cast("int").alias(f"i{a}") for a in "xyz"))
+    each = [F.struct(F.lit(o).alias("spline"), q(plan.deconvolution(replace(m, order=o)), 1e9).alias("b")) for o in (2, 3, 4, 6)]
+    return cells.select("atom_id", F.explode(F.array(*each)).alias("e")).select("atom_id", "e.*")
 
 
-@query(f"""WITH names(species, sqrt_qz) AS (VALUES {values(SQRT_QZ)}), k AS (SELECT k::INTEGER AS k FROM range(41) t(k))
-    SELECT a.species AS a, b.species AS b, k, {sq(kernel_sql('(k / 8.0::DOUBLE)', '(a.sqrt_qz * b.sqrt_qz)'), 1e9)} AS kern FROM names a, names b, k""")
+@query(f"""WITH {ATOMS}, {EDGES}, {geometry_sql()}, {DIMS}
+    SELECT src, dst, sx, sy, sz, {sq(kernel_sql('(6 / d)', '(a.sqrt_qz * b.sqrt_qz)'), 1e6)} AS kern FROM geo JOIN atoms s ON s.atom_id = src JOIN atoms t ON t.atom_id = dst JOIN names a ON a.species = s.species JOIN names b ON b.species = t.species""")
 def reciprocal_kernels(spark, sf_dir):
-    a, b = (small_table(spark, SQRT_QZ, f"{s} int, q{s} double") for s in "ab")
-    k = spark.range(41).select(F.col("id").cast("int").alias("k"))
-    return a.join(b).join(F.broadcast(k)).select("a", "b", "k", q(reciprocal_kernel(F.col("k") / F.lit(8.0), F.col("qa") * F.col("qb"), DAMPING), 1e9).alias("kern"))
+    """The kernel for the species of every edge, at a wave number that its length gives."""
+    m = model(spark, sf_dir)
+    roots = lambda end: m.atoms.select(F.col("atom_id").alias(end), "species").join(m.species.select("species", F.col("sqrt_qz").alias(f"q_{end}")), "species").drop("species")
+    met = edge_geometry(m.atoms, m.edges, m.lattice).select("src", "dst", "sx", "sy", "sz", "d").join(roots("dst"), "dst").join(roots("src"), "src")
+    return met.select("src", "dst", "sx", "sy", "sz", q(reciprocal_kernel(6 / F.col("d"), F.col("q_src") * F.col("q_dst"), DAMPING), 1e6).alias("kern"))
 
 
 ENERGY = f"{BASE}, {DIMS}, {RHO}, {spectrum_sql(True)}, {PAIRS}, {VSELF}"
@@ -718,6 +725,77 @@ def expr_sort(spark, sf_dir):
     return lines.select("o", "n", _text(keys).alias("sorted"), _text(places).alias("places"))
 
 
+# Two rows of three, or three rows of two, of the six numbers of a line.
+_R23 = [[f"v[{r * 3 + c + 1}]" for c in range(3)] for r in range(2)]
+_R32 = [[f"v[{r * 2 + c + 1}]" for c in range(2)] for r in range(3)]
+_P2 = "least(greatest(n - 2, 0), 1)"
+
+
+@query(f"""{LINES}, s AS (SELECT o, n, {V6} AS v FROM l) SELECT o, n,
+    {_list(*(f"({' + '.join(f'{_R32[k][i]} * {_R32[k][j]}' for k in range(3))})::BIGINT" for i in range(2) for j in range(2)))} AS contracted,
+    {_list(*(f"({_R32[k][i]} * {_R23[i][k]})::BIGINT" for k in range(3) for i in range(2)))} AS batched,
+    {_list(*(f"({' + '.join(f'{_R23[r][c]} * (CASE WHEN {c} % 2 = 0 THEN {_R23[r][c]} ELSE 0 END) - (CASE WHEN {c} % 2 = 0 THEN 0 ELSE {_R23[r][c]} * {_R23[r][c]} END)' for c in range(3))})::BIGINT" for r in range(2)))} AS complex_re,
+    {_list(*(f"greatest({', '.join(_R23[r][c] for r in range(2))})" for c in range(3)))} AS columns_max,
+    {_list(*("(" + " + ".join(_R23[r + i][c] for i in range(2) for c in range(j - 1, j + 2, 2) if r + i < 2 and 0 <= c < 3) + ")::BIGINT" for r in range(2) for j in range(3)))} AS windows,
+    {_list(*(f"v[least(greatest(n - 3, 0), 1) * 3 + {c} + {_P2} + 1]" for c in range(2)))} AS gathered,
+    {_list(*(f"(v[{i * 3 + j + 1}] + CASE WHEN {i} = n - 3 AND {j} BETWEEN o % 3 AND o % 3 + 1 THEN 100 + {j} - o % 3 ELSE 0 END)::BIGINT" for i in range(2) for j in range(3)))} AS scattered,
+    {_list(*(_R23[r][c] for c in range(3) for r in range(2) for _ in range(2)))} AS spread FROM s""")
+def expr_axes(spark, sf_dir):
+    """Arrays of several axes: contractions, folds, windows, gathers and scatters."""
+    v, n = F.col("v").cast("array<double>"), F.col("n")
+    whole = lambda a: _text(F.transform(a, lambda x: x.cast("bigint")))
+    add = lambda x, y: x + y
+    # Numbers in even columns are real, the others imaginary.
+    pairs = F.transform(v, lambda x, i: F.struct(F.when(i % 3 % 2 == 0, x).otherwise(F.lit(0.0)).alias("re"), F.when(i % 3 % 2 == 0, F.lit(0.0)).otherwise(x).alias("im")))
+    of = lambda x: Complex(x["re"], x["im"])
+    squared = arrays.dot_general(pairs, pairs, (2, 3), (2, 3), ((1,), (1,)), ((0,), (0,)), Complex(F.lit(0.0), F.lit(0.0)).struct(), lambda x, y: (of(x) * of(y)).struct(), lambda x, y: (of(x) + of(y)).struct())
+    starts = F.array((n - 3).cast("int"), (n - 2).cast("int"))
+    begin = F.array((n - 3).cast("int"), (F.col("o") % 3).cast("int"))
+    kept = arrays.scatter_nd(v, (2, 3), begin, (1, 2), F.array(F.lit(100.0), F.lit(101.0)), (1, 2), add, (1,), (0,), (0, 1), 1)
+    return _lines(spark, sf_dir).select("o", "n", _six()).select(
+        "o", "n", whole(arrays.dot_general(v, v, (3, 2), (3, 2), ((0,), (0,)))).alias("contracted"), whole(arrays.dot_general(v, v, (3, 2), (2, 3), ((), ()), ((0, 1), (1, 0)))).alias("batched"),
+        whole(F.transform(squared, lambda z: z["re"])).alias("complex_re"), whole(arrays.fold_axes([v], (2, 3), (0,), F.lit(-1.0), F.greatest)).alias("columns_max"),
+        whole(arrays.fold_windows([v], (2, 3), (2, 2), F.lit(0.0), add, dilation=(1, 2), padding=((0, 1), (1, 1)))).alias("windows"),
+        whole(arrays.gather_nd(v, (2, 3), starts, (2,), (1, 2), (0,), (0,), (0, 1), 0)).alias("gathered"), whole(kept).alias("scattered"),
+        whole(arrays.broadcast_in_dim(arrays.permute(v, (2, 3), (1, 0)), (3, 2, 1), (3, 2, 2), (0, 1, 2))).alias("spread"),
+    )
+
+
+_WIDE_A, _WIDE_B = "((l_partkey % 1000 - 500) * 9007199254740993 + o * 131)::BIGINT", "((l_suppkey - 50) * 72057594037927 - o * 7 - 1)::BIGINT"
+_WRAP = lambda x: f"(CASE WHEN ({x}) & 18446744073709551615::HUGEINT >= 9223372036854775808 THEN (({x}) & 18446744073709551615::HUGEINT) - 18446744073709551616 ELSE ({x}) & 18446744073709551615::HUGEINT END)::BIGINT"
+
+
+@query(f"""{LINES}, i AS (SELECT o, n, {_WIDE_A}::HUGEINT AS x, {_WIDE_B}::HUGEINT AS y FROM l), w AS (SELECT *, x * y AS p, x * 3 + y * 3 AS s, x - y AS d FROM i)
+    SELECT o, n, {_WRAP("p")} AS product, abs(p) > 9223372036854775807 AS beyond, {_WRAP("s")} AS total, {_WRAP("d")} AS difference FROM w""")
+def expr_wide(spark, sf_dir):
+    """Sums, differences and products of longs that wrap around."""
+    x, y, three = F.col("x"), F.col("y"), F.lit(3).cast("bigint")
+    lines = _lines(spark, sf_dir).select("o", "n", ((F.col("l_partkey") % 1000 - 500) * F.lit(9007199254740993) + F.col("o") * 131).cast("bigint").alias("x"), ((F.col("l_suppkey") - 50) * F.lit(72057594037927) - F.col("o") * 7 - 1).cast("bigint").alias("y"))
+    product = scalar.wrapping_multiply(x, y)
+    beyond = F.abs(x.cast("decimal(38,0)") * y.cast("decimal(38,0)")) > F.lit("9223372036854775807").cast("decimal(38,0)")
+    return lines.select("o", "n", product.alias("product"), beyond.alias("beyond"), scalar.wrapping_add(scalar.wrapping_multiply(x, three), scalar.wrapping_multiply(y, three)).alias("total"), scalar.wrapping_subtract(x, y).alias("difference"))
+
+
+@query(f"""{LINES}, s AS (SELECT o, n, {V6} AS v, {X} AS x, {Y} AS y FROM l), r AS (SELECT o, n, v, x, y, list_sort([{{'k': -v[i], 'i': i - 1}} FOR i IN range(1, 7)]) AS e FROM s)
+    SELECT o, n, array_to_string([-z.k FOR z IN e], ',') AS falling, array_to_string([z.i FOR z IN e], ',') AS places, list_sum([v[i] * (i - 1) FOR i IN range(1, 7)])::BIGINT AS weighted, list_max(v) AS largest,
+    {_list(*(E6[i] for i in (0, 1, 2, 3, 4, 5, 0, 1)))} AS joined, x = y AND y = 2 AS same, x <> y OR y <> 2 AS differ, {sq('cos(x) * y', 1e6)} AS turned, (x + 1) * 8 - 1 AS looped,
+    ((((l3 % 256) + 256) % 256 + 128) % 256 - 128)::INTEGER AS small FROM (SELECT *, (v[2] * 37 + v[3] * 11)::BIGINT AS l3 FROM r)""")
+def expr_helpers(spark, sf_dir):
+    """Sorting by a comparator, folding arrays together, complex equality and rotation, loops, and small integers that wrap."""
+    v, x, y = F.col("v"), F.col("x"), F.col("y")
+    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(-1).cast("bigint").alias("m"))
+    lines = _lines(spark, sf_dir).select("o", "n", _six(), (F.col("a") - 25).alias("x"), (F.col("b") * 10).alias("y"))
+    falling, places = arrays.sort_with(lambda p, r: p["f0"] > r["f0"], v, arrays.iota(6))
+    both = arrays.reduce_rows(zero, lambda acc, r: F.struct((acc["s"] + r["f0"] * r["f1"]).alias("s"), F.greatest(acc["m"], r["f0"]).alias("m")), v, arrays.iota(6).cast("array<bigint>"))
+    z, w = Complex(x, y), Complex(y, F.lit(2.0))
+    looped = scalar.repeat(3, lambda i, s: s * 2 + 1, x)
+    return lines.select(
+        "o", "n", _text(falling).alias("falling"), _text(places).alias("places"), both["s"].alias("weighted"), both["m"].alias("largest"), _text(arrays.concatenate(v, F.slice(v, 1, 2))).alias("joined"),
+        z.equals(w).alias("same"), z.differs(w).alias("differ"), q((cis(x).scale(y)).re, 1e6).alias("turned"), looped.alias("looped"),
+        scalar.wrapping(lambda p, r: p + r, F.get(v, F.lit(1)) * 37, F.get(v, F.lit(2)) * 11, 8).cast("int").alias("small"),
+    )
+
+
 @query(None)
 def expr_special(spark, sf_dir):
     """Error functions and the bits of doubles, which have no SQL."""
