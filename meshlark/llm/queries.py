@@ -18,7 +18,7 @@ from .langid import identify
 from .line_dedup import line_dedup
 from .packing import pack
 from .secrets import secret_scan
-from .sharding import assign_shards
+from .sharding import TABLE_SIZE, assign_shards, lookup_table
 from .substring_dedup import substring_dedup
 from .url_filter import host_of, url_filter
 
@@ -149,6 +149,15 @@ _RUNS = f"""
         bucket AS (SELECT f, xor(c, 4294967295) % 10000 AS b FROM crc WHERE 2 * j = length(h))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM sets x JOIN sets y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT doc_id, b FROM reach JOIN ways ON r = a)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
     "op3_decontaminate": f"""
         WITH d AS (SELECT doc_id, list_filter(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT item_id, list_filter(string_split_regex({_ASCII_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -170,6 +179,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op5_sharding": f"""
+        SELECT doc_id, slot, 'shard-' || lpad(string_split('{",".join(map(str, lookup_table(SHARDS)))}', ',')[slot + 1], 3, '0') AS shard
+        FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-')), 1, 15))::BIGINT % {TABLE_SIZE} AS slot FROM documents)""",
     "op6_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -199,6 +211,14 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(spans, '') AS spans, coalesce(live, 0) AS n_live, coalesce(ex, 0) AS n_example,
                coalesce(mo, 0) AS most_owners, coalesce(mr, 0) AS most_repositories
         FROM d LEFT JOIN g USING (doc_id)""",
+    "op8_substring_dedup": """
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        wins AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM wins) WHERE r > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p, true AS gone FROM later),
+        each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+        g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(x, ' ' ORDER BY p) FILTER (gone IS NULL) AS kept FROM each LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
     "op10_url_filter": f"""
         WITH h AS (SELECT page_id, {EPOCH} + page_id * 7919 % {366 * DAY} AS fetched,
                    {_ASCII_LOWER.format("regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\\\]*)', 1), '^.*@', ''), '\\.?(:[0-9]*)?$', '')")} AS host FROM pages),
