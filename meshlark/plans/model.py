@@ -63,7 +63,7 @@ class Model:
         if len(self.lattice) != 3 or any(len(r) != 3 for r in self.lattice) or not determinant(self.lattice):
             raise ValueError("a lattice has three independent vectors")
         if "rank" not in self.selfcont.columns:
-            self.selfcont = self.selfcont.join(F.broadcast(self.eigs.select("rank")))
+            self.selfcont = self.selfcont.join(self.eigs.select("rank"))
 
     @property
     def volume(self) -> float:

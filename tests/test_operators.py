@@ -10,7 +10,7 @@ from meshlark.functions.bspline import bspline, horner
 from meshlark.functions.complex import Complex
 from meshlark.operators.scatter import expand_support, gather_from_mesh, scatter_over_support, scatter_to_mesh
 from meshlark.operators.spectral import dft, inverse_dft, spectral_map
-from meshlark.streaming.incremental import streaming_coordination
+from meshlark.streaming.incremental import streaming_coordination, streaming_density
 
 
 @pytest.mark.parametrize("order", [2, 3, 4, 5, 6])
@@ -128,3 +128,31 @@ def test_stream_of_edges_sums_up(spark, tmp_path):
     run.awaitTermination()
     want = {r.src: r.cn for r in streaming_coordination(atoms, spark.read.parquet(f"{tmp_path}/edges"), cell, 6.0).collect()}
     assert {r.src: r.cn for r in spark.table("cn").collect()} == pytest.approx(want)
+
+
+def test_stream_of_points_sums_up(spark, tmp_path):
+    df = points(spark)
+    for k in range(3):
+        df.where(F.col("p") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/points")
+    kernel = lambda s: {"value": (s.index[0] + 1.0) * F.col("c")}
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/points")
+    run = streaming_density(stream, (0, 1), kernel, (5, 3, 4)).writeStream.format("memory").queryName("density").outputMode("complete").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    cells = lambda out: {(r.ix, r.iy, r.iz): r.value for r in out.collect()}
+    assert cells(spark.table("density")) == pytest.approx(cells(scatter_to_mesh(df, (0, 1), kernel, (5, 3, 4))))
+
+
+def test_signs_may_differ_by_name(spark):
+    shape = (3, 4, 5)
+    rng = np.random.default_rng(4)
+    a, b = (rng.normal(size=(2, *shape)) + 1j * rng.normal(size=(2, *shape)) for _ in range(2))
+    table = grid_frame(spark, a).join(grid_frame(spark, b).withColumnsRenamed({"v_re": "w_re", "v_im": "w_im"}), ["batch", "ix", "iy", "iz"])
+    fn = lambda i, x: ({"v": x["v"] * x["w"], "w": x["v"] + x["w"]}, {"s": x["v"] * x["w"]})
+    back, sums = spectral_map(fn, table, shape, ["v", "w"], sign={"v": -1, "w": 1}, keys=("batch",), aux_keys=("batch",))
+    over = lambda f, x: f(x, axes=(1, 2, 3))
+    fa, fb = over(np.fft.fftn, a), over(np.fft.ifftn, b) * math.prod(shape)
+    assert dense(back, a.shape) == pytest.approx(over(np.fft.ifftn, fa * fb), abs=1e-8)
+    w = back.select("batch", "ix", "iy", "iz", F.col("w_re").alias("v_re"), F.col("w_im").alias("v_im"))
+    assert dense(w, a.shape) == pytest.approx(over(np.fft.fftn, fa + fb) / math.prod(shape), abs=1e-9)
+    got = {r.batch: complex(r.s_re, r.s_im) for r in sums.collect()}
+    assert [got[0], got[1]] == pytest.approx(list((fa * fb).sum(axis=(1, 2, 3))))

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["coordination_strained", "c6_weights", "scatter_indexed", "dft_sign_plus", "reciprocal_kernels", "expr_binary", "expr_sort", "expr_bits", "scatter_jvp"])
+@pytest.mark.parametrize("name", ["coordination_strained", "c6_weights", "scatter_indexed", "dft_sign_plus", "reciprocal_kernels", "expr_binary", "expr_sort", "expr_bits", "scatter_jvp", "expr_axes", "expr_wide", "expr_helpers", "spectral_aux_input", "spectral_rotation_transposed", "spectral_forward", "scatter_backward", "scatter_and_gather", "deconvolution_factor"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for table in ("embeddings", "lineitem"):
