@@ -80,7 +80,7 @@ def test_near_duplicates_of_odd_rows(spark, tmp_path):
 
 def test_every_stage_takes_odd_rows_and_empty_tables(spark, tmp_path):
     text = "a text of some words that can be read"
-    rows = [(1, text), (1, text), (None, text), (None, None), (2, None), (3, ""), (4, "½ ²"), (5, text + " again")]
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, None), (3, ""), (4, "½ ²"), (5, text + " again"), (6, " ".join(f"{text} {i}" for i in range(40_000)))]
     for docs in (odd(spark, tmp_path, rows), odd(spark, tmp_path, rows).limit(0)):
         empty = docs.limit(1).count() == 0
         for name, stage in corpus_pipeline.STAGES[:-1]:
