@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements of a result, times those folded into each, up to which it is written out as expressions that Spark compiles; lambdas are interpreted.
+WRITTEN = 256
+#: Elements folded into one, up to which they are written out: a function that reads its sum twice doubles the expression with each.
+WRITTEN_FOLD = 4
+
 
 def iota(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
@@ -16,8 +22,20 @@ def at(a: Column, i: Column | int) -> Column:
     return F.get(a, F.lit(i) if isinstance(i, int) else i)
 
 
+def bound(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` of values that are computed once a row, however often it reads them; Spark shares nothing inside lambdas.
+
+    Plain columns are read where they are, so that what is made of them can be compiled.
+    """
+    if not values:
+        return body()
+    if re.fullmatch(r"Column<'\w+'>", repr(values[0])):
+        return bound(lambda *rest: body(values[0], *rest), *values[1:])
+    return F.get(F.transform(F.array(values[0]), lambda x: bound(lambda *rest: body(x, *rest), *values[1:])), F.lit(0))
+
+
 def take(a: Column, indices: Sequence[int]) -> Column:
-    return F.array(*[at(a, i) for i in indices])
+    return bound(lambda v: F.array(*[at(v, i) for i in indices]), a)
 
 
 def slice_(a: Column, start: int, stop: int, stride: int = 1) -> Column:
@@ -65,7 +83,7 @@ def pad(a: Column, n: int, value: Column, low: int = 0, high: int = 0, interior:
     """Pads an array of ``n``; negative padding cuts."""
     inner = [i for k in range(n) for i in ([k] + [None] * (interior if k < n - 1 else 0))]
     full = [None] * max(low, 0) + inner[max(-low, 0) : len(inner) - max(-high, 0)] + [None] * max(high, 0)
-    return F.array(*[value if i is None else at(a, i) for i in full])
+    return bound(lambda v: F.array(*[value if i is None else at(v, i) for i in full]), a)
 
 
 def dynamic_slice(a: Column, start: Column, n: int, size: int) -> Column:
@@ -75,18 +93,18 @@ def dynamic_slice(a: Column, start: Column, n: int, size: int) -> Column:
 
 def dynamic_update(a: Column, part: Column, start: Column, n: int, size: int) -> Column:
     begin = F.least(F.greatest(start, F.lit(0)), F.lit(n - size)).cast("int")
-    return F.transform(a, lambda x, i: F.when((i >= begin) & (i < begin + size), F.get(part, i - begin)).otherwise(x))
+    return bound(lambda p, b: F.transform(a, lambda x, i: F.when((i >= b) & (i < b + size), F.get(p, i - b)).otherwise(x)), part, begin)
 
 
 def gather(a: Column, indices: Column, n: int) -> Column:
     """Elements at ``indices``, which are moved into range."""
-    return F.transform(indices, lambda i: F.get(a, F.least(F.greatest(i, F.lit(0)), F.lit(n - 1))))
+    return bound(lambda v: F.transform(indices, lambda i: F.get(v, F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)))), a)
 
 
 def scatter(a: Column, indices: Column, updates: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """Combines updates into elements one after another; indices out of range are dropped."""
     pairs = F.arrays_zip(indices.alias("i"), updates.alias("u"))
-    return F.transform(a, lambda x, k: F.aggregate(F.filter(pairs, lambda p: p["i"] == k), x, lambda acc, p: combine(acc, p["u"])))
+    return bound(lambda met: F.transform(a, lambda x, k: F.aggregate(F.filter(met, lambda p: p["i"] == k), x, lambda acc, p: combine(acc, p["u"]))), pairs)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -95,7 +113,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def matmul(a: Column, b: Column, n: int, k: int, m: int) -> Column:
     """Row-major ``n`` times ``k`` by ``k`` times ``m``."""
-    return F.array(*[dot(slice_(a, r * k, (r + 1) * k), slice_(b, c, k * m, m)) for r in range(n) for c in range(m)])
+    return dot_general(a, b, (n, k), (k, m), ((1,), (0,)))
 
 
 def reduce(a: Column, start: Column, combine: Callable[[Column, Column], Column]) -> Column:
@@ -104,13 +122,18 @@ def reduce(a: Column, start: Column, combine: Callable[[Column, Column], Column]
 
 def reduce_window(a: Column, n: int, size: int, start: Column, combine: Callable[[Column, Column], Column], stride: int = 1, dilation: int = 1, low: int = 0, high: int = 0) -> Column:
     """Folds windows of an array of ``n``; places outside are skipped."""
-    span, out = (size - 1) * dilation + 1, []
-    for begin in range(-low, n + high - span + 1, stride):
-        acc = start
-        for i in range(begin, begin + span, dilation):
-            acc = combine(acc, at(a, i)) if 0 <= i < n else acc
-        out.append(acc)
-    return F.array(*out)
+    span = (size - 1) * dilation + 1
+
+    def folded(v: Column) -> Column:
+        out = []
+        for begin in range(-low, n + high - span + 1, stride):
+            acc = start
+            for i in range(begin, begin + span, dilation):
+                acc = combine(acc, at(v, i)) if 0 <= i < n else acc
+            out.append(acc)
+        return F.array(*out)
+
+    return bound(folded, a)
 
 
 def sort_by(keys: Column, *values: Column) -> list[Column]:
@@ -118,7 +141,7 @@ def sort_by(keys: Column, *values: Column) -> list[Column]:
     fields = [keys, *values]
     rows = F.arrays_zip(keys.alias("k"), F.transform(keys, lambda _, i: i).alias("at"))
     order = F.array_sort(rows)
-    pick = lambda f: F.transform(order, lambda r: F.get(f, r["at"]))
+    pick = lambda f: bound(lambda v: F.transform(order, lambda r: F.get(v, r["at"])), f)
     return [pick(f) for f in fields]
 
 
@@ -147,6 +170,25 @@ def _numbers(values: Sequence[int]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<int>")
 
 
+def _each(places_: Sequence[int], element: Callable[[Column], Column]) -> Column:
+    """``element`` of every number."""
+    return F.array(*[element(F.lit(i)) for i in places_]) if 0 < len(places_) <= WRITTEN else F.transform(_numbers(places_), element)
+
+
+def _folds(sets: Sequence[Sequence[int]], start: Column, combine: Callable[[Column, Column], Column], element: Callable[[Column], Column]) -> Column:
+    """For every set of numbers, ``element`` of each combined in their order."""
+    longest = max(map(len, sets), default=0)
+    if longest > WRITTEN_FOLD or longest * len(sets) > WRITTEN:
+        return F.transform(F.array(*map(_numbers, sets)), lambda w: F.aggregate(w, start, lambda acc, i: combine(acc, element(i))))
+    out = []
+    for numbers in sets:
+        acc = start
+        for i in numbers:
+            acc = combine(acc, element(F.lit(i)))
+        out.append(acc)
+    return F.array(*out)
+
+
 def _rest(shape: Shape, axes: Sequence[int]) -> list[int]:
     if len(set(axes)) != len(axes) or not set(axes) <= set(range(len(shape))):
         raise ValueError("axes are different numbers of axes")
@@ -155,7 +197,7 @@ def _rest(shape: Shape, axes: Sequence[int]) -> list[int]:
 
 def permute(a: Column, shape: Shape, order: Sequence[int]) -> Column:
     """The array with its axes in another order."""
-    return F.transform(_numbers(places(shape, order)), lambda i: at(a, i))
+    return bound(lambda v: _each(places(shape, order), lambda i: at(v, i)), a)
 
 
 def broadcast_in_dim(a: Column, shape: Shape, to: Shape, axes: Sequence[int]) -> Column:
@@ -165,7 +207,7 @@ def broadcast_in_dim(a: Column, shape: Shape, to: Shape, axes: Sequence[int]) ->
         if shape[i] not in (1, to[axis]):
             raise ValueError("an axis is spread only from size 1")
         steps[axis] = own[i] if shape[i] > 1 else 0
-    return F.transform(_numbers(places(to, range(len(to)), steps)), lambda i: at(a, i))
+    return bound(lambda v: _each(places(to, range(len(to)), steps), lambda i: at(v, i)), a)
 
 
 def dot_general(
@@ -181,10 +223,26 @@ def dot_general(
             raise ValueError("paired axes have one size")
     outer = list(zip(places(a_shape, batch[0]), places(b_shape, batch[1])))
     rows, columns = (places(s, _rest(s, [*batch[i], *contract[i]])) for i, s in enumerate((a_shape, b_shape)))
-    inner = F.arrays_zip(_numbers(places(a_shape, contract[0])).alias("x"), _numbers(places(b_shape, contract[1])).alias("y"))
-    starts = F.arrays_zip(_numbers([x + r for x, _ in outer for r in rows for _ in columns]).alias("x"), _numbers([y + c for _, y in outer for _ in rows for c in columns]).alias("y"))
+    terms = [places(s, c) for s, c in zip((a_shape, b_shape), contract)]
+    begins = [(x + r, y + c) for x, y in outer for r in rows for c in columns]
     start = F.lit(0.0) if zero is None else zero
-    return F.transform(starts, lambda o: F.aggregate(inner, start, lambda acc, k: plus(acc, times(F.get(a, o["x"] + k["x"]), F.get(b, o["y"] + k["y"])))))
+
+    def written(x: Column, y: Column) -> Column:
+        out = []
+        for r, c in begins:
+            acc = start
+            for i, j in zip(*terms):
+                acc = plus(acc, times(at(x, r + i), at(y, c + j)))
+            out.append(acc)
+        return F.array(*out)
+
+    if len(terms[0]) <= WRITTEN_FOLD and 0 < len(begins) * len(terms[0]) <= WRITTEN:
+        return bound(written, a, b)
+    inner = [_numbers(t) for t in terms]
+    starts = F.array(*[F.struct(F.lit(r).alias("x"), F.lit(c).alias("y")) for r, c in begins])
+    along = lambda v, begin, ks: F.transform(ks, lambda k: F.get(v, begin + k))
+    products = lambda x, y, o: F.zip_with(along(x, o["x"], inner[0]), along(y, o["y"], inner[1]), lambda p, r: times(p, r))
+    return bound(lambda x, y: F.transform(starts, lambda o: F.aggregate(products(x, y, o), start, lambda acc, p: plus(acc, p))), a, b)
 
 
 def _row(arrays: Sequence[Column], i: Column) -> Column:
@@ -193,8 +251,10 @@ def _row(arrays: Sequence[Column], i: Column) -> Column:
 
 def fold_axes(arrays: Sequence[Column], shape: Shape, axes: Sequence[int], start: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """Folds arrays of one shape over any axes, in row-major order; ``combine`` takes what is so far and an element, of several arrays a struct ``f0``, ``f1``, ..."""
-    inner = _numbers(places(shape, axes))
-    return F.transform(_numbers(places(shape, _rest(shape, axes))), lambda o: F.aggregate(inner, start, lambda acc, i: combine(acc, _row(arrays, o + i))))
+    inner, outer = places(shape, axes), places(shape, _rest(shape, axes))
+    if len(inner) <= WRITTEN_FOLD and len(inner) * len(outer) <= WRITTEN:
+        return bound(lambda *vs: _folds([[o + i for i in inner] for o in outer], start, combine, lambda i: _row(vs, i)), *arrays)
+    return bound(lambda *vs: F.transform(_numbers(outer), lambda o: F.aggregate(_numbers(inner), start, lambda acc, i: combine(acc, _row(vs, o + i)))), *arrays)
 
 
 def window_shape(shape: Shape, size: Shape, stride: Shape, dilation: Shape, padding: Sequence[tuple[int, int]], base_dilation: Shape) -> list[int]:
@@ -223,8 +283,7 @@ def fold_windows(
         sets = [[base + i * own[a] for base in held for i in ps] for held in sets for ps in per_axis[a]]
     if not sets:
         return F.slice(F.array(start), 1, 0)
-    windows = F.array(*map(_numbers, sets))
-    return F.transform(windows, lambda w: F.aggregate(w, start, lambda acc, i: combine(acc, _row(arrays, i))))
+    return bound(lambda *vs: _folds(sets, start, combine, lambda i: _row(vs, i)), *arrays)
 
 
 def _starts(indices: Column, index_shape: Shape, vector_axis: int, n: int) -> tuple[list[int], int]:
@@ -252,13 +311,17 @@ def gather_nd(
     batch_shape = [n for i, n in enumerate(index_shape) if i != vector_axis]
     inside = places([slice_sizes[w] for w in window], range(len(window)), [own[w] for w in window])
     # In the order of indices, then of places in the slice; then axes go where the result has them.
-    base = lambda b: sum((F.least(F.greatest(F.get(indices, b + F.lit(k * apart)), F.lit(0)), F.lit(shape[d] - slice_sizes[d])) * own[d] for k, d in enumerate(start_map)), F.lit(0))
-    found = F.flatten(F.transform(_numbers(begins), lambda b: F.transform(_numbers(inside), lambda i: at(a, (base(b) + i).cast("int")))))
+    base = lambda held, b: sum((F.least(F.greatest(F.get(held, b + F.lit(k * apart)), F.lit(0)), F.lit(shape[d] - slice_sizes[d])) * own[d] for k, d in enumerate(start_map)), F.lit(0))
     made = batch_shape + [slice_sizes[w] for w in window]
     batch_axes = [d for d in range(len(made)) if d not in offset_dims]
     order = [0] * len(made)
     for source, axis in enumerate([*batch_axes, *offset_dims]):
         order[axis] = source
+    if 0 < len(begins) * len(inside) <= WRITTEN:
+        lying = [(b, i) for b in begins for i in inside]
+        return bound(lambda v, held: F.array(*[at(v, (base(held, F.lit(lying[p][0])) + F.lit(lying[p][1])).cast("int")) for p in places(made, order)]), a, indices)
+    bases = bound(lambda held: F.transform(_numbers(begins), lambda b: base(held, b)), indices)
+    found = bound(lambda v: F.flatten(F.transform(bases, lambda s: F.transform(_numbers(inside), lambda i: at(v, (s + i).cast("int"))))), a)
     return permute(found, made, order)
 
 
@@ -284,14 +347,27 @@ def scatter_nd(
     for s, d in zip(strides([update_shape[d] for d in batch]), batch):
         numbered[d] = s
     which = places(update_shape, range(len(update_shape)), numbered)
-    rows = F.array(*[F.struct(F.lit(n).alias("u"), F.lit(begins[w]).alias("b"), *(F.lit(c[n]).alias(f"c{d}") for d, c in enumerate(coordinates))) for n, w in enumerate(which)])
 
-    def placed(r: Column) -> Column:
-        full = [r[f"c{d}"] + (F.get(indices, r["b"] + F.lit(index_map.index(d) * apart)) if d in index_map else F.lit(0)) for d in range(len(shape))]
+    def placed(held: Column, r: Column | dict[str, Column]) -> Column:
+        full = [r[f"c{d}"] + (F.get(held, r["b"] + F.lit(index_map.index(d) * apart)) if d in index_map else F.lit(0)) for d in range(len(shape))]
         inside = F.lit(True)
         for x, n in zip(full, shape):
             inside = inside & (x >= 0) & (x < n)
         return F.when(inside, sum((x * s for x, s in zip(full, own)), F.lit(0)))
 
-    hits = F.transform(rows, lambda r: F.struct(placed(r).alias("at"), r["u"].alias("u")))
-    return F.transform(a, lambda x, i: F.aggregate(F.filter(hits, lambda h: h["at"] == i), x, lambda acc, h: combine(acc, F.get(updates, h["u"]))))
+    def written(v: Column, held: Column, us: Column) -> Column:
+        found = [placed(held, {"b": F.lit(begins[w]), **{f"c{d}": F.lit(c[n]) for d, c in enumerate(coordinates)}}) for n, w in enumerate(which)]
+        out = []
+        for i in places(shape, range(len(shape))):
+            x = at(v, i)
+            for n, where in enumerate(found):
+                x = F.when(where == i, combine(x, at(us, n))).otherwise(x)
+            out.append(x)
+        return F.when(v.isNotNull(), F.array(*out))
+
+    size = len(places(shape, range(len(shape))))
+    if len(which) <= WRITTEN_FOLD and 0 < size * len(which) <= WRITTEN:
+        return bound(written, a, indices, updates)
+    rows = F.array(*[F.struct(F.lit(n).alias("u"), F.lit(begins[w]).alias("b"), *(F.lit(c[n]).alias(f"c{d}") for d, c in enumerate(coordinates))) for n, w in enumerate(which)])
+    hits = bound(lambda held: F.transform(rows, lambda r: F.struct(placed(held, r).alias("at"), r["u"].alias("u"))), indices)
+    return bound(lambda met, us: F.transform(a, lambda x, i: F.aggregate(F.filter(met, lambda h: h["at"] == i), x, lambda acc, h: combine(acc, F.get(us, h["u"])))), hits, updates)

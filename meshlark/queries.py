@@ -686,7 +686,7 @@ def _six(c: str = "v") -> Column:
     return F.array(*[F.expr(i).cast("bigint") for i in items]).alias(c)
 
 
-_text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+_text = lambda a: F.array_join(a.cast("array<string>"), ",")
 _list = lambda *x: "concat_ws(',', " + ", ".join(x) + ")"
 E6 = [f"v[{i}]" for i in range(1, 7)]
 
@@ -713,7 +713,7 @@ def expr_reduce(spark, sf_dir):
     as_double = v.cast("array<double>")
     return _lines(spark, sf_dir).select("o", "n", _six()).select(
         "o", "n", arrays.reduce(v, zero, lambda a, x: a + x).alias("total"), arrays.reduce(v, zero, lambda a, x: F.greatest(a, x)).alias("largest"), q(arrays.dot(as_double, as_double), 1).alias("dotted"), _text(windows).alias("windows"),
-        _text(F.transform(arrays.matmul(as_double, as_double, 2, 3, 2), lambda x: x.cast("bigint"))).alias("product"),
+        _text(arrays.matmul(as_double, as_double, 2, 3, 2).cast("array<bigint>")).alias("product"),
     )
 
 
@@ -742,19 +742,20 @@ _P2 = "least(greatest(n - 2, 0), 1)"
     {_list(*(_R23[r][c] for c in range(3) for r in range(2) for _ in range(2)))} AS spread FROM s""")
 def expr_axes(spark, sf_dir):
     """Arrays of several axes: contractions, folds, windows, gathers and scatters."""
-    v, n = F.col("v").cast("array<double>"), F.col("n")
-    whole = lambda a: _text(F.transform(a, lambda x: x.cast("bigint")))
+    v, n, pairs = F.col("v"), F.col("n"), F.col("pairs")
+    whole = lambda a: _text(a.cast("array<bigint>"))
     add = lambda x, y: x + y
     # Numbers in even columns are real, the others imaginary.
-    pairs = F.transform(v, lambda x, i: F.struct(F.when(i % 3 % 2 == 0, x).otherwise(F.lit(0.0)).alias("re"), F.when(i % 3 % 2 == 0, F.lit(0.0)).otherwise(x).alias("im")))
+    made = [Complex(arrays.at(v, i), F.lit(0.0)) if i % 3 % 2 == 0 else Complex(F.lit(0.0), arrays.at(v, i)) for i in range(6)]
+    lines = _lines(spark, sf_dir).select("o", "n", _six()).select("o", "n", v.cast("array<double>").alias("v")).select("o", "n", "v", F.array(*[z.struct() for z in made]).alias("pairs"))
     of = lambda x: Complex(x["re"], x["im"])
     squared = arrays.dot_general(pairs, pairs, (2, 3), (2, 3), ((1,), (1,)), ((0,), (0,)), Complex(F.lit(0.0), F.lit(0.0)).struct(), lambda x, y: (of(x) * of(y)).struct(), lambda x, y: (of(x) + of(y)).struct())
     starts = F.array((n - 3).cast("int"), (n - 2).cast("int"))
     begin = F.array((n - 3).cast("int"), (F.col("o") % 3).cast("int"))
     kept = arrays.scatter_nd(v, (2, 3), begin, (1, 2), F.array(F.lit(100.0), F.lit(101.0)), (1, 2), add, (1,), (0,), (0, 1), 1)
-    return _lines(spark, sf_dir).select("o", "n", _six()).select(
+    return lines.select(
         "o", "n", whole(arrays.dot_general(v, v, (3, 2), (3, 2), ((0,), (0,)))).alias("contracted"), whole(arrays.dot_general(v, v, (3, 2), (2, 3), ((), ()), ((0, 1), (1, 0)))).alias("batched"),
-        whole(F.transform(squared, lambda z: z["re"])).alias("complex_re"), whole(arrays.fold_axes([v], (2, 3), (0,), F.lit(-1.0), F.greatest)).alias("columns_max"),
+        whole(squared["re"]).alias("complex_re"), whole(arrays.fold_axes([v], (2, 3), (0,), F.lit(-1.0), F.greatest)).alias("columns_max"),
         whole(arrays.fold_windows([v], (2, 3), (2, 2), F.lit(0.0), add, dilation=(1, 2), padding=((0, 1), (1, 1)))).alias("windows"),
         whole(arrays.gather_nd(v, (2, 3), starts, (2,), (1, 2), (0,), (0,), (0, 1), 0)).alias("gathered"), whole(kept).alias("scattered"),
         whole(arrays.broadcast_in_dim(arrays.permute(v, (2, 3), (1, 0)), (3, 2, 1), (3, 2, 2), (0, 1, 2))).alias("spread"),

@@ -147,3 +147,36 @@ def test_complex_differs(spark):
     nan = float("nan")
     row = spark.range(1).select(z(1.0, 2.0).differs(z(1.0, 2.0)), z(1.0, 2.0).differs(z(1.0, 3.0)), z(nan, 2.0).differs(z(nan, 2.0)), z(1.0, 2.0).equals(z(1.0, 2.0)), z(nan, 2.0).equals(z(nan, 2.0))).first()
     assert list(row) == [False, True, True, True, False]
+
+
+MANY = [float(i) for i in range(24)]
+
+
+@pytest.mark.parametrize("written", [0, 256])
+@pytest.mark.parametrize("make,want", [
+    (lambda a: arrays.permute(a, (24,), (0,)), MANY), (lambda a: arrays.broadcast_in_dim(a, (24,), (24,), (0,)), MANY), (lambda a: arrays.take(a, range(24)), MANY), (lambda a: arrays.pad(a, 24, F.lit(0.0)), MANY),
+    (lambda a: arrays.gather(a, arrays.iota(24), 24), MANY), (lambda a: arrays.gather_nd(a, (24,), F.array(F.lit(0)), (1,), (24,), (0,), (), (0,), 0), MANY),
+    (lambda a: arrays.fold_axes([a], (24, 1), (1,), F.lit(0.0), lambda x, y: x + y), MANY), (lambda a: arrays.fold_windows([a], (24,), (1,), F.lit(0.0), lambda x, y: x + y), MANY),
+    (lambda a: arrays.dot_general(a, F.array(F.lit(1.0)), (24, 1), (1, 1), ((1,), (0,))), MANY), (lambda a: arrays.reduce_window(a, 24, 1, F.lit(0.0), lambda x, y: x + y), MANY),
+    (lambda a: arrays.scatter_nd(F.array_repeat(F.lit(0.0), 24), (24,), F.array(F.lit(0)), (1,), a, (24,), lambda x, y: y, (0,), (), (0,), 0), MANY),
+])
+def test_an_operand_is_computed_once(spark, monkeypatch, make, want, written):
+    """A shuffled operand would come in another order with every time it is computed."""
+    monkeypatch.setattr(arrays, "WRITTEN", written)
+    assert sorted(run(spark, lambda a: make(F.shuffle(a)), a=MANY)) == want
+
+
+@pytest.mark.parametrize("make", [
+    lambda a: arrays.dot_general(a, a, (2, 3), (3, 2), ((1,), (0,))), lambda a: arrays.fold_axes([a], (2, 3), (0,), F.lit(-1e9), lambda x, y: F.greatest(x, y)),
+    lambda a: arrays.fold_windows([a], (2, 3), (2, 2), F.lit(0.0), lambda x, y: x + y, padding=((0, 1), (1, 1))), lambda a: arrays.permute(a, (2, 3), (1, 0)),
+    lambda a: arrays.gather_nd(a, (2, 3), F.array(F.lit(7), F.lit(-1), F.lit(1), F.lit(1)), (2, 2), (1, 2), (0,), (0,), (0, 1), 1),
+    lambda a: arrays.scatter_nd(a, (2, 3), F.array(F.lit(1), F.lit(2)), (2,), F.array(F.lit(5.0), F.lit(6.0)), (1, 2), lambda x, y: 2 * x + y, (1,), (0,), (0, 1), 0),
+])
+def test_written_out_and_in_lambdas(spark, monkeypatch, make):
+    a = real(2, 3)
+    out = run(spark, make, a=a)
+    empty = spark.createDataFrame([(None,)], "a array<double>").select(make(F.col("a")).alias("out"))
+    null = empty.first().out
+    monkeypatch.setattr(arrays, "WRITTEN", 0)
+    assert out == run(spark, make, a=a)
+    assert null == spark.createDataFrame([(None,)], "a array<double>").select(make(F.col("a")).alias("out")).first().out
