@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,20 @@ def discard(*written: DataFrame) -> None:
         remove(df.sparkSession, df.written_to)
 
 
+def worker_keeps(key: tuple | None = None, make: Callable[[], object] | None = None) -> object:
+    """What ``make`` gives, kept by this Python process from task to task under ``key``.
+
+    Workers outlive operators, so one thing is kept at a time: what is there
+    under another key is let go.  Without a key nothing is kept on.
+    """
+    kept = sys.modules.setdefault("meshlark_worker", types.ModuleType("meshlark_worker")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept.clear()
+        if make is not None:
+            kept[key] = make()
+    return kept.get(key)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, worker_keeps
 
 DIMS = 8192
 #: Centroids are fitted on about this many texts per language, chosen by a hash of the id; document frequencies on all.
@@ -123,6 +123,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_keeps()
     df, n = np.zeros(DIMS, "i8"), 0
     for batch in batches:
         for text in batch.column(0):
@@ -141,10 +142,16 @@ def _fit_language(idf: np.ndarray, k: int):
     """Centroids of one language's sample, and the cosines its texts and pieces of them have, by length class."""
 
     def run(sample: pd.DataFrame) -> pd.DataFrame:
+        worker_keeps()
         texts = sorted(sample["text"])
         model = Model(idf, np.zeros((0, DIMS), "f4"), [], np.zeros(0))
-        x = np.stack([trigram_counts(t) for t in texts])
-        x = model.vectors(x[x.any(axis=1)])
+        x, n = np.empty((len(texts), DIMS), "f4"), 0  # 32 MB of a thousand texts, the only copy
+        for t in texts:
+            counts = trigram_counts(t)
+            if counts.any():
+                x[n] = model.vectors(counts)
+                n += 1
+        x = x[:n]
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "least": []})
         centroids = spherical_kmeans(x, k)
@@ -199,6 +206,7 @@ def _nearest(model: Model, text_at: int):
     """Compares texts with one block of languages; a nearer centroid than those of the blocks before takes their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -229,13 +237,16 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", reject
     an empty table stays empty.
     """
     rest = [c for c in docs.columns if c not in RESULT]
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).cast("string").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in FOUND))
+    # A text is sent once, not in its row as well, unless the row has nothing else or the text is of another type there.
+    own = text_col if len(rest) > 1 and text_col in rest and docs.schema[text_col].dataType == T.StringType() else None
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest if c != own]).alias("row"), F.col(text_col).cast("string").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in FOUND))
     schema = T.StructType([*found.schema.fields[:2], *FOUND])
     for part in model.blocks(BLOCK) if model else ():
         found = found.mapInArrow(_nearest(part, 1), schema)
     low = F.col("least") if reject_below is None else F.lit(float(reject_below))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))))
-    return found.select("row.*", F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), score.alias("score"), F.coalesce(F.col("cosine") < low, F.lit(True)).alias("rejected"))
+    columns = [F.col("text").alias(c) if c == own else F.col(f"row.`{c}`").alias(c) for c in rest]
+    return found.select(*columns, F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), score.alias("score"), F.coalesce(F.col("cosine") < low, F.lit(True)).alias("rejected"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:

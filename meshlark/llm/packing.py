@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, worker_keeps
 
 MAX_LENGTH = 4096
 END_ID = 2
@@ -82,11 +80,8 @@ class SegmentEncoder:
 
     @classmethod
     def of_worker(cls, tokenizer_path: str | None) -> SegmentEncoder:
-        """The encoder that this Python process keeps from task to task."""
-        kept = sys.modules.setdefault("meshlark_worker", types.ModuleType("meshlark_worker")).__dict__.setdefault("encoders", {})
-        if tokenizer_path not in kept:
-            kept[tokenizer_path] = cls(tokenizer_path)
-        return kept[tokenizer_path]
+        """The encoder that this Python process keeps from task to task, until another operator runs in it."""
+        return worker_keeps(("packing", tokenizer_path), lambda: cls(tokenizer_path))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

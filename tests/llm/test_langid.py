@@ -1,9 +1,13 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
-from meshlark.llm.langid import fit, identify, predict, spherical_kmeans
+from meshlark.llm.langid import CENTROIDS, DIMS, _document_frequency, _fit_language, fit, identify, predict, spherical_kmeans
+from meshlark.llm.packing import SegmentEncoder
 
 SYLLABLES = {"en": "th ing er on the and wh ou ed ly".split(), "de": "sch ung ei ich der ü ver keit au ß".split(), "fr": "eau é tion ou è que aux ment ç la".split()}
 
@@ -125,3 +129,32 @@ def test_kmeans_finds_directions():
     x = np.repeat(np.eye(3, 8, dtype="f4"), 5, axis=0)
     assert sorted(np.argmax(spherical_kmeans(x, 3), axis=1)) == [0, 1, 2]
     assert len(spherical_kmeans(x[:2], 3)) == 2
+
+
+def test_a_language_is_fitted_in_one_copy_of_its_vectors():
+    """A thousand vectors take 32 MB; a few copies of them at once in each worker add up to more than an executor has."""
+    sample = pd.DataFrame({"text": [t for _, t, *_ in corpus(1000)], "lang": "en"})
+    run = _fit_language(np.ones(DIMS, "f4"), CENTROIDS)
+    tracemalloc.start()
+    try:
+        assert len(run(sample)) == CENTROIDS
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_let_go_of_what_packing_remembers():
+    kept = SegmentEncoder.of_worker(None)
+    assert SegmentEncoder.of_worker(None) is kept
+    assert len(list(_document_frequency(iter([pa.RecordBatch.from_pydict({"text": ["some text"]})])))) == 1
+    assert SegmentEncoder.of_worker(None) is not kept
+
+
+def test_columns_keep_their_order_and_texts(spark):
+    rows = [(1, "the thing and other", "en"), (2, None, None), (3, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit(frame(spark, corpus(100)))
+    out = predict(df, model)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
+    assert sorted(tuple(r)[:3] for r in out.collect()) == rows
+    assert sorted(str(r.text) for r in predict(df.select("text"), model).collect()) == sorted(str(t) for _, t, _ in rows)
