@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from meshlark.llm import packing
 from meshlark.llm.packing import SegmentEncoder, pack, piece_lengths
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -73,3 +74,37 @@ def test_shortcuts_follow_the_tokenizers_settings_not_its_name(tmp_path):
     assert SegmentEncoder(copy).cut and not SegmentEncoder(other).cut
     text = "Two  words, and\nmore"
     assert np.frombuffer(SegmentEncoder(other).encode(text), "<u4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
+def test_texts_cut_at_any_place_and_every_plain_character(monkeypatch):
+    for name, size in (("SLICE", 7), ("CUT", 30), ("CHUNK", 90)):
+        monkeypatch.setattr(packing, name, size)
+    encoder, rng = SegmentEncoder(None), random.Random(1)
+    plain = [c for c in map(chr, range(33, 0x3000)) if encoder.is_plain(c)]
+    tables = [[f"{c} x{c}{c}y 1{c}2 '{c} {c}'s '{c}t -{c}é" for c in plain], [], ["", "\n \t", ""]]
+    usual, odd = "''sStTrReEvVlLmMdD 19.-\n\téЖ“’€Бß", "東\x0b\u0301\0"
+    for _ in range(200):
+        tables.append(["".join(rng.choice(odd if rng.random() < 0.05 else usual) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(20))])
+    for texts in tables:
+        for text, got in zip(texts, encoder.encode_all(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == ids(text), repr(text)
+
+
+def many_words(n):
+    rng = random.Random(2)
+    return " ".join("".join(rng.choice("abcdefghié") for _ in range(9)) + "," for _ in range(n))
+
+
+def test_plain_words_skip_the_tokenizers_own_cutting():
+    class Counting:
+        def __init__(self, made):
+            self.made, self.calls = made, 0
+
+        def encode(self, *args, **more):
+            self.calls += 1
+            return self.made.encode(*args, **more)
+
+    encoder, text = SegmentEncoder(None), many_words(500)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids(text)
+    assert encoder.tokenizer.calls == 0
