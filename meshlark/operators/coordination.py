@@ -30,8 +30,8 @@ def edge_geometry(atoms: DataFrame, edges: DataFrame, lattice: Matrix, strain: M
     """
     side = lambda s: atoms.select(F.col("atom_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rcov", "x", "y", "z")))
     both = edges.join(side("dst"), "dst").join(side("src"), "src")
-    image = [sum((F.col(f"s{n}") * F.lit(float(lattice[i][a])) for i, n in ((1, "y"), (2, "z"))), F.col("sx") * F.lit(float(lattice[0][a]))) for a in range(3)]
-    plain = [F.col(f"{c}_dst") - F.col(f"{c}_src") + image[a] for a, c in enumerate("xyz")]
+    # Summed from left to right, as in SQL: another order would change last bits, and with them rounded results.
+    plain = [sum((F.col(f"s{n}") * F.lit(float(lattice[i][a])) for i, n in enumerate("xyz")), F.col(f"{c}_dst") - F.col(f"{c}_src")) for a, c in enumerate("xyz")]
     dx, dy, dz = strained(plain, strain)
     out = both.select("src", "dst", "sx", "sy", "sz", (F.col("rcov_src") + F.col("rcov_dst")).alias("rc"), dx.alias("dx"), dy.alias("dy"), dz.alias("dz"))
     length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))

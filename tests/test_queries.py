@@ -23,5 +23,18 @@ def test_query_equals_sql(spark, name):
     assert any(any(r) for r in got)
 
 
+def test_an_edge_whose_last_bit_decides(spark, tmp_path):
+    """Both ways between two atoms of sf0.1: with displacements summed in another order, the rounded weight was one unit less."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT * FROM (VALUES (0, [0.02289104089140892, -0.053986240178346634, -0.27857306599617004]::FLOAT[], 4), (1, [-0.025688935071229935, 0.07703203707933426, -0.006664508953690529]::FLOAT[], 4))
+        t(vec_id, embedding, label)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)""")
+    con.execute(f"COPY (SELECT * FROM (VALUES (1, 0, 2, 3), (4, 3, 0, 2)) t(l_orderkey, l_partkey, l_suppkey, l_linenumber)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    for table in ("embeddings", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    want = con.sql(ORACLE_SQL["edge_contributions"]).fetchall()
+    got = QUERIES["edge_contributions"](spark, str(tmp_path)).select("src", "dst", "sx", "sy", "sz", "d", "c").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
